@@ -45,5 +45,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op6_warc, op7_token_counts)}
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substrings import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op6_warc, op7_token_counts, op8_substrings)}
 ORACLES: dict[str, str] = {}
