@@ -51,5 +51,11 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op6_warc, op7_token_counts, op8_substrings)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op6_warc, op7_token_counts, op8_substrings, op10_toxicity)}
 ORACLES: dict[str, str] = {}
