@@ -33,6 +33,12 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import round_trip
 
@@ -57,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op6_warc, op7_token_counts, op8_substrings, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op10_toxicity)}
 ORACLES: dict[str, str] = {}
