@@ -57,11 +57,18 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import replace
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace(docs, count_col="n_replaced")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op9_pii, op10_toxicity)}
 ORACLES: dict[str, str] = {}
