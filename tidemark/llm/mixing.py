@@ -95,10 +95,10 @@ def _running(rows: DataFrame, keys: list[str], order: list[str], value: Column,
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 17) -> DataFrame:
     """A row for each row of docs: row_key, its id, source, size, source_size, target and taken (words the mix takes).
 
-    Also text_key, the hash of id and text by which mixed_documents() joins back. The order within a
+    Also text_key, the hash of id, text and source by which mixed_documents() joins back. The order within a
     source is by md5 of seed, id and text hash, so reruns take the same words.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("text_key"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("text_key"))
     # the key of a row: of rows that agree in all of this, any may come first
     sized = staged(sized.withColumn("row_key", F.monotonically_increasing_id()), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -129,12 +129,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix's documents, with the columns of docs: whole copies, and where words are left the first of them."""
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    times = taken.select(F.col("text_key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.row_number().over(Window.partitionBy("text_key", "source").orderBy("row_key")).alias("_nth"), F.col("source").alias("_source"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("_nth", F.row_number().over(Window.partitionBy("_key", F.col(source_col)).orderBy(F.lit(1))))
-    times = times.withColumnRenamed("_nth", "_nth2").withColumnRenamed("_key", "_key2")
-    same = (F.col("_key") == F.col("_key2")) & (F.col("_nth") == F.col("_nth2")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    joined = keyed.join(times, same)
+    taken = mix(docs, id_col, text_col, source_col, **options)
+    # rows that agree in id, text and source are interchangeable: the i-th of them gets the i-th count
+    counts = taken.groupBy(F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_counts"), F.max("size").alias("_size"))
+    counts = staged(counts.filter(F.element_at("_counts", 1) > 0), "mix-counts")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
+    joined = keyed.join(counts, "_key").withColumn("_taken", F.element_at("_counts", nth)).filter("_taken > 0")
     copies = F.array_repeat(F.col("_size"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
     rest = F.pmod(F.col("_taken"), F.col("_size"))
     parts = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
