@@ -61,14 +61,13 @@ def hop_scores(links: DataFrame, relations: DataFrame, asked: DataFrame, candida
 def lineage(edges: DataFrame, start: str, depth: int = 10, down: bool = True) -> DataFrame:
     """(id, depth) of what derives from start, or of what it derives from, by the shortest way; bounded, so cycles end."""
     here, there = ("source_id", "target_id") if down else ("target_id", "source_id")
-    spark = edges.sparkSession
-    visited = spark.createDataFrame([(start, 0)], "id string, depth int")
-    front = visited
-    for level in range(1, depth + 1):
-        step = front.join(edges, F.col("id") == F.col(here)).select(F.col(there).alias("id")).distinct()
-        front = step.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(level))
-        visited = visited.unionByName(front)
-    return visited
+    steps = edges.select(F.col(here).alias("from_id"), F.col(there).alias("to_id"))
+    walked = """
+        WITH RECURSIVE walk(id, depth) AS (
+            SELECT CAST(:start AS STRING), 0
+            UNION ALL SELECT e.to_id, w.depth + 1 FROM walk w JOIN {steps} e ON e.from_id = w.id WHERE w.depth < :most)
+        SELECT id, min(depth) AS depth FROM walk GROUP BY id"""
+    return edges.sparkSession.sql(walked, args={"start": start, "most": depth}, steps=steps)
 
 
 def without_stale(relations: DataFrame, now: str, least: int = 3, days: int = 90) -> DataFrame:
