@@ -165,10 +165,19 @@ def _alike(least: float) -> Callable:
                 same += token[i, p][:, None] == token[j, p]
             return same >= least * TOKENS
 
-        if split and own.min() == own.max():
+        if not split:
+            root = _stars(linked, node, own, split)[1]
+            far = np.flatnonzero(root != np.arange(len(node)))
+            return node[far], node[root[far]]
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+        if not len(right):
             return node[:0], node[:0]
-        _, root, _ = _stars(linked, node, own, split)
-        far = root != np.arange(len(node))
+        # each tile's own stars come from its own group; between two tiles one edge for two of their components is enough
+        one, two = (part[roots_of(*np.nonzero(linked(part, part)), len(part))] for part in (left, right))
+        i, j = np.nonzero(linked(left, right))
+        root = roots_of(one[i], two[j], len(node))
+        met = np.unique(np.concatenate([one[i], two[j]]))
+        far = met[root[met] != met]
         return node[far], node[root[far]]
 
     return _by_group(compare, ["a", "b"], [pa.int64(), pa.int64()])
