@@ -1,0 +1,356 @@
+"""Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import ann, jaccard, mixing, packing, pii, substrings, tokens, toxicity, vectors, warc
+from tidemark.llm.components import components
+
+# names that operators use inside, and those of their results
+EXTRA = "id long, key string, text_key string, size int, score double, rank int, node long, _key int, n string"
+DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
+
+
+def rows_of(texts):
+    return [(i, t, "en", s, None if t is None else len(t), 1, "k", "t", 2, 0.5, 3, 4, 5, "n") for i, t, s in texts]
+
+
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    passage, long = words(1, 60), words(2, 30_000)
+    near = words(3, 100).split()
+    other = near.copy()
+    other[50] = "changed"
+    return [
+        (1, words(4, 30) + " " + passage, "b"), (2, words(5, 10) + "\t" + passage.replace(" ", "\n") + " end", "a"), (3, long, "b"), (4, None, "a"), (5, "", None), (6, " \n\t ", "c"),
+        (7, " ".join(near), "a"), (8, " ".join(other), "b"), (9, "two words", "d"), (10, "two  words", None), (11, " ".join(near), "a"), (11, " ".join(near), "a"),
+        (None, "no id here at all", "a"), (12, "write to Ann.Lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, card 4111 1111 1111 1111, +1 (212) 555-0100.", "a"),
+        (13, "Mrs. Anna Smith met Mr. Smith and Dr. Иван Петров at 10.1.2.3", "a"), (14, "<|endoftext|> İ Σ　x é", "é"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame(rows_of(texts), DOCS)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_mixing(spark, docs, texts, nothing):
+    got = mixing.mix(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _, _ in texts)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter(r["size"] for r in got) == Counter(size(t) for _, t, _ in texts)
+    sizes = Counter()
+    for _, t, s in texts:
+        sizes[s] += size(t)
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        rest, open_weight = total - sum(3 * sizes[s] for s in stopped), sum(weight[s] for s in names if s not in stopped)
+        more = {s for s in names if s not in stopped and weight[s] * rest / open_weight > 3 * sizes[s]}
+        if not more:
+            break
+        stopped |= more
+    target = {s: 3 * sizes[s] if s in stopped else weight[s] * rest / open_weight for s in names}
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(target[r.source])
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 10 for s in names)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).select(*got[0].__fields__).collect())) or Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3)).collect())
+    made = mixing.mixed_documents(docs)
+    assert made.columns == docs.columns
+    held = Counter()
+    for r in made.collect():
+        held[r.source] += size(r.text)
+    assert held == +taken
+    assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_packing(spark, docs, texts, nothing):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack_documents(docs, path, with_ids=True, shard_tokens=5_000).collect()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    expected = Counter()
+    for i, t, _ in texts:
+        expected[(i, tuple(whole.encode(t or "", add_special_tokens=False).ids + [2]))] += 1
+    by_doc, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+        by_doc[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for i, pieces in by_doc.items():
+        mine = [ids for (k, ids), n in expected.items() if k == i for _ in range(n)]
+        assert Counter(x for p in pieces for x in p.ids) == Counter(x for ids in mine for x in ids)
+        if len(mine) == 1:
+            pieces.sort(key=lambda p: p.start)
+            assert tuple(x for p in pieces for x in p.ids) == mine[0] and all(p.doc_tokens == len(mine[0]) for p in pieces)
+    for seq in sequences.values():
+        seq.sort(key=lambda p: p.offset)
+        ends = np.cumsum([p.length for p in seq])
+        assert [p.offset for p in seq] == [0, *ends[:-1]] and ends[-1] <= 4096
+        assert ends[-1] == 4096 or math.log2(ends[-1]).is_integer()
+    assert packing.pack_documents(nothing, path).count() == 0
+
+
+def test_least_squares():
+    a, b = np.array([[1.0, 0.0, 1.0], [0.0, 1.0, 1.0]]), np.array([2.0, 3.0])
+    x = packing.nnls(a, b)
+    assert (x >= 0).all() and np.allclose(a @ x, b)
+    assert (packing.nnls(a, -b) == 0).all()
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, node long, links long, other int"
+
+
+@pytest.fixture(scope="module")
+def embeddings(spark):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(60, 16))
+    base[20:40] = base[20] + 0.05 * rng.normal(size=(20, 16))
+    rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate(base)]
+    rows += [(100, rows[20][1], 0), (101, rows[20][1], 0), (101, rows[20][1], 0), (102, None, 0), (103, [0.0] * 16, 0), (104, [float("nan")] + [1.0] * 15, 0), (105, [None] + [1.0] * 15, 0), (106, rows[20][1], None), (None, rows[20][1], 0), (107, [1.0, 2.0], 0), (108, [2.0, 4.0], 0), (200, rows[3][1], 1)]
+    return rows, spark.createDataFrame([(*r, 1, 2, 3) for r in rows], VECTORS)
+
+
+def _usable(v):
+    return v is not None and None not in v and np.isfinite(v).all() and np.any(v)
+
+
+def test_near_vectors(spark, embeddings, monkeypatch):
+    rows, df = embeddings
+    n = len(rows)
+    near = lambda a, b: a[2] is not None and a[2] == b[2] and _usable(a[1]) and _usable(b[1]) and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / (np.linalg.norm(a[1]) * np.linalg.norm(b[1])) >= 0.98
+    link = np.array([[i != j and bool(near(rows[i], rows[j])) for j in range(n)] for i in range(n)])
+    group = list(range(n))
+    for _ in range(n):
+        group = [min(group[j] for j in range(n) if link[i][j] or i == j) for i in range(n)]
+    smallest = {g: min((rows[i][0] for i in range(n) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    expected = Counter((rows[i][0], int(link[i].sum()), smallest[group[i]], rows[i][0] is not None and rows[i][0] == smallest[group[i]]) for i in range(n))
+    for tile in (4, 1024):
+        assert Counter(tuple(r) for r in vectors.near_duplicates(df, tile=tile).collect()) == expected
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 3000)), rng.normal(size=(40, 3000))
+    y[:10] = x[:10] * 3 + 0.01 * rng.normal(size=(10, 3000))
+    exact = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
+    for threshold in (0.98, float(exact[3, 3]), 0.0):
+        assert (vectors.links(x, y, threshold) == (exact >= threshold)).mean() > 0.999
+
+
+def test_nearest(spark, embeddings):
+    rows, df = embeddings
+    got = ann.search(df, F.col("vec_id") % 20 == 0, shard=16).orderBy("query_id", "rank").collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.query_id].append((r.score, r.vec_id))
+        assert r["rank"] == len(found[r.query_id])
+    usable = sorted({(i, tuple(v)) for i, v, _ in rows if i is not None and _usable(v)})
+    asked = [(i, v) for i, v in usable if i % 20 == 0]
+    assert set(found) == {i for i, _ in asked}
+    hits = total = 0
+    for i, v in asked:
+        exact = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in usable if j != i and len(w) == len(v))[:10]
+        assert found[i] == sorted(found[i]) and len(found[i]) == len(exact)
+        hits += len({j for _, j in found[i]} & {j for _, j in exact})
+        total += len(exact)
+    assert hits >= 0.9 * total
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def _sets(texts):
+    out = []
+    for _, t, _ in texts:
+        w = (t or "").encode().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_similarity_classes(spark, docs, texts, nothing, small, monkeypatch):
+    if small:  # every bucket is large, and dealt in tiles
+        monkeypatch.setattr(jaccard, "LIMIT", 1)
+        monkeypatch.setattr(jaccard, "TILE", 1)
+    sets, n = _sets(texts), len(texts)
+    link = [[i != j and bool(sets[i]) and len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= 0.8 for j in range(n)] for i in range(n)]
+    group = list(range(n))
+    for _ in range(n):
+        group = [min(group[j] for j in range(n) if link[i][j] or i == j) for i in range(n)]
+    name = {g: min((texts[i][0] for i in range(n) if group[i] == g and texts[i][0] is not None), default=None) for g in set(group)}
+    expected = Counter((texts[i][0], name[group[i]], sum(link[i])) for i in range(n))
+    assert Counter(tuple(r) for r in jaccard.similarity_classes(docs).collect()) == expected
+    if not small:
+        kept = jaccard.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, 9, None, 12, 13, 14])
+        assert jaccard.similarity_classes(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
+
+
+def test_runs_grow_with_recall():
+    assert jaccard.runs_needed(0.5, 1) < jaccard.runs_needed(0.99, 1) < jaccard.runs_needed(0.99, 3)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, j) for j in range(1001, 1100)] + [(5000, 5000), (7, 6)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {i: 0 for i in range(201)} | {j: 1000 for j in range(1000, 1100)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://d", ""), (None, "http://e", "<p>x</p>"), (5, "http://f", "é" * 100_000), (5, "http://f", "é" * 100_000), (6, "http://g", "one")]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, digest int, salt int")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    largest = {}
+    for i, _, h in rows:
+        largest[h or ""] = max(largest.get(h or "", -1), -1 if i is None else i)
+    expected = Counter()
+    for i, _, h in rows:
+        data, top = (h or "").encode(), largest[h or ""]
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        expected[(i, len(data), digest, "response" if i == top else "revisit", None if i == top else top)] += 1
+    assert got == expected
+    path = str(tmp_path / "out")
+    warc.write_archives(pages, path, chunk_bytes=100, chunks_per_file=2)
+    back = warc.read_archives(spark, path, payloads=True).filter("record_type = 'response'").collect()
+    assert Counter(r.payload.decode() for r in back) == Counter(h or "" for i, _, h in rows if i is not None and i == largest[h or ""])
+    assert all(r.record_type == "response" for r in warc.round_trip(pages.filter("page_id in (1, 2)").withColumn("html", F.lit("s"))  .limit(0)).collect())
+    good = warc.record(1, "u", b"abc") + warc.record(2, "v", b"")
+    assert [r["page_id"] for r in warc.read_records(good)] == ["1", "2"]
+    for bad in (good[:-9], b"not gzip at all"):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(bad))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts(spark, docs, texts, nothing, name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda t: len(model.encode(t))
+    else:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        count = lambda t: len(whole.encode(t, add_special_tokens=False).ids)
+    got = Counter(tuple(r) for r in tokens.count_tokens(docs, path).collect())
+    assert got == Counter((i, len((t or "").encode()), count(t or ""), count(t or "") > 1024) for i, t, _ in texts)
+    assert tokens.count_tokens(nothing, path).count() == 0
+
+
+def test_units_add_up():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counter = tokens.Counter7(public_tokenizers.path("byte_bpe_50k.json"), {}, room=5)
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "Zé", " ", "  ", "\n", ".", "12", "'s", "\t", "　", "\x1c", "<|endoftext|>", "日"]) for _ in range(20))
+        assert counter(t) == len(whole.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def _removed(texts, window=50):
+    first, out = {}, []
+    split = [(i, (t or "").encode().split()) for i, t, _ in texts]
+    for i, w in split:
+        for s in range(len(w) - window + 1) if i is not None else ():
+            k = tuple(w[s : s + window])
+            first[k] = min(first.get(k, i), i)
+    for i, w in split:
+        gone = [False] * len(w)
+        for s in range(len(w) - window + 1) if i is not None else ():
+            if first[tuple(w[s : s + window])] < i:
+                gone[s : s + window] = [True] * window
+        kept = [x for x, g in zip(w, gone) if not g]
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return Counter(out)
+
+
+def test_substrings(spark, docs, texts, nothing):
+    assert Counter(tuple(r) for r in substrings.deduplicated(docs).collect()) == _removed(texts)
+    rng = random.Random(9)
+    pool = [words(k, 70).split() for k in range(6)]
+    mixed = [(k, " ".join(x for _ in range(4) for x in pool[rng.randrange(6)][rng.randrange(20) : 20 + rng.randrange(50)]), "s") for k in range(60)]
+    df = spark.createDataFrame(rows_of(mixed), DOCS)
+    assert Counter(tuple(r) for r in substrings.deduplicated(df).collect()) == _removed(mixed)
+    assert substrings.deduplicated(nothing).count() == 0
+
+
+def test_personal_data(spark, docs, nothing):
+    got = {(r.doc_id, r.text is None): r for r in pii.replace(docs, count_col="n_replaced").collect()}
+    mail = got[(12, False)].text
+    found = re.findall(r"[A-Za-z.]+@[A-Za-z.]+", mail)
+    assert "Lee" not in mail and len(found) == 2 and found[0] == found[1].lower()[: len(found[0])] and found[1].isupper()
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", mail)[0].replace(" ", "")
+    luhn = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(card)))) % 10
+    assert card != "4111111111111111" and luhn == 0 and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.", mail)
+    people = got[(13, False)].text
+    names = re.match(r"Mrs\. (\S+) (\S+) met Mr\. (\S+) and Dr\. (\S+) (\S+) at (\S+)", people).groups()
+    assert names[1] == names[2] and names[0] in pii.GIVEN[("latin", "f")] and re.fullmatch(r"[А-Яа-я]+", names[3]) and re.fullmatch(r"[А-Яа-я]+", names[4]) and names[5] != "10.1.2.3"
+    assert got[(4, True)].text is None and got[(5, False)].text == "" and got[(12, False)].n_replaced == 4 and got[(12, False)].n_chars == len(mail)
+    assert pii.replace(docs).columns == docs.columns and pii.replace(docs).count() == docs.count()
+    assert [r.text for r in pii.replace(docs.filter("doc_id = 12")).collect()] == [mail]
+    assert pii.replace(nothing).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    few = spark.createDataFrame([("given_f_latin", n) for n in "abcdefghijklmnopqrstuvwxyz"] + [("card", f"4{k:015d}") for k in range(200)], "kind string, canon string")
+    made = pii.surrogates(few, "s").collect()
+    assert len(made) == few.count() == len({(r.kind, r.new) for r in made})
+
+
+def test_toxicity(spark, nothing):
+    rng = random.Random(2)
+    texts, marks = [], []
+    for i in range(900):
+        bad = i % 5 == 0
+        w = [f"c{rng.randrange(300)}ab".replace("0", "o") for _ in range(30)]
+        if bad:
+            w[3:5] = [rng.choice(["idiotab", "scumcd", "moronef"]), rng.choice(["loserx", "trashy"])]
+        texts.append((i, " ".join(w), "s"))
+        marks.append((i, int(bad), 1, 0.5))
+    texts += [(900, None, "s"), (901, "", "s"), (None, "idiotab scumcd", "s"), (5, texts[5][1], "s")]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    labels = spark.createDataFrame(marks + [(7, None, 1, 0.5), (None, 1, 1, 0.5)], "doc_id long, toxic int, quality int, score double")
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        held = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1
+        assert r.held_out == held and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+    known = {i: b for i, b, *_ in marks}
+    judged = [(r.predicted, known[r.doc_id]) for r in got if r.held_out and r.doc_id in known]
+    assert sum(p == k for p, k in judged) >= 0.98 * len(judged)
+    empty = {r.score for r in got if r.doc_id in (900, 901)}
+    assert len(empty) == 1
+    scored = toxicity.score(df, toxicity.train(df, labels))
+    assert set(scored.columns) == set(df.columns) | {"predicted"}
+    assert toxicity.toxicity(nothing, labels).count() == 0
+    assert {r.predicted for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0}

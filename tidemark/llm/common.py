@@ -58,3 +58,18 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def shielded(docs: DataFrame, drop: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """docs under plain numbered names, which no name of an operator clashes with, and the name of each column there.
+
+    Columns named in drop are left out.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    return plain.select(*(n for c, n in names.items() if c not in drop)), {c: n for c, n in names.items() if c not in drop}
+
+
+def unshielded(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """df's columns under their own names again, and the added ones."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()), *more)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, drop, staged, text_key
+from tidemark.llm.common import arrow_rows, drop, shielded, staged, text_key, unshielded
 from tidemark.llm.components import components, roots_of
 from tidemark.llm.substrings import Rolling, word_hashes
 
@@ -327,12 +327,13 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995,
     Documents that link with nothing stay, those without words among them, and repeats of those too.
     """
     found = staged(classes(docs, similarity, recall, id_col, text_col), "classes")
-    alone = found.filter("n_links = 0").select("id", "key", F.lit(False).alias("_linked"))
+    alone = found.filter("n_links = 0").select("id", "key", F.lit(False).alias("linked"))
     least = found.filter("n_links > 0").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("row"))
-    stay = alone.distinct().union(least.select("row.id", "row.key", F.lit(True).alias("_linked")))
-    stay = staged(stay.withColumnsRenamed({"id": "_id", "key": "_key"}), "stay")
-    keyed = docs.withColumn("_own_key", text_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    same = (F.col("_own_key") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    joined = keyed.join(stay, same)
-    kept = joined.filter("not _linked").union(joined.filter("_linked").dropDuplicates(["_id", "_key"]))
-    return kept.select(*docs.columns)
+    stay = alone.distinct().union(least.select("row.id", "row.key", F.lit(True).alias("linked")))
+    stay = staged(stay, "stay")
+    plain, names = shielded(docs)
+    own = plain.withColumn("own_key", text_key(F.col(names[id_col]).cast("long"), F.col(names[text_col]).cast("string")))
+    same = (F.col("own_key") == F.col("key")) & F.col(names[id_col]).cast("long").eqNullSafe(F.col("id"))
+    joined = own.join(stay, same)
+    kept = joined.filter("not linked").union(joined.filter("linked").dropDuplicates(["id", "key"]))
+    return unshielded(kept, names)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, staged
+from tidemark.llm.common import WORD, shielded, staged, unshielded
 
 #: The golden ratio's fraction times 2**31, made odd: i * _GOLDEN mod 2**31 visits every point once.
 _BITS, _GOLDEN = 31, 1327217885
@@ -133,14 +133,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that agree in id, text and source are interchangeable: the i-th of them gets the i-th count
     counts = taken.groupBy(F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_counts"), F.max("size").alias("_size"))
     counts = staged(counts.filter(F.element_at("_counts", 1) > 0), "mix-counts")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)))
+    plain, names = shielded(docs)
+    content = F.col(names[text_col])
+    keyed = plain.withColumn("_key", F.xxhash64(F.col(names[id_col]), content, F.col(names[source_col])))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
     joined = keyed.join(counts, "_key").withColumn("_taken", F.element_at("_counts", nth)).filter("_taken > 0")
     copies = F.array_repeat(F.col("_size"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
     rest = F.pmod(F.col("_taken"), F.col("_size"))
     parts = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
     joined = joined.withColumn("_words", F.explode(parts))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(part)
-    kept = [text.alias(c) if c == text_col else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*kept)
+    part = F.array_join(F.slice(F.regexp_extract_all(content, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") == F.col("_size"), content).otherwise(part)
+    changed = {names[text_col]: text} | ({names["n_chars"]: F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return unshielded(joined.withColumns(changed), names)

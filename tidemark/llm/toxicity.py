@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, drop, staged
+from tidemark.llm.common import arrow_rows, drop, shielded, staged, unshielded
 from tidemark.llm.components import roots_of
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -178,9 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs' rows and columns with score and predicted."""
+    """docs' rows and columns with score and predicted, in place of columns of these names."""
     voters, weights = model
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    plain, names = shielded(docs, drop=("score", "predicted"))
+    kept = list(names.values())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = Votes(voters)
@@ -188,9 +189,10 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
             logits = [float(weights[-1] + weights[vote(text)].sum()) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))), pa.float64())], [*kept, "score"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *kept)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return rows.mapInArrow(scored, f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = plain.select(F.col(names[text_col]).cast("string").alias("text"), *kept)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    made = rows.mapInArrow(scored, f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return unshielded(made, names, "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
