@@ -19,7 +19,9 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows
 
 STEPS = 64
-#: White space that libraries disagree on, or that normalisation may change: such texts are encoded whole.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+#: White space that libraries disagree on, or that normalisation may change, and letters whose lower case they take differently.
+_ODD = re.compile(r"[\u0130\u03a3\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -168,28 +170,41 @@ def _at_powers(pieces: list[tuple[int, int, int]], window: int) -> Iterator[list
         yield seq
 
 
+#: Between a letter or digit and a mark the tokenizer always splits; not so before an apostrophe.
+_APART = re.compile(r"(?<=[^\W_])(?=[.,;:!?$%&*#|)\"\]}])")
+
+
 class Ids(dict):
-    """Little-endian unsigned 32-bit ids of a unit between white space; bounded."""
+    """Little-endian unsigned 32-bit ids of a unit between white space.
+
+    Texts are put in lower case and split before marks first, as the tokenizer does itself, so few
+    different units remain. Bounded: when a generation is full it becomes the old one, from which what is
+    used again is taken over.
+    """
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 150_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer, self.room, self.old = Tokenizer.from_file(path), room, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        split = json.dumps(spec.get("pre_tokenizer"))
+        split, normal = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
         self.cuts = '"Removed"' in split and '"invert": true' in split and '"add_prefix_space": true' not in split
+        self.lowers = self.cuts and '"Lowercase"' in normal and '"NFC"' in normal and r"[\\p{L}]+" in split and r"[^\\s\\p{L}\\p{N}]+" in split
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or []) or r"(?!)")
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(unit)
-        if len(unit) <= 128:
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.encode(unit)
+        if len(unit) <= 64:
             if len(self) >= self.room:
+                self.old = dict(self)
                 self.clear()
             self[unit] = ids
         return ids
@@ -199,6 +214,8 @@ class Ids(dict):
             return b""
         if not self.cuts or self.special.search(text) or _ODD.search(text):
             return self.encode(text)
+        if self.lowers and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            text = _APART.sub(" ", text.lower())
         return b"".join(map(self.__getitem__, text.split()))
 
 
