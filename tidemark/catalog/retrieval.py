@@ -113,11 +113,11 @@ def asked(v: Views, times: bool = False) -> pl.Queries:
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    """Scores in thousandths, so that what engines sum in another order doesn't end on either side of a rounding."""
-    return df.select("query_id", "id", F.round(F.col("score") * 1000, 6).alias("score"))
+    """Scores in thousandths to nine digits: short decimals, as weights make them, then end on neither side of a rounding."""
+    return df.select("query_id", "id", F.round(F.col("score") * 1000, 9).alias("score"))
 
 
-_SHOW = "SELECT query_id, id, round(score * 1000, 6) AS score FROM "
+_SHOW = "SELECT query_id, id, round(score * 1000, 9) AS score FROM "
 
 # full text
 register("fts_postings", "SELECT term, count(DISTINCT id) AS docs, count(*) AS hits FROM words GROUP BY term")(lambda v: fulltext.postings(v.memories, {"content": 10.0, "excerpt": 5.0}).groupBy("term").agg(F.count_distinct("id").alias("docs"), F.count("*").alias("hits")))
@@ -161,8 +161,8 @@ query("stg_mmr")(lambda v: selection.diverse(pl.vector(store(v), asked(v)), stor
 register("stg_trim", f"SELECT query_id, id FROM (SELECT query_id, id, sum(tokens) OVER w AS total, row_number() OVER w AS nth FROM (SELECT f.query_id, f.id, f.score, (length(m.content) + 3) // 4 AS tokens FROM fts f JOIN memories m ON m.id = f.id) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)) WHERE total <= 4096 OR nth = 1")(lambda v: pl.trimmed(store(v), pl.fts(store(v), asked(v))).select("query_id", "id"))
 query("stg_disclosure")(lambda v: selection.disclosed(_sized(v)))
 query("stg_breaker")(lambda v: _breaker(v))
-register("agg_rrf", "SELECT query_id, id, round(sum(1.0 / (60 + nth)) * 1000, 6) AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, nth FROM vec) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.vector(store(v), asked(v))), "query_id")))
-register("leg_rrf", "SELECT query_id, id, round(sum(w / (60 + nth)) * 1000, 6) AS score FROM (SELECT query_id, id, 1.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, 0.8, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM graph) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.graph(store(v), asked(v))), "query_id", weight=F.when(F.col("source") == "fts", 1.0).otherwise(0.8))))
+register("agg_rrf", "SELECT query_id, id, round(sum(1.0 / (60 + nth)) * 1000, 9) AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, nth FROM vec) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.vector(store(v), asked(v))), "query_id")))
+register("leg_rrf", "SELECT query_id, id, round(sum(w / (60 + nth)) * 1000, 9) AS score FROM (SELECT query_id, id, 1.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, 0.8, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM graph) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.graph(store(v), asked(v))), "query_id", weight=F.when(F.col("source") == "fts", 1.0).otherwise(0.8))))
 register("agg_trust", "SELECT query_id, id, CASE WHEN bool_or(source = 'graph') AND count(DISTINCT source) > 1 THEN 1.5 WHEN bool_or(source IN ('graph', 'vector')) THEN 1.0 ELSE 0.8 END::DOUBLE AS trust FROM (SELECT query_id, id, 'fts' AS source FROM fts UNION ALL SELECT query_id, id, 'graph' FROM graph UNION ALL SELECT query_id, id, 'vector' FROM vec) GROUP BY 1, 2")(lambda v: pl.fts(store(v), asked(v)).unionByName(pl.graph(store(v), asked(v))).unionByName(pl.vector(store(v), asked(v))).groupBy("query_id", "id").agg(relations.trust(F.collect_set("source")).alias("trust")))
 register("agg_max_graph", "SELECT query_id, id, graph_score FROM hops JOIN (SELECT query_id, id FROM graph) USING (query_id, id)")(lambda v: graphs.hop_scores(store(v).links, store(v).relations, asked(v).seeds, pl.graph(store(v), asked(v))).filter("graph_score > 0"))
 register("agg_neighbor_votes", "SELECT query_id, entity_id, count(*) AS votes FROM vec v JOIN memory_entities l ON l.memory_id = v.id WHERE nth <= 10 GROUP BY 1, 2 HAVING count(*) >= 2")(lambda v: relations.votes(vectorsearch.search(store(v).vectors.join(v.memories.filter(store(v).readable()).select("id"), "id", "left_semi"), asked(v).vectors, 10, 0.3).select("query_id", F.col("id").alias("memory_id")), v.memory_entities.select("memory_id", "entity_id")))
