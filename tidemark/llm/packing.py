@@ -182,7 +182,7 @@ class Ids(dict):
     used again is taken over.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.old = Tokenizer.from_file(path), room, {}
