@@ -26,7 +26,7 @@ _BITS, _GOLDEN = 31, 1327217885
 #: The weights that sources get in turn.
 WEIGHTS = (5, 2, 1)
 #: How many rows a bucket of a prefix sum has on average, at most.
-_BUCKET_ROWS = 16_384
+_BUCKET_ROWS = 2_048
 
 
 def n_words(text: Column) -> Column:
