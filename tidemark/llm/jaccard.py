@@ -77,7 +77,7 @@ def positions(run: int, level: int, similarity: float) -> list[int]:
             return drawn.tolist()
 
 
-def _next_paths(similarity: float, level: int, runs: int) -> Callable:
+def _next_paths(similarity: float, level: int, runs: range) -> Callable:
     """node, run, path and tokens of sets to node, run and path on the next level; level 0 starts every run."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _next_paths(similarity: float, level: int, runs: int) -> Callable:
             node, run, path = (batch.column(i).to_numpy() for i in range(3))
             token = np.stack([np.frombuffer(t, np.uint32) for t in batch.column(3).to_pylist()]).astype(np.uint64)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for r in range(runs):
+            for r in runs:
                 of = np.flatnonzero(run == r) if level else np.arange(len(node))
                 for p in positions(r, level, similarity) if len(of) else ():
                     h = path[of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + token[of, p] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((r * LEVELS + level) * TOKENS + p + 1)
@@ -106,6 +106,23 @@ def _tiles(rows: DataFrame, sizes: DataFrame, key: str, tile: int) -> DataFrame:
     return tiled.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).drop("other", "tiles")
 
 
+def _bucket_tiles(paths: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(path, node, one, two, own) of buckets, sizes: path, n, their major component and its m members.
+
+    A bucket of at most TILE sets is one tile. In a larger one the major component, whose sets are linked
+    already, has tiles of its own, which meet the others' tiles but not each other; so it costs a row for
+    each set and tile of the others, not for each pair of its own tiles.
+    """
+    rows = paths.join(sizes, "path")
+    major, whole = F.col("component") == F.col("major"), F.col("n") <= TILE
+    ours, others = F.ceil(F.col("m") / TILE).cast("int"), F.ceil((F.col("n") - F.col("m")) / TILE).cast("int")
+    place = F.xxhash64("node")
+    own = F.when(whole, 0).when(major, F.pmod(place, ours)).otherwise(ours + F.pmod(place, others)).cast("int")
+    met = F.when(whole, F.array(F.lit(0))).when(major, F.sequence(ours, ours + others - 1)).otherwise(F.sequence(F.lit(0), ours + others - 1))
+    tiled = rows.select("path", "node", own.alias("own"), F.explode(met).alias("other"))
+    return tiled.select("path", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own")
+
+
 def _by_group(compare: Callable[[pa.Table, bool], Iterator[tuple]], names: list[str], kinds: list[pa.DataType]) -> Callable:
     """For partitions sorted by (key, one, two), the first three columns: compare() of each group's rows, own first."""
 
@@ -259,17 +276,32 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(sets: DataFrame, similarity: float, recall: float, slack: float = 0.16) -> DataFrame:
     """Stars (a, b) of the nodes of sets (node, tokens, brief) that met in a bucket and look near.
 
-    slack lets pass what 128 tokens can underestimate: over four and a half standard deviations.
+    slack lets pass what 128 tokens can underestimate: over four and a half standard deviations. The first
+    run joins most of what is near; the others pass over buckets within one of its components, and in a large
+    bucket don't compare its largest component with itself again.
     """
     runs = runs_needed(recall, LEVELS)
+    first = staged(_met(sets, similarity, slack, range(1), None), "candidates")
+    rest = _met(sets, similarity, slack, range(1, runs), staged(components(first), "groups"))
+    return first.union(rest)
+
+
+def _met(sets: DataFrame, similarity: float, slack: float, runs: range, known: DataFrame | None) -> DataFrame:
+    """Stars of some runs. known: (node, component), buckets within one of which are passed over."""
     start = sets.select("node", F.lit(0).alias("run"), F.lit(0).cast("long").alias("path"), "tokens")
     leaves = None
     for level in range(LEVELS):
         paths = staged(start.mapInArrow(_next_paths(similarity, level, runs), "node long, run int, path long"), f"paths{level}")
-        sizes = staged(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"buckets{level}")
+        if known is None:
+            paths = paths.withColumn("component", F.col("node"))
+        else:
+            paths = paths.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = paths.groupBy("path", "component").agg(F.count("*").alias("n"))
+        sizes = parts.groupBy("path").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major"))
+        sizes = staged(sizes.filter(F.col("n") > F.col("major.n")).select("path", "n", F.col("major.component").alias("major"), F.col("major.n").alias("m")), f"buckets{level}")
         last = level == LEVELS - 1
         ready = sizes if last else sizes.filter(F.col("n") <= LIMIT)
-        found = _tiles(paths.select("path", "node"), ready, "path", TILE)
+        found = _bucket_tiles(paths, ready)
         leaves = found if leaves is None else leaves.unionByName(found)
         large = sizes.filter(F.col("n") > LIMIT)
         if last or not large.limit(1).count():
