@@ -327,6 +327,14 @@ def test_surrogates_stay_distinct(spark):
     assert len(made) == few.count() == len({(r.kind, r.new) for r in made})
 
 
+def test_given_names_never_run_out(spark):
+    kinds = [f"given_{g}_{s}" for s, g in pii.GIVEN]
+    rows = [(k, n) for k in kinds for n in [f"name{i}" for i in range(1500)] + [x.lower() for s, g in pii.GIVEN for x in pii.GIVEN[s, g] if k == f"given_{g}_{s}"]]
+    made = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "s").collect()
+    assert len(made) == len(rows) == len({(r.kind, r.new) for r in made})
+    assert not {(r.kind, r.new.lower()) for r in made} & set(rows)
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(2)
     texts, marks = [], []

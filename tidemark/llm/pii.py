@@ -97,6 +97,10 @@ def _syllable(items: tuple[str, ...], drawn: Column):
     return lambda i: _pick(items, _drawn(drawn, i + 10))
 
 
+def _appended(items: tuple[str, ...], drawn: Column):
+    return lambda i: F.concat(F.lit("-"), _pick(items, _drawn(drawn, i + 10)))
+
+
 def _reshaped(text: Column, drawn: Column, hexadecimal: Column) -> Column:
     """Other digits for digits and letters for letters of the same case; in hexadecimal strings, of the same alphabet."""
 
@@ -148,8 +152,9 @@ def surrogate(kind: Column, canon: Column, nonce: Column, secret: str) -> Column
     hexed = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), plain).otherwise(F.concat(secret_head, _reshaped(F.substring(canon, F.length(secret_head) + 1, F.length(canon)), drawn, F.lit(False))))
     name = F.lit(None).cast("string")
     for (script, gender), items in GIVEN.items():
-        # each further draw from the same list doubles the name, so the supply doesn't end
-        more = F.when(nonce >= 4, F.concat(F.lit("-"), _pick(items, _hex_number(F.substring(drawn, 9, 8))))).otherwise("")
+        # from the fifth draw on, each appends one name more, so the supply doesn't end
+        more = F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), nonce.cast("int"))), _appended(items, drawn))
+        more = F.when(nonce >= 4, F.array_join(more, "")).otherwise("")
         name = F.when(kind == f"given_{gender}_{script}", F.concat(_pick(items, number), more)).otherwise(name)
     for script, items in SYLLABLES.items():
         parts = F.transform(F.sequence(F.lit(0), F.least(F.lit(30), 2 + nonce.cast("int"))), _syllable(items, drawn))
@@ -220,7 +225,7 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
         if not again.limit(1).count():
             return settled
         rounds += 1
-        if rounds > 64:  # tiny domains, as a shape of two characters, may have no free surrogate: the rest stays keyed, though not distinct
+        if rounds > 64:  # never names; a shape half of whose values are real has no free surrogate: the rest stays keyed, though not distinct
             return settled.union(again.select("kind", "canon", "new"))
         taken = settled
         open_rows = again.select("kind", "canon", (F.col("nonce") + 1).alias("nonce"))
