@@ -212,6 +212,13 @@ def test_similarity_classes(spark, docs, texts, nothing, small, monkeypatch):
         assert jaccard.similarity_classes(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
 
 
+def test_classes_of_one_name_stay_apart(spark):
+    a, b, c, d = (words(k, 40) for k in (21, 22, 23, 24))
+    rows = [(None, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (5, c, "s"), (9, c, "s"), (5, d, "s"), (12, d, "s")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows_of(rows), DOCS)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (5, c), (5, d)])
+
+
 def test_runs_grow_with_recall():
     assert jaccard.runs_needed(0.5, 1) < jaccard.runs_needed(0.99, 1) < jaccard.runs_needed(0.99, 3)
 

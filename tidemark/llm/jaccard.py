@@ -313,7 +313,10 @@ def _met(sets: DataFrame, similarity: float, slack: float, runs: range, known: D
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, key (of id and text), class_id, n_links (other documents linked with it)."""
+    """A row for each row of docs: id, key (of id and text), class_id, n_links (other documents linked with it), component.
+
+    component tells classes apart; class_id is only a name, null or the same for two of them where ids are null or repeat.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("id"), F.col("text")))
     read = staged(rows.select("id", "key", "text").mapInArrow(_read, "id long, key long, high long, low long, tokens binary"), "sets")
     sets = read.filter("high is not null").groupBy("high", "low").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("tokens").alias("tokens"), F.min("key").alias("any_key"), F.min_by("id", "key").alias("any_id"))
@@ -336,9 +339,9 @@ def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, id_
     known = sets.select("node", "high", "low", "id", "n").join(degrees, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = staged(known, "linked")
     names = known.groupBy("component").agg(F.min("id").alias("class_id"))
-    known = staged(known.join(names, "component").select("high", "low", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "class-names")
+    known = staged(known.join(names, "component").select("high", "low", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "class-names")
     out = read.select("id", "key", "high", "low").join(known, ["high", "low"], "left")
-    return out.select("id", "key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("id", "key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component")
 
 
 def _brief(tokens: Column) -> Column:
@@ -360,7 +363,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995,
     """
     found = staged(classes(docs, similarity, recall, id_col, text_col), "classes")
     alone = found.filter("n_links = 0").select("id", "key", F.lit(False).alias("linked"))
-    least = found.filter("n_links > 0").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("row"))
+    least = found.filter("n_links > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("row"))
     stay = alone.distinct().union(least.select("row.id", "row.key", F.lit(True).alias("linked")))
     stay = staged(stay, "stay")
     plain, names = shielded(docs)
