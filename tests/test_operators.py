@@ -68,6 +68,31 @@ def test_average_linkage():
     assert selection.average_linkage(vectors, 0.8) == [0, 0, 2, 3]
 
 
+def test_average_linkage_is_that_of_all_pairs():
+    rng = np.random.default_rng(4)
+    for n, threshold in ((1, 0.3), (30, 0.3), (40, 0.5), (40, -0.2)):
+        vectors = [rng.normal(size=4) for _ in range(n)]
+        vectors[n // 2] = None
+        vectors[3:6] = [np.zeros(4), vectors[2], vectors[2]] if n > 6 else vectors[3:6]
+        unit = [np.zeros(4) if v is None or not v.any() else v / np.linalg.norm(v) for v in vectors]
+        groups = {i: [i] for i in range(n)}
+        while len(groups) > 1:
+            far = {(a, b): np.mean([1 - unit[i] @ unit[j] for i in groups[a] for j in groups[b]]) for a in groups for b in groups if a < b}
+            a, b = min(far, key=lambda k: (round(far[k], 12), k))
+            if far[a, b] > 1 - threshold:
+                break
+            groups[a] += groups.pop(b)
+        expected = {i: a for a, own in groups.items() for i in own}
+        assert selection.average_linkage(vectors, threshold) == [expected[i] for i in range(n)]
+
+
+def test_clusters_of_a_large_block(spark):
+    angle = [k // 2 * 0.04 for k in range(300)]
+    rows = [(1, f"v{k:03d}", [float(np.cos(x)), float(np.sin(x))]) for k, x in enumerate(angle)]
+    got = selection.clustered(spark.createDataFrame(rows, "label int, id string, embedding array<double>"), "label", threshold=0.9999).collect()
+    assert {(r.cluster_id, r.id) for r in got} == {(f"v{k // 2 * 2:03d}", f"v{k:03d}") for k in range(300)}
+
+
 def test_chunks_cover_the_text_and_overlap():
     text = "\n\n".join("word " * 100 for _ in range(10))
     plain = chunking.split_text(text, 100, 0)

@@ -1,7 +1,7 @@
 """Choosing among few candidates, one after the other: diversity, disclosure, batches and clusters.
 
 What depends on earlier choices runs in applyInPandas, on groups that the stages before have cut to a
-hundred rows or so.
+hundred rows or so; blocks to be clustered are whole.
 """
 
 from __future__ import annotations
@@ -109,39 +109,80 @@ def batched(rows: DataFrame, group: str, most: int) -> DataFrame:
     return rows.groupBy(group).applyInPandas(choose, f"{group} {dict(rows.dtypes)[group]}, id {dict(rows.dtypes)['id']}, batch int")
 
 
+def _parts(unit: np.ndarray, least: float) -> list[np.ndarray]:
+    """Indices of the components of pairs whose cosine is at least least, in ascending order."""
+    out, rest = [], np.arange(len(unit))
+    while len(rest):
+        own, front, rest = [rest[:1]], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            near = np.zeros(len(rest), bool)
+            step = max(1, (1 << 22) // len(rest))
+            for at in range(0, len(front), step):
+                near |= (unit[rest] @ unit[front[at : at + step]].T >= least).any(axis=1)
+            front, rest = rest[near], rest[~near]
+            own.append(front)
+        out.append(np.sort(np.concatenate(own)))
+    return out
+
+
+def _merged(unit: np.ndarray, most: float) -> np.ndarray:
+    """The cluster of each row: the closest two merge while their mean distance is at most most. Sums are kept, not recomputed."""
+    n = len(unit)
+    total = unit @ unit.T
+    np.subtract(1, total, out=total)
+    size, alive = np.ones(n), np.ones(n, bool)
+    best, partner, out = np.full(n, np.inf), np.zeros(n, int), np.arange(n)
+
+    def look(a: int) -> None:
+        mean = np.where(alive[a + 1 :], np.round(total[a, a + 1 :] / (size[a] * size[a + 1 :]), 12), np.inf)
+        if len(mean):
+            partner[a] = a + 1 + mean.argmin()
+            best[a] = mean.min()
+
+    for a in range(n):
+        look(a)
+    for _ in range(n - 1):
+        a = int(best.argmin())
+        b = int(partner[a])
+        if total[a, b] / (size[a] * size[b]) > most:
+            break
+        total[a] += total[b]
+        total[:, a] = total[a]
+        size[a] += size[b]
+        alive[b], best[b], out[out == b] = False, np.inf, a
+        stale = np.flatnonzero(alive[:b] & ((partner[:b] == a) | (partner[:b] == b)))
+        for r in {a, *stale.tolist()}:
+            look(r)
+        mean = np.where(alive[:a], np.round(total[:a, a] / (size[:a] * size[a]), 12), np.inf)
+        nearer = np.flatnonzero((mean < best[:a]) | ((mean == best[:a]) & np.isfinite(mean) & (a < partner[:a])))
+        best[nearer], partner[nearer] = mean[nearer], a
+    return out
+
+
 def average_linkage(vectors: list[np.ndarray | None], threshold: float) -> list[int]:
     """The cluster of each vector: the closest two merge while their mean distance is at most 1 - threshold.
 
-    A vector that is missing is at distance one from all. Ties go to the smaller indices.
+    A vector that is missing is at distance one from all. Ties go to the smaller indices. Two clusters merge
+    only if some pair between them is as near as that, so each component of such pairs is merged by itself.
     """
-    n = len(vectors)
-    far = np.ones((n, n))
-    for i in range(n):
-        for j in range(i):
-            if vectors[i] is not None and vectors[j] is not None:
-                far[i, j] = far[j, i] = 1 - _cosine(vectors[i], vectors[j])
-    groups = {i: [i] for i in range(n)}
-    while len(groups) > 1:
-        keys = sorted(groups)
-        best = min(((far[np.ix_(groups[a], groups[b])].mean(), a, b) for x, a in enumerate(keys) for b in keys[x + 1 :]), key=lambda t: (round(t[0], 12), t[1], t[2]))
-        if best[0] > 1 - threshold:
-            break
-        groups[best[1]] += groups.pop(best[2])
-    out = [0] * n
-    for a, own in groups.items():
-        for i in own:
-            out[i] = a
-    return out
+    width = next((len(v) for v in vectors if v is not None), 0)
+    unit = np.array([np.zeros(width) if v is None else v for v in vectors], float).reshape(len(vectors), width)
+    norm = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
+    out = np.zeros(len(vectors), int)
+    for own in _parts(unit, threshold - 1e-9):
+        out[own] = own[_merged(unit[own], 1 - threshold)]
+    return out.tolist()
 
 
-def clustered(rows: DataFrame, block: str, threshold: float = 0.7, least: int = 2, most: int = 200) -> DataFrame:
+def clustered(rows: DataFrame, block: str, threshold: float = 0.7, least: int = 2) -> DataFrame:
     """rows: block, id, embedding. (block, cluster_id, id) of clusters of at least least rows, cluster_id their smallest id.
 
-    Blocks hold at most most rows, those with the smallest ids; a caller cuts larger blocks first.
+    All rows of a block count. A block's vectors meet in one task, which holds the distances of one component at a time.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").head(most).reset_index(drop=True)
+        pdf = pdf.sort_values("id").reset_index(drop=True)
         found = average_linkage([None if e is None else np.asarray(e, float) for e in pdf.embedding], threshold)
         out = pd.DataFrame({block: pdf[block], "cluster_id": [pdf.id[c] for c in found], "id": pdf.id})
         return out[out.groupby("cluster_id").id.transform("size") >= least]
