@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
-from tidemark.operators import chunking, fulltext, hooks, relations, selection, snapshots
+from tidemark.operators import chunking, fulltext, graphs, hooks, relations, selection, snapshots, vectorsearch
 from tidemark.plans import pipelines, routing
 from tidemark.streaming import streams
 
@@ -93,6 +93,16 @@ def test_clusters_of_a_large_block(spark):
     assert {(r.cluster_id, r.id) for r in got} == {(f"v{k // 2 * 2:03d}", f"v{k:03d}") for k in range(300)}
 
 
+def test_no_limit_is_no_cut(spark):
+    vectors = spark.createDataFrame([(f"m{i:02d}", [1.0, float(i)]) for i in range(40)], "id string, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 1.0])], "query_id int, query array<double>")
+    assert vectorsearch.search(vectors, asked, None).count() == 40 and vectorsearch.search(vectors, asked, 3).count() == 3
+    rows = spark.createDataFrame([(f"m{i:02d}", None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1)) for i in range(40)], "id string, deleted_at timestamp, created_at timestamp, updated_at timestamp")
+    links = spark.createDataFrame([(f"e{i % 8}", f"m{i:02d}") for i in range(40)], "entity_id string, memory_id string")
+    visited = spark.createDataFrame([(0, f"e{i}", i) for i in range(8)], "query_id int, entity_id string, depth int")
+    assert graphs.collected(rows, links, visited, "2024-01-30 12:00:00", limit=None).count() == 40 and graphs.collected(rows, links, visited, "2024-01-30 12:00:00").count() == 30
+
+
 def test_chunks_cover_the_text_and_overlap():
     text = "\n\n".join("word " * 100 for _ in range(10))
     plain = chunking.split_text(text, 100, 0)

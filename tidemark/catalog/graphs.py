@@ -46,4 +46,4 @@ def _collected(v):
 
 def _min_depth(v):
     st = store(v)
-    return graphs.collected(st.rows.filter(st.readable()), st.links, graphs.walk(st.relations, asked(v).seeds, 2), NOW, limit=1_000_000).select("query_id", "id", "depth")
+    return graphs.collected(st.rows.filter(st.readable()), st.links, graphs.walk(st.relations, asked(v).seeds, 2), NOW, limit=None).select("query_id", "id", "depth")

@@ -134,7 +134,7 @@ def _nearest_in_label(v):
 
 def _by_centroid(v):
     means = vectorsearch.centroids(v.memory_embeddings.select("memory_id", "embedding"), v.memory_entities.filter("role = 'mentioned'").select("memory_id", "entity_id"))
-    found = vectorsearch.search(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding"), means.select(F.col("entity_id").alias("query_id"), F.col("centroid").alias("query")), 1_000_000, 0.25)
+    found = vectorsearch.search(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding"), means.select(F.col("entity_id").alias("query_id"), F.col("centroid").alias("query")), None, 0.25)
     best = Window.partitionBy("id").orderBy(F.desc("score"), "query_id")
     return found.withColumn("nth", F.row_number().over(best)).filter("nth <= 10").select(F.col("id").alias("memory_id"), F.col("query_id").alias("entity_id"))
 

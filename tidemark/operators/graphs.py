@@ -32,14 +32,15 @@ def walk(relations: DataFrame, seeds: DataFrame, depth: int, most: int | None =
     return visited
 
 
-def collected(rows: DataFrame, links: DataFrame, visited: DataFrame, now: str, per_entity: int = 10, limit: int = 30, rate: float = 0.01) -> DataFrame:
-    """(query_id, id, depth, score): the newest live rows of visited entities, with the least depth, aged."""
+def collected(rows: DataFrame, links: DataFrame, visited: DataFrame, now: str, per_entity: int = 10, limit: int | None = 30, rate: float = 0.01) -> DataFrame:
+    """(query_id, id, depth, score): the newest live rows of visited entities, with the least depth, aged; all of them with limit None."""
     newest = Window.partitionBy("entity_id").orderBy(F.desc("updated_at"), "memory_id")
     owned = links.select("entity_id", "memory_id").distinct().join(rows.filter(live()).select(F.col("id").alias("memory_id"), "updated_at"), "memory_id")
     owned = owned.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= per_entity)
     near = owned.join(visited, "entity_id").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("depth").alias("depth"))
-    first = Window.partitionBy("query_id").orderBy("depth", "id")
-    near = near.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= limit).drop("_nth")
+    if limit is not None:
+        first = Window.partitionBy("query_id").orderBy("depth", "id")
+        near = near.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= limit).drop("_nth")
     aged = near.join(rows.select("id", "created_at"), "id")
     return aged.select("query_id", "id", "depth", (age_decay(F.col("created_at"), now, rate) / (F.col("depth") + 1)).alias("score"))
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import cosine
 
 
-def search(vectors: DataFrame, queries: DataFrame, limit: int = 30, least: float | None = None, condition=None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, limit: int | None = 30, least: float | None = None, condition=None) -> DataFrame:
     """For each query (query_id, query) the rows of vectors (id, embedding) nearest by cosine: query_id, id, score.
 
-    The query set is stated and small against the vectors, so it is what Spark sends to them.
+    With limit None all rows count. The query set is stated and small against the vectors, so it is what Spark sends to them.
     """
     rows = vectors if condition is None else vectors.filter(condition)
     scored = rows.join(queries.hint("broadcast"), F.size("embedding") == F.size("query")).withColumn("score", cosine(F.col("embedding"), F.col("query")))
     scored = scored if least is None else scored.filter(F.col("score") >= least)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= limit).select("query_id", "id", "score", "nth")
+    ranked = scored.withColumn("nth", F.row_number().over(nearest))
+    return (ranked if limit is None else ranked.filter(F.col("nth") <= limit)).select("query_id", "id", "score", "nth")
 
 
 def centroids(vectors: DataFrame, links: DataFrame) -> DataFrame:
