@@ -41,7 +41,7 @@ KINDS = (
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: No text without a character of these has an entity; cheap, so it goes first.
-_HINT = rf"[0-9@]|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.?[ \xA0]"
+_HINT = rf"[0-9@]|AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[a-f]{{32}}|[A-F]{{32}}|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.?[ \xA0]"
 
 #: Surrogate given names by script and gender, and syllables of surrogate family names.
 GIVEN = {
