@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -28,22 +31,57 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made = threading.local()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder. It cuts lineage and outlives executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in getattr(_made, "scopes", [])[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove what staged() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files that nothing on the driver refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what staged() wrote, once nothing reads it any more."""
+    paths = {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}
+    if paths:
+        _remove(tables[0].sparkSession, sorted(paths))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables staged inside are removed at its end, but those that the result, put into the list, reads."""
+    scopes = _made.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        paths = scopes.pop()
+        files = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in kept for f in df.inputFiles()}
+        stay = [p for p in paths if p.split(":", 1)[-1].lstrip("/") in files]
+        for outer in scopes[-1:]:
+            outer.extend(stay)
+        if gone := [p for p in paths if p not in stay]:
+            _remove(spark, gone)
+            release(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,14 +1,18 @@
 """Similarity join of documents on word shingles by chosen paths (operator 5).
 
 Texts with equal sets of shingles are one representative with a count. Minimum hashes make each set a
-vector of 128 tokens. In each run, and on each level of it, a few positions are drawn, 1/similarity of
-them on average; every set follows the path of its tokens at those positions, so sets split into
-buckets that share them. Buckets of moderate size are brute-forced, larger ones split again; what is
-still large on the last level is brute-forced in tiles of bounded size. Runs repeat until a pair at the
-threshold is met with the target probability even where it has to survive every level.
+vector of 128 tokens. In each run, and on each level of it, a position is drawn, another one for each
+path; every set follows the path of its token there, so sets split into buckets that share the tokens
+drawn so far. Buckets of moderate size are brute-forced, larger ones split again; what is still large on
+the last level is brute-forced in tiles of bounded size. Runs repeat until a pair at the threshold is met
+with the target probability even where it has to survive every level. (Drawing a random number of
+positions, 1/similarity on average, costs more rows for the same recall while levels are few.)
 
 Brute force compares the token vectors and gives out stars of local components, never all pairs. The
-components of these candidates then hold every pair that can be near; inside each one an exact check of
+first run shows the components of what is alike; in the other runs a large component stands in a bucket
+by its centre: Hamming distance of token vectors is a metric, so sets farther from the centre than the
+component's reach allows are near none of it, and where all are that far the component leaves the bucket.
+The components of these candidates then hold every pair that can be near; inside each one an exact check of
 the whole shingle sets, again in tiles, counts links and yields the stars of exact links, whose
 components are the classes. So a link between two texts is counted once, whichever buckets they met in.
 
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, drop, shielded, staged, text_key, unshielded
+from tidemark.llm.common import arrow_rows, drop, scratch, shielded, staged, text_key, unshielded
 from tidemark.llm.components import components, roots_of
 from tidemark.llm.substrings import Rolling, word_hashes
 
@@ -58,26 +62,17 @@ def tokens(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_needed(recall: float, levels: int) -> int:
-    """Runs until a pair at the threshold has survived all levels of one with this probability.
-
-    Each level keeps such a pair if a drawn position, Poisson(1 / similarity) of them, agrees in both.
-    """
-    kept = 1.0
-    for _ in range(levels):
-        kept = 1 - math.exp(-kept)
-    return math.ceil(math.log(1 - recall) / math.log(1 - kept))
+def runs_needed(recall: float, levels: int, similarity: float = 0.8) -> int:
+    """Runs until a pair at the threshold has survived all levels of one with this probability: each keeps it with probability similarity."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**levels)))
 
 
-def positions(run: int, level: int, similarity: float) -> list[int]:
-    rng = np.random.default_rng([run, level, 77])
-    while True:
-        drawn = np.flatnonzero(rng.random(TOKENS) < 1 / (similarity * TOKENS))
-        if len(drawn):
-            return drawn.tolist()
+def _scrambled(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _next_paths(similarity: float, level: int, runs: range) -> Callable:
+def _next_paths(level: int, runs: range) -> Callable:
     """node, run, path and tokens of sets to node, run and path on the next level; level 0 starts every run."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +80,14 @@ def _next_paths(similarity: float, level: int, runs: range) -> Callable:
             if not batch.num_rows:
                 continue
             node, run, path = (batch.column(i).to_numpy() for i in range(3))
-            token = np.stack([np.frombuffer(t, np.uint32) for t in batch.column(3).to_pylist()]).astype(np.uint64)
+            token = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for r in runs:
-                of = np.flatnonzero(run == r) if level else np.arange(len(node))
-                for p in positions(r, level, similarity) if len(of) else ():
-                    h = path[of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + token[of, p] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((r * LEVELS + level) * TOKENS + p + 1)
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(32)
-                    out.append((node[of], np.full(len(of), r, np.int32), h.view(np.int64)))
+            for r in runs if level == 0 else (None,):
+                number = run if r is None else np.full(len(node), r, np.int32)
+                seed = _scrambled(path.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (number * LEVELS + level + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                drawn = (seed >> np.uint64(7)) % np.uint64(TOKENS)
+                h = _scrambled(seed + token[np.arange(len(node)), drawn.astype(np.int64)] * np.uint64(0xC2B2AE3D27D4EB4F))
+                out.append((node, number, h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "run", "path"])
 
     return follow
@@ -277,28 +271,89 @@ def candidates(sets: DataFrame, similarity: float, recall: float, slack: float =
     """Stars (a, b) of the nodes of sets (node, tokens, brief) that met in a bucket and look near.
 
     slack lets pass what 128 tokens can underestimate: over four and a half standard deviations. The first
-    run joins most of what is near; the others pass over buckets within one of its components, and in a large
-    bucket don't compare its largest component with itself again.
+    two runs, one after the other, join most of what is near; a later run passes over buckets within one of
+    the components known by then, compares a large bucket's largest component with none of its own, and only
+    with sets that its centre can't rule out.
+    """
+    runs = runs_needed(recall, LEVELS, similarity)
+    briefs = sets.select("node", "brief")
+    found, known = None, None
+    for part in (range(1), range(1, min(2, runs)), range(2, runs)):
+        if not len(part):
+            break
+        if found is not None:
+            groups = staged(components(found), "groups")
+            centres = groups.filter("node = component").join(briefs, "node").select("component", F.col("brief").alias("centre"))
+            placed = groups.join(briefs, "node").join(centres, "component").select("node", "component", "brief", "centre")
+            known = staged(placed.mapInArrow(_distances, "node long, component long, far int"), "known")
+            drop(groups)
+        more = staged(_met(sets, similarity, slack, part, known), "candidates")
+        found = more if found is None else found.union(more)
+    return found
+
+
+def _apart(brief: pa.Array, centre: pa.Array) -> np.ndarray:
+    """In how many positions two columns of token vectors differ."""
+    one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, TOKENS) for c in (brief, centre))
+    return (one != two).sum(axis=1).astype(np.int32)
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow_rows(batches, 10_000):
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_apart(*batch.columns[2:]))], ["node", "component", "far"])
+
+
+def _in_reach(least: float) -> Callable:
+    """Of sets with a centre and its component's reach, those that some set of the component may agree with in the share least."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, 10_000):
+            if batch.num_rows:
+                apart = _apart(batch.column("brief"), batch.column("centre"))
+                some = apart - batch.column("reach").to_numpy() <= (1 - least) * TOKENS
+                yield batch.select(["node", "run", "path"]).filter(pa.array(some))
+
+    return kept
+
+
+def _bucketed(paths: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """paths with each set's component, and (path, n, major, m, reach) of buckets with sets of several components."""
+    paths = paths.join(known, "node", "left").withColumns({"component": F.coalesce("component", "node"), "far": F.coalesce("far", F.lit(0))})
+    parts = paths.groupBy("path", "component").agg(F.count("*").alias("n"), F.max("far").alias("reach"))
+    sizes = parts.groupBy("path").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component", "reach")).alias("major"))
+    return paths, sizes.filter(F.col("n") > F.col("major.n")).select("path", "n", F.col("major.component").alias("major"), F.col("major.n").alias("m"), F.col("major.reach").alias("reach"))
+
+
+def _pruned(paths: DataFrame, known: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(node, run, path) of buckets in which something can be found, major components left out where their centre allows.
+
+    The other sets of such a bucket make a bucket of their own, and those in reach meet the component.
     """
-    runs = runs_needed(recall, LEVELS)
-    first = staged(_met(sets, similarity, slack, range(1), None), "candidates")
-    rest = _met(sets, similarity, slack, range(1, runs), staged(components(first), "groups"))
-    return first.union(rest)
+    paths, sizes = _bucketed(paths, known)
+    sizes = staged(sizes, "parted")
+    large = sizes.filter(F.col("m") > LIMIT)
+    calm = paths.join(sizes.filter(F.col("m") <= LIMIT).select("path"), "path").select("node", "run", "path")
+    centres = sets.select(F.col("node").alias("major"), F.col("brief").alias("centre"))
+    others = paths.join(large.select("path", "major", "reach"), "path").filter("component != major").select("node", "run", "path", "major", "reach")
+    asked = others.join(large.join(centres, "major").select("path", "centre"), "path").join(sets.select("node", "brief"), "node")
+    near = staged(asked.select("node", "run", "path", "brief", "centre", "reach").mapInArrow(_in_reach(least), "node long, run int, path long"), "near")
+    met = large.join(near.select("path").distinct(), "path").select("path", F.col("major").alias("component"))
+    major = paths.join(met, ["path", "component"]).select("node", "run", "path")
+    apart = others.select("node", "run", F.xxhash64("path", F.lit("others")).alias("path"))
+    return calm.union(near).union(major).union(apart)
 
 
 def _met(sets: DataFrame, similarity: float, slack: float, runs: range, known: DataFrame | None) -> DataFrame:
-    """Stars of some runs. known: (node, component), buckets within one of which are passed over."""
+    """Stars of some runs. known: (node, component, far from its centre), buckets within one of which are passed over."""
     start = sets.select("node", F.lit(0).alias("run"), F.lit(0).cast("long").alias("path"), "tokens")
     leaves = None
     for level in range(LEVELS):
-        paths = staged(start.mapInArrow(_next_paths(similarity, level, runs), "node long, run int, path long"), f"paths{level}")
-        if known is None:
-            paths = paths.withColumn("component", F.col("node"))
-        else:
-            paths = paths.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = paths.groupBy("path", "component").agg(F.count("*").alias("n"))
-        sizes = parts.groupBy("path").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major"))
-        sizes = staged(sizes.filter(F.col("n") > F.col("major.n")).select("path", "n", F.col("major.component").alias("major"), F.col("major.n").alias("m")), f"buckets{level}")
+        paths = staged(start.mapInArrow(_next_paths(level, runs), "node long, run int, path long"), f"paths{level}")
+        if known is not None:
+            paths = staged(_pruned(paths, known, sets, similarity - slack), f"pruned{level}")
+        paths, sizes = _bucketed(paths, known if known is not None else sets.select("node", F.col("node").alias("component"), F.lit(0).alias("far")).limit(0))
+        sizes = staged(sizes.drop("reach"), f"buckets{level}")
         last = level == LEVELS - 1
         ready = sizes if last else sizes.filter(F.col("n") <= LIMIT)
         found = _bucket_tiles(paths, ready)
@@ -312,17 +367,23 @@ def _met(sets: DataFrame, similarity: float, slack: float, runs: range, known: D
     return grouped.mapInArrow(_alike(similarity - slack), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, key (of id and text), class_id, n_links (other documents linked with it), component.
 
     component tells classes apart; class_id is only a name, null or the same for two of them where ids are null or repeat.
     """
+    with scratch(docs.sparkSession) as kept:
+        kept.append(_classes(docs, similarity, recall, id_col, text_col))
+    return kept[0]
+
+
+def _classes(docs: DataFrame, similarity: float, recall: float, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("id"), F.col("text")))
     read = staged(rows.select("id", "key", "text").mapInArrow(_read, "id long, key long, high long, low long, tokens binary"), "sets")
     sets = read.filter("high is not null").groupBy("high", "low").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("tokens").alias("tokens"), F.min("key").alias("any_key"), F.min_by("id", "key").alias("any_id"))
     sets = sets.withColumn("node", F.monotonically_increasing_id()).withColumn("brief", _brief(F.col("tokens")))
     sets = staged(sets, "representatives")
-    near = staged(candidates(sets, similarity, recall), "candidates")
+    near = candidates(sets, similarity, recall)
     groups = staged(components(near), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sets.select("node", "any_id", "any_key", F.col("n").alias("copies")), "node")
@@ -351,12 +412,12 @@ def _brief(tokens: Column) -> Column:
     return F.unhex(F.regexp_replace(hexed, "(..)......", "$1"))
 
 
-def similarity_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id, class_id and n_links."""
     return classes(docs, similarity, recall, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: its smallest id, or where ids are null or repeat, the smallest hash of id and text.
 
     Documents that link with nothing stay, those without words among them, and repeats of those too.
