@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,8 +171,33 @@ def _at_powers(pieces: list[tuple[int, int, int]], window: int) -> Iterator[list
         yield seq
 
 
-#: Between a letter or digit and a mark the tokenizer always splits; not so before an apostrophe.
-_APART = re.compile(r"(?<=[^\W_])(?=[.,;:!?$%&*#|)\"\]}])")
+#: Between an ASCII letter or digit and a mark the tokenizer always splits; not so before an apostrophe.
+_BEFORE, _MARK = (np.isin(np.arange(256), np.frombuffer(c, np.uint8)) for c in (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b'.,;:!?$%&*#|)"]}'))
+
+
+def _apart(texts: pa.Array) -> pa.Array:
+    """texts, large strings, with a space where the tokenizer splits anyway, so that fewer units differ."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    marks = np.flatnonzero(_MARK[held])
+    marks = marks[marks > 1]
+    before, lead = held[marks - 1], held[marks - 2]
+    # U+00C0 to U+017F, two bytes, are letters but for the signs of multiplication and division
+    cuts = marks[_BEFORE[before] | (before > 127) & ((lead == 0xC3) & (before != 0x97) & (before != 0xB7) | (lead == 0xC4) | (lead == 0xC5))]
+    new = at - at[0]
+    cuts = np.setdiff1d(cuts, new, assume_unique=False)
+    spaced = np.insert(held, cuts, 32)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(new + np.searchsorted(cuts, new)), pa.py_buffer(spaced))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models have for each byte: itself if it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in prints)}
+
+
+_BYTES = _byte_letters()
 
 
 class Ids(dict):
@@ -186,16 +212,20 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.old = Tokenizer.from_file(path), room, {}
+        self.model = self.tokenizer.model
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         split, normal = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
         self.cuts = '"Removed"' in split and '"invert": true' in split and '"add_prefix_space": true' not in split
-        self.lowers = self.cuts and '"Lowercase"' in normal and '"NFC"' in normal and r"[\\p{L}]+" in split and r"[^\\s\\p{L}\\p{N}]+" in split
+        self.lowers = self.cuts and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and '"ByteLevel"' in split and '"Lowercase"' in normal and '"NFC"' in normal and r"[\\p{L}]+" in split and r"[^\\s\\p{L}\\p{N}]+" in split
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or []) or r"(?!)")
 
     def encode(self, text: str) -> bytes:
+        # letters alone are one pre-token as they stand, so the model can have them at once
+        if self.lowers and text.isalpha() and max(text) < "\u0250" and text.islower():
+            return array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES))]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
@@ -209,14 +239,46 @@ class Ids(dict):
             self[unit] = ids
         return ids
 
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts or self.special.search(text) or _ODD.search(text):
-            return self.encode(text)
-        if self.lowers and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            text = _APART.sub(" ", text.lower())
-        return b"".join(map(self.__getitem__, text.split()))
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Units are told apart by Arrow, so each is looked up once for all texts."""
+        out, at, plain = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.cuts or self.special.search(text) or _ODD.search(text) or self.lowers and not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                out[i] = self.encode(text)
+            else:
+                at.append(i)
+                plain.append(text.lower() if self.lowers else text)
+        if not plain:
+            return out
+        split = pc.ascii_split_whitespace(_apart(pa.array(plain, pa.large_string())) if self.lowers else pa.array(plain, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        units = [self[u] for u in coded.dictionary.to_pylist()]
+        known = np.frombuffer(b"".join(units), "<u4")
+        length = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        code = coded.indices.to_numpy()
+        counts = length[code]
+        ends = np.r_[0, np.cumsum(counts)]
+        ids = known[np.repeat((np.cumsum(length) - length)[code] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        cut = (4 * ends[split.offsets.to_numpy()]).tolist()
+        for i, start, stop in zip(at, cut, cut[1:]):
+            out[i] = ids[start:stop]
+        return out
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batches in parts of about size bytes of text, with the texts."""
+    for batch in arrow_rows(batches, 2000):
+        texts = batch.column(1).to_pylist()
+        start = held = 0
+        for i, text in enumerate(texts):
+            held += len(text or "")
+            if held >= size:
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                start, held = i + 1, 0
+        if start < len(texts):
+            yield batch.slice(start), texts[start:]
 
 
 _encoders: dict[str, Ids] = {}
@@ -263,10 +325,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
             shard.clear()
 
         id_type = None
-        for batch in arrow_rows(batches, 500):
+        for batch, texts in _in_parts(batches):
             id_type = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.of(text) + ending
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.of(texts)):
+                ids = found + ending
                 total = len(ids) // 4
                 whole = total // window
                 for k in range(whole):
