@@ -284,6 +284,12 @@ def test_units_add_up():
         assert counter(t) == len(whole.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_factors_grow_greedily():
+    parts = [(0, 60, 1, 100), (11, 80, 1, 111), (31, 90, 1, 131), (120, 170, 1, 7), (41, 95, 2, 0)]
+    assert substrings.greedy_factors(parts, 50) == [(0, 90, 1, 100), (41, 95, 2, 0), (120, 170, 1, 7)]
+    assert substrings.greedy_factors([], 50) == []
+
+
 def _removed(texts, window=50):
     first, out = {}, []
     split = [(i, (t or "").encode().split()) for i, t, _ in texts]
@@ -308,6 +314,18 @@ def test_substrings(spark, docs, texts, nothing):
     mixed = [(k, " ".join(x for _ in range(4) for x in pool[rng.randrange(6)][rng.randrange(20) : 20 + rng.randrange(50)]), "s") for k in range(60)]
     df = spark.createDataFrame(rows_of(mixed), DOCS)
     assert Counter(tuple(r) for r in substrings.deduplicated(df).collect()) == _removed(mixed)
+    split = {k: t.split() for k, t, _ in mixed}
+    whole = 0
+    for r in substrings.deduplicated(df, with_text=True).collect():
+        gone = set()
+        for f in r.factors or ():
+            assert f.source < r.doc_id and f.stop - f.start >= 50
+            assert split[r.doc_id][f.start : f.stop] == split[f.source][f.source_start :][: f.stop - f.start]
+            whole += f.stop - f.start > 50
+            gone |= set(range(f.start, f.stop))
+        assert r.n_removed == len(gone)
+        assert r.text.split() == [w for p, w in enumerate(split[r.doc_id]) if p not in gone]
+    assert whole
     assert substrings.deduplicated(nothing).count() == 0
 
 

@@ -71,4 +71,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op9_pii, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+
+#: Links by brute force within a label, components by the closure of links.
+_OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ fine AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ reached AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+ least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+ degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (vec_id) LEFT JOIN degrees USING (vec_id)
+"""
+
+#: Shingles of five words, or of all words of a shorter text; every pair that shares one is counted.
+_OP5 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ shingles AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[s : s + 4], ' ')) AS h FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(s) WHERE len(w) > 0),
+ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared.n / (x.n + y.n - shared.n) >= 0.8),
+ reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+ least AS (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id),
+ degrees AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM documents JOIN least USING (doc_id) LEFT JOIN degrees USING (doc_id)
+"""
+
+#: Base 32 by pieces of 20 bits, four letters each.
+_OP6 = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+ hashed AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM payloads)
+SELECT page_id, payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM hashed
+"""
+
+#: Every window of 50 words, its first document, and the words that later ones cover.
+_OP8 = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ windows AS (SELECT doc_id, s, md5_number(array_to_string(w[s : s + 49], ' ')) AS h FROM words, unnest(range(1, len(w) - 48)) AS t(s) WHERE len(w) >= 50),
+ firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+ each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_embedding_dedup": _OP3, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op8_substrings": _OP8}

@@ -1,24 +1,28 @@
-"""Substring deduplication by relative factors (operator 8).
+"""Substring deduplication by relative Lempel-Ziv factors (operator 8).
 
 A word is removed if a window of so many words that covers it also starts in a document with a smaller
-id. Documents are parsed into factors against an index of every document's reference blocks:
+id. Every document is parsed greedily into factors, copies of text of earlier documents, against an index
+of the reference blocks of all documents; only factors of a window's length or more matter here.
 
 1. Each window's anchor is its smallest hash of a few words (the leftmost, if several). Equal windows
    have equal anchors at equal offsets. The windows in a row with one anchor make a phrase, and the
-   phrases, keyed by the hash of all their words, are the reference blocks.
-2. A phrase whose block is also in a document with a smaller id is a long factor as a whole: all its
-   windows are duplicates. So a copy costs one row for each phrase, whatever its length.
-3. At the boundaries of factors a phrase agrees with another only in part. Then its anchor has several
+   phrases, keyed by the hash of all their words, are the reference blocks, each with the place where it
+   stands first. Blocks are spread by hash, and a document meets, by a join, just those that have
+   something of it; visiting every block with every document would cost their product.
+2. The parse walks a document's phrases. A phrase found in an earlier document starts a factor, which
+   is extended while the next one stands next in the same document too.
+3. At a factor's boundary the phrase agrees with another only in part. Then its anchor has several
    blocks; only for those, and only in the document that holds the block first, windows are checked
-   one by one against the index of windows.
+   word by word against an index of windows, and what is found extends the factor or is one of its own.
 
 Each step is a minimum by key, combined on the map side, and a join of written tables, which may be split
-where a key is hot. Word sequences are compared by 128-bit hashes in the index (64 bits of the block or
-window and 64 of its anchor).
+where a key is hot; a copy costs a row for each phrase, whatever it holds. Word sequences are compared by
+128-bit hashes in the index (64 bits of the block or window and 64 of its anchor).
 
 Words are the runs of characters other than space and \\t to \\r, unchanged. A null or empty text has no
 words. A row with a null id is no reference and loses nothing. Rows that repeat an id take nothing from
-each other. Other columns are not read.
+each other. Other columns are not read. An empty table gives an empty one. A very long text is one row of
+a task, which holds its words and their hashes, some 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, staged, text_key
+from tidemark.llm.common import arrow_rows, drop, release, scratch, staged, text_key
 
 _ANCHOR = 8
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -125,8 +129,39 @@ def _covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def duplicate_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document with a duplicate span: id, key (of id and text), spans: array of (start, stop) in words."""
+def greedy_factors(items: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (start, stop, source, source_start) of a document from parts that were found, given alike.
+
+    From left to right, a factor is extended by a part that goes on in the same place of the same source,
+    with no window between them.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    last: dict[tuple[int, int], int] = {}  # open factors by source and shift
+    for start, stop, source, place in sorted(items):
+        at = last.get((source, place - start))
+        if at is not None and start <= out[at][1] - window + 1:
+            out[at] = (out[at][0], max(stop, out[at][1]), *out[at][2:])
+        else:
+            last[source, place - start] = len(out)
+            out.append((start, stop, source, place))
+    return out
+
+
+_SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
+
+
+def factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document with a factor of a window or more: its id, key (of id and text), factors.
+
+    factors: array of (start, stop, source, source_start), in words; source is the smallest id that has the factor's first part.
+    """
+    with scratch(docs.sparkSession) as kept:
+        kept.append(staged(_factors(docs, window, id_col, text_col), "factors"))
+    return kept[0]
+
+
+def _factors(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     rows = rows.withColumn("key", text_key(F.col("id"), F.col("text")))
 
@@ -144,13 +179,17 @@ def duplicate_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), _signed(blocks), _signed(anchors), pa.array(first.astype("i4")), pa.array(count.astype("i4"))], names)
 
     found = staged(rows.mapInArrow(parsed, "id long, key long, block long, anchor long, first int, count int"), "phrases")
-    index = found.groupBy("block", "anchor").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-    index = staged(index, "blocks")
+    index = staged(found.groupBy("block", "anchor").agg(F.min(F.struct("id", "first")).alias("source"), F.max("id").alias("last")), "blocks")
+    release(spark)
+    shared = index.filter("source.id < last").select("block", "anchor", "source")
+    whole = found.join(shared, ["block", "anchor"]).filter("source.id < id")
+    whole = staged(whole.select("id", "key", F.col("first").alias("start"), (F.col("first") + F.col("count") + window - 1).alias("stop"), F.col("source.id").alias("source"), F.col("source.first").alias("place")), "whole")
     several = index.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    partly = index.join(several, "anchor", "left_semi").select("block", "anchor", "owner")
-    shared = index.filter("owner < last").select("block", "anchor", "owner")
-    whole = found.join(shared, ["block", "anchor"]).filter("owner < id").select("id", "key", F.col("first").alias("start"), (F.col("first") + F.col("count") + window - 1).alias("stop"))
-    checks = found.join(staged(partly, "partly"), ["block", "anchor"]).filter("owner = id").groupBy("id", "key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    partly = staged(index.join(several, "anchor", "left_semi").select("block", "anchor", F.col("source.id").alias("owner")), "partly")
+    drop(index)
+    checks = staged(found.join(partly, ["block", "anchor"]).filter("owner = id").groupBy("id", "key").agg(F.collect_list(F.struct("first", "count")).alias("runs")), "checks")
+    drop(found, partly)
+    release(spark)
     asked = rows.join(checks, ["id", "key"]).select("id", "key", "text", "runs")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,44 +207,47 @@ def duplicate_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), _signed(hashed), _signed(halves), pa.array(start.astype("i4"))], names)
 
     single = staged(asked.mapInArrow(windows, "id long, key long, window long, anchor long, start int"), "windows")
-    owners = staged(single.groupBy("window", "anchor").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").drop("last"), "owners")
-    edge = single.join(owners, ["window", "anchor"]).filter("owner < id").select("id", "key", "start", (F.col("start") + window).alias("stop"))
+    drop(checks)
+    release(spark)
+    owners = single.groupBy("window", "anchor").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last")).filter("source.id < last")
+    owners = staged(owners.drop("last"), "owners")
+    edge = single.join(owners, ["window", "anchor"]).filter("source.id < id")
+    edge = edge.select("id", "key", "start", (F.col("start") + window).alias("stop"), F.col("source.id").alias("source"), F.col("source.start").alias("place"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, 500):
+            made = [[dict(zip(("start", "stop", "source", "source_start"), f)) for f in greedy_factors([tuple(p.values()) for p in parts], window)] for parts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(_SPAN))], ["id", "key", "factors"])
 
-    spans = whole.union(edge).groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return spans.withColumnRenamed("id", id_col)
+    parts = whole.union(edge).groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop", "source", "place")).alias("parts"))
+    return parts.mapInArrow(joined, "id long, key long, factors array<struct<start:int,stop:int,source:long,source_start:int>>")
 
 
 def deduplicated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """A row for each row of docs: its id, n_words, n_removed, kept_sha256; with_text: also spans and the kept text."""
-    spans = staged(duplicate_spans(docs, window, id_col, text_col).withColumnRenamed(id_col, "_id"), "spans")
+    """A row for each row of docs: its id, n_words, n_removed, kept_sha256; with_text: also the factors and the kept text."""
+    found = factors(docs, window, id_col, text_col).withColumnRenamed("id", "_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("id").cast("long"), F.col("text")))
-    joined = rows.join(spans.select(F.col("_id"), "key", "spans"), (F.col("id").cast("long") == F.col("_id")) & (rows["key"] == spans["key"]), "left").select("id", "text", "spans")
+    joined = rows.join(found, (F.col("id").cast("long") == F.col("_id")) & (rows["key"] == found["key"]), "left").select("id", "text", "factors")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_words", "n_removed", "kept_sha256", *["spans", "text"] * with_text]
+        names = ["id", "n_words", "n_removed", "kept_sha256", *["factors", "text"] * with_text]
         for batch in arrow_rows(batches, 500):
-            totals, removed, digests, merged, texts = [], [], [], [], []
+            totals, removed, digests, texts = [], [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or "").encode().split()
                 total = len(words)
-                gone = []
                 if spans:
                     cover = _covered(total, [(s["start"], s["stop"]) for s in spans])
-                    turns = np.flatnonzero(np.diff(np.r_[False, cover, False])).reshape(-1, 2)
-                    gone = [{"start": int(a), "stop": int(b)} for a, b in turns]
                     words = [w for w, g in zip(words, cover.tolist()) if not g]
                 totals.append(total)
                 removed.append(total - len(words))
                 whole = b" ".join(words)
                 digests.append(hashlib.sha256(whole).hexdigest())
                 if with_text:
-                    merged.append(gone)
                     texts.append(whole.decode())
             arrays = [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            if with_text:
-                arrays += [pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(2), pa.array(texts, pa.string())] * with_text, names)
 
     kind = dict(rows.dtypes)["id"]
-    more = ", spans array<struct<start:int,stop:int>>, text string" * with_text
+    more = ", factors array<struct<start:int,stop:int,source:long,source_start:int>>, text string" * with_text
     return joined.mapInArrow(kept, f"id {kind}, n_words long, n_removed long, kept_sha256 string{more}").withColumnRenamed("id", id_col)
