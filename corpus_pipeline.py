@@ -31,7 +31,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to surrogates (operator 9)."""
     from tidemark.llm.pii import replace
 
-    return replace(docs)
+    return replace(docs, "key of the registered pipeline")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import threading
 import uuid
@@ -18,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only if that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only if that is unset and no other machine takes part."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -91,6 +94,11 @@ def text_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def wide_key(*columns: Column) -> Column:
+    """As text_key, in 128 bits: for joins on nothing else."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(7), *reversed(columns))))
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, so that few rows are Python objects at once."""
     for batch in batches:

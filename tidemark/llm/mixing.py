@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, shielded, staged, unshielded
+from tidemark.llm.common import WORD, shielded, staged, unshielded, wide_key
 
 #: The golden ratio's fraction times 2**31, made odd: i * _GOLDEN mod 2**31 visits every point once.
 _BITS, _GOLDEN = 31, 1327217885
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Also text_key, the hash of id, text and source by which mixed_documents() joins back. The order within a
     source is by md5 of seed, id and text hash, so reruns take the same words.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("text_key"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), wide_key(F.col(id_col), F.col(text_col), F.col(source_col)).alias("text_key"))
     # the key of a row: of rows that agree in all of this, any may come first
     sized = staged(sized.withColumn("row_key", F.monotonically_increasing_id()), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -135,7 +135,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = staged(counts.filter(F.element_at("_counts", 1) > 0), "mix-counts")
     plain, names = shielded(docs)
     content = F.col(names[text_col])
-    keyed = plain.withColumn("_key", F.xxhash64(F.col(names[id_col]), content, F.col(names[source_col])))
+    keyed = plain.withColumn("_key", wide_key(F.col(names[id_col]), content, F.col(names[source_col])))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
     joined = keyed.join(counts, "_key").withColumn("_taken", F.element_at("_counts", nth)).filter("_taken > 0")
     copies = F.array_repeat(F.col("_size"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))

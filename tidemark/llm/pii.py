@@ -6,7 +6,9 @@ is the same for all its spellings, gets one surrogate everywhere (coreference),
 of the same type and shape, digits for digits and letters for letters in the same case, with the same
 separators, a valid check digit where the original has one, names of the title's gender and in the
 original's script. Entities whose surrogates collide with each other, or with a real entity of the
-type, draw again until none does (distinctness); only those rows take part in a further round.
+type, draw again until none does (distinctness); only those rows take part in a further round. Where most
+values of a shape are real entities, what is left after 64 rounds gets real values of the shape that
+are nobody's surrogate, so surrogates stay distinct there too.
 
 Only texts that hold an entity are shuffled. A hot entity's occurrences are joined to the table of
 surrogates, both written tables, so adaptive execution may split them.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, shielded, staged, text_key, unshielded
+from tidemark.llm.common import drop, scratch, shielded, staged, unshielded, wide_key
 
 _LEFT, _RIGHT = r"(?<![\p{L}\p{N}_.@+-])", r"(?![\p{L}\p{N}_@-])"
 #: Titles before names, by the gender they tell.
@@ -201,8 +203,31 @@ def _written(match: Column, new: Column) -> Column:
     return F.when(kind == "person", person).when(kind.isin("card", "phone", "identity"), digits).when(kind == "iban", signs).when(kind == "email", email).otherwise(first)
 
 
-def surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """entities: distinct (kind, canon). With new: different for each of a kind, and no real entity of the kind."""
+def _shape(kind: Column, canon: Column) -> Column:
+    """What an entity has in common with its surrogates."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    stays = F.when(kind == "email", F.regexp_extract(canon, r"(\.[a-z]+)$", 1)).when(kind == "phone", F.regexp_extract(canon, "^([0-9]*):", 1)).when(kind == "iban", F.substring(canon, 1, 2))
+    stays = stays.when(kind == "card", F.concat(F.substring(canon, 1, 1), (luhn(canon) == 0).cast("string"))).when(kind == "secret", F.regexp_extract(canon, r"^(AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_])", 1))
+    hexed = F.when((kind == "secret") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(F.length(canon).cast("string"), canon.rlike("[a-f]").cast("string"))).otherwise(plain)
+    return F.concat_ws(":", stays, F.when(kind == "ip", F.lit("")).otherwise(hexed))
+
+
+def _leftover(again: DataFrame, settled: DataFrame, entities: DataFrame, secret: str) -> DataFrame:
+    """Distinct surrogates where a shape has too few free values: real values of the shape that are no surrogate yet.
+
+    There are enough: of a shape's entities, those settled use up at most as many values as they are.
+    """
+    place = Window.partitionBy("kind", "shape").orderBy(F.sha2(F.concat_ws("\x1f", F.lit(secret), "canon"), 256), "canon")
+    asked = again.select("kind", "canon").withColumn("shape", _shape(F.col("kind"), F.col("canon")))
+    shapes = asked.select("kind", "shape").distinct()
+    used = settled.select("kind", F.col("new").alias("canon"))
+    free = entities.select("kind", "canon").withColumn("shape", _shape(F.col("kind"), F.col("canon"))).join(shapes, ["kind", "shape"], "left_semi").join(used, ["kind", "canon"], "left_anti")
+    free = free.withColumn("nth", F.row_number().over(place)).withColumnRenamed("canon", "new")
+    return asked.withColumn("nth", F.row_number().over(place)).join(free, ["kind", "shape", "nth"]).select("kind", "canon", "new")
+
+
+def surrogates(entities: DataFrame, secret: str, most: int = 64) -> DataFrame:
+    """entities: distinct (kind, canon). With new: different for each of a kind, and no real entity of the kind, if so many draws find them all one."""
     rounds, settled, taken = 0, None, None
     open_rows = entities.withColumn("nonce", F.lit(0))
     while True:
@@ -225,23 +250,25 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
         if not again.limit(1).count():
             return settled
         rounds += 1
-        if rounds > 64:  # never names; a shape half of whose values are real has no free surrogate: the rest stays keyed, though not distinct
-            return settled.union(again.select("kind", "canon", "new"))
+        if rounds > most:  # never names, only shapes most of whose values are real
+            return settled.union(_leftover(again, settled, entities, secret))
         taken = settled
         open_rows = again.select("kind", "canon", (F.col("nonce") + 1).alias("nonce"))
 
 
-def replace(docs: DataFrame, secret: str = "tidemark", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with the entities of its texts replaced; count_col, if named, is how many of them were."""
+def replace(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the entities of its texts replaced; count_col, if named, is how many of them were. secret: the surrogates' key."""
     plain, names = shielded(docs, drop=(count_col,) if count_col else ())
     text = F.col(names[text_col]).cast("string")
     holds = F.coalesce(text.rlike(_HINT) & text.rlike(PATTERN), F.lit(False))
-    key = text_key(F.col(names[id_col]), text)
+    key = wide_key(F.col(names[id_col]), text)
     matches = plain.filter(holds).select(key.alias("key"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("at", "match"))
     found = staged(matches.distinct().withColumn("entities", _entities(F.col("match"))), "matches")
     single = found.select("key", "at", "match", F.posexplode("entities").alias("part", "entity")).select("key", "at", "match", "part", "entity.kind", "entity.canon")
     entities = staged(single.select("kind", "canon").distinct(), "entities")
-    new = staged(surrogates(entities, secret), "surrogates")
+    with scratch(docs.sparkSession) as kept:
+        kept.append(staged(surrogates(entities, secret), "surrogates"))
+    new = kept[0]
     parts = single.join(new, ["kind", "canon"]).groupBy("key", "at", "match").agg(F.array_sort(F.collect_list(F.struct("part", "new"))).alias("new"))
     written = parts.select("key", "at", _written(F.col("match"), F.col("new.new")).alias("new"))
     texts = staged(written.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("new")), "replacements")

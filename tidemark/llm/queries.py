@@ -61,7 +61,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pii import replace
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace(docs, count_col="n_replaced")
+    return replace(docs, "key of the registered query", count_col="n_replaced")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ _TIMES = (2, 4)
 _PATTERNS = (("shout", re.compile(r"!{2,}")), ("upper", re.compile(r"\b[A-Z]{4,}\b(?:\W+[A-Z]{4,}\b){2}")), ("stars", re.compile(r"\w\*{2,}\w")))
 MAX_LABELLED = 20_000
 MAX_VOTERS = 400
+MAX_CANDIDATES = 50_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,8 +127,13 @@ def linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, rounds: int = 25)
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> tuple[list[str], np.ndarray]:
-    """The voters and the classifier's weights, the intercept last."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS, max_candidates: int = MAX_CANDIDATES) -> tuple[list[str], np.ndarray]:
+    """The voters and the classifier's weights, the intercept last.
+
+    The model's size is bounded whatever the corpus: at most max_labelled labelled rows, those with the smallest
+    id hashes, teach; of the voters that at least 3 toxic rows (a 200th of them, if more) cast, the max_candidates
+    most frequent are weighed, and the max_voters that tell most vote. Scores read every text whole.
+    """
     teaching = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     teaching = teaching.groupBy(F.col("doc_id").alias("_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     teaching = teaching.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)  # the bound that allows the broadcast
@@ -151,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     least = max(3, n_toxic // 200)
     on_toxic = labelled.filter("toxic = 1").select("text").mapInArrow(counted(None), "voter string, n long").groupBy("voter").agg(F.sum("n").alias("n"))
-    candidates = {r.voter: r.n for r in on_toxic.filter(F.col("n") >= least).orderBy(F.desc("n"), "voter").limit(50_000).collect()}
+    candidates = {r.voter: r.n for r in on_toxic.filter(F.col("n") >= least).orderBy(F.desc("n"), "voter").limit(max_candidates).collect()}
     on_clean = labelled.filter("toxic = 0").select("text").mapInArrow(counted(frozenset(candidates)), "voter string, n long").groupBy("voter").agg(F.sum("n").alias("n"))
     clean = {r.voter: r.n for r in on_clean.collect()}
     # voters that tell most: log likelihood ratio of toxic against clean, for voters of the toxic class
