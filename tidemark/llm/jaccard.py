@@ -9,7 +9,7 @@ with the target probability even where it has to survive every level. (Drawing a
 positions, 1/similarity on average, costs more rows for the same recall while levels are few.)
 
 Brute force compares the token vectors and gives out stars of local components, never all pairs. The
-first run shows the components of what is alike; in the other runs a large component stands in a bucket
+first runs show the components of what is alike; in the others a large component stands in a bucket
 by its centre: Hamming distance of token vectors is a metric, so sets farther from the centre than the
 component's reach allows are near none of it, and where all are that far the component leaves the bucket.
 The components of these candidates then hold every pair that can be near; inside each one an exact check of
@@ -271,14 +271,14 @@ def candidates(sets: DataFrame, similarity: float, recall: float, slack: float =
     """Stars (a, b) of the nodes of sets (node, tokens, brief) that met in a bucket and look near.
 
     slack lets pass what 128 tokens can underestimate: over four and a half standard deviations. The first
-    two runs, one after the other, join most of what is near; a later run passes over buckets within one of
-    the components known by then, compares a large bucket's largest component with none of its own, and only
-    with sets that its centre can't rule out.
+    two runs join most of what is near; the others pass over buckets within one of the components known by
+    then, compare a large bucket's largest component with none of its own, and only with sets that its
+    centre can't rule out.
     """
     runs = runs_needed(recall, LEVELS, similarity)
     briefs = sets.select("node", "brief")
     found, known = None, None
-    for part in (range(1), range(1, min(2, runs)), range(2, runs)):
+    for part in (range(min(2, runs)), range(2, runs)):
         if not len(part):
             break
         if found is not None:

@@ -208,7 +208,7 @@ class Ids(dict):
     used again is taken over.
     """
 
-    def __init__(self, path: str, room: int = 350_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.old = Tokenizer.from_file(path), room, {}
@@ -267,7 +267,7 @@ class Ids(dict):
         return out
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _in_parts(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batches in parts of about size bytes of text, with the texts."""
     for batch in arrow_rows(batches, 2000):
         texts = batch.column(1).to_pylist()

@@ -47,7 +47,7 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000 and len(word) <= 64:
+        if len(self) < 250_000 and len(word) <= 64:
             self[word] = h
         return h
 
