@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as s
 from tidemark.operators import chunking, fulltext, graphs, hooks, relations, selection, snapshots, vectorsearch
 from tidemark.plans import pipelines, routing
+from tidemark.sources.files import json_cases
 from tidemark.streaming import streams
 
 
@@ -55,8 +56,32 @@ def test_diverse_order_prefers_what_differs():
 
 
 def test_disclosure():
-    rows = [("a", "core", 500, 100, 10), ("b", "core", 800, 100, 10), ("c", "nowhere", 5, 0, 0)]
-    assert selection.disclose(rows, 2000) == [("a", "full", 500), ("b", "summary", 100), ("c", "pointer", 0)]
+    rows = [("a", 500, 100, 10), ("b", 800, 100, 10), ("c", 700, 0, 0), ("d", 5, 0, 0), ("e", 0, 0, 0), ("f", 5000, 0, 300), ("g", 150, 0, 0), ("h", 5000, 900, 800)]
+    told = [("a", "core", "full", 500), ("b", "core", "summary", 100), ("c", "context", "full", 700), ("d", "context", "full", 5), ("e", "overflow", "pointer", 0), ("f", "entity", "excerpt", 300), ("g", "timeline", "full", 150), ("h", "overflow", "pointer", 0)]
+    assert selection.disclose(rows, 2000) == told
+    assert selection.disclose([("a", 1100, 0, 0)], 2000, "precision") == [("a", "core", "full", 1100)]
+    assert selection.disclose([("a", 900, 0, 0)], 2000, "temporal") == [("a", "timeline", "full", 900)]
+
+
+def test_a_retry_keeps_the_better(spark):
+    first = spark.createDataFrame([(1, "a", 0.2), (2, "b", 0.5), (3, "c", 0.2)], "query_id long, id string, score double")
+    again = spark.createDataFrame([(1, "x", 0.25), (1, "a", 0.1), (2, "y", 0.9), (3, "z", 0.1), (4, "w", 0.9)], "query_id long, id string, score double")
+    got = sorted(map(tuple, pipelines.retried(first, again).collect()))
+    assert got == [(1, "a", 0.1), (1, "x", 0.25), (2, "b", 0.5), (3, "c", 0.2)]
+
+
+def test_phrases_and_stop_words_in_a_search(spark):
+    rows = spark.createDataFrame([("a", "red green blue", "", ""), ("b", "green red blue", "", ""), ("c", "is it there", "", ""), ("d", "it was", "", ""), ("e", None, None, None)], "id string, content string, excerpt string, summary string")
+    asked = spark.createDataFrame([(1, "red green blue"), (2, "is it"), (3, ""), (4, None)], "query_id long, text string")
+    parts = {(r.query_id, r.phrase): (r.times, r.need) for r in fulltext.query_parts(asked).collect()}
+    assert parts == {(1, p): (1, 1) for p in ("red", "green", "blue", "red green", "green blue")} | {(2, "is"): (1, 2), (2, "it"): (1, 2)}
+    found = {(r.query_id, r.id): r.bm25 for r in fulltext.bm25(rows, fulltext.query_parts(asked)).collect()}
+    assert set(found) == {(1, "a"), (1, "b"), (2, "c")} and found[1, "a"] > found[1, "b"]
+
+
+def test_json_cases(spark, tmp_path):
+    (tmp_path / "cases.json").write_text('{"query": "a", "expected": ["x", "y"], "category": "c"}\n{"query": "b"}\nno object\n')
+    assert [tuple(r) for r in json_cases(spark, str(tmp_path / "cases.json")).orderBy("query").collect()] == [("a", ["x", "y"], "c", ""), ("b", [], "", "")]
 
 
 def test_batches():
@@ -147,8 +172,13 @@ def test_breaker():
 
 def test_hooks():
     assert hooks.Synonyms([("car", "auto")]).expand(["Car"]) == ["Car", "auto"]
-    assert hooks.next_k(10, 10, 9) == 15 and hooks.next_k(10, 10, 1) == 7 and hooks.next_k(3, 10, 0) == 3
-    assert hooks.reflect("q", lambda q, k: ["row"], lambda q, rows: (None, "q"))[1] == ["q"]
+    assert [hooks.next_k(1, 3), hooks.next_k(2, 3), hooks.next_k(3, 3), hooks.next_k(1, 1)] == [15, 8, 5, 5]
+    assert [hooks.next_k(2, 4, 80, 100), hooks.next_k(2, 4, 95, 100), hooks.next_k(1, 4, 80, 100)] == [5, 3, 10]
+    assert [hooks.next_k(2, 4, best=b) for b in (0.9, 0.5, 0.1)] == [6, 8, 10]
+    assert hooks.reflect("q", lambda q, k: [("row", 0.5)], lambda q, rows: (None, "q"))[1] == ["q"]
+    wanted = []
+    hooks.reflect("q", lambda q, k: wanted.append(k) or [("row", 0.9)], lambda q, rows: (None, q + "!"), rounds=4)
+    assert wanted == [15, 6, 6, 5]
 
 
 def test_streams_drain(spark, tmp_path):

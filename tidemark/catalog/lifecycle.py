@@ -54,7 +54,7 @@ query("job_expiry", "memories", f"SELECT count(*) AS expired FROM memories WHERE
 query("snk_purge", "memories memory_tags", "SELECT id, (SELECT count(*) FROM memory_tags t WHERE t.memory_id = memories.id) AS tags FROM memories WHERE deleted_at IS NULL OR deleted_at >= TIMESTAMP '2024-01-02 00:00:00'")(lambda v: _purged(v))
 query("snk_reinforce", "memories", "SELECT id, round(CASE WHEN kind = 'rule' AND deleted_at IS NULL THEN strength + 0.1 * (1 - strength) ELSE strength END, 6) AS strength, CAST(CASE WHEN kind = 'rule' AND deleted_at IS NULL THEN reinforced_count + 1 ELSE reinforced_count END AS INT) AS reinforced_count FROM memories")(lambda v: snapshots.reinforced(v.memories, F.col("kind") == "rule", NOW).select("id", F.round("strength", 6).alias("strength"), "reinforced_count"))
 query("snk_access", "memories access_log", "SELECT m.id, CAST(m.access_count + coalesce(a.n, 0) AS INT) AS access_count FROM memories m LEFT JOIN (SELECT memory_id, count(*) AS n FROM access_log GROUP BY 1) a ON a.memory_id = m.id")(lambda v: snapshots.accessed(v.memories, v.access_log.groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("accesses"))).select("id", "access_count"))
-query("snk_vec", "memory_embeddings", "SELECT memory_id, max(version) AS version FROM (SELECT memory_id, 1 AS version FROM memory_embeddings UNION ALL SELECT memory_id, 2 FROM memory_embeddings WHERE label = 3) GROUP BY 1")(lambda v: snapshots.latest(v.memory_embeddings.select("memory_id", F.lit(1).alias("version")).union(v.memory_embeddings.filter("label = 3").select("memory_id", F.lit(2))), "memory_id", order="version"))
+query("snk_vec", "memory_embeddings", "SELECT memory_id, max(version) AS version FROM (SELECT memory_id, 1 AS version FROM memory_embeddings UNION ALL SELECT memory_id, 2 FROM memory_embeddings WHERE label = 3) GROUP BY 1")(lambda v: snapshots.latest(v.memory_embeddings.select("memory_id", F.lit(1).alias("version")).union(v.memory_embeddings.filter("label IS NOT NULL").select("memory_id", F.lit(2))), "memory_id", order="version"))
 query("snk_entity", "entities", "SELECT id, name FROM entities WHERE entity_type <> 'org' UNION ALL SELECT 'entity-new', 'NEW'")(lambda v: snapshots.inserted(snapshots.deleted(v.entities, v.entities.filter("entity_type = 'org'"), "id"), v.spark.createDataFrame([("entity-new", "NEW", "concept", "global")], "id string, name string, entity_type string, scope string")).select("id", "name"))
 query("snk_relation", "entity_relations", "SELECT source_id, target_id FROM entity_relations WHERE relation_type = 'located_in'")(lambda v: snapshots.deleted(v.entity_relations, v.entity_relations.filter("relation_type = 'belongs_to'"), "source_id", "target_id", "relation_type").select("source_id", "target_id"))
 query("snk_relation_stats", "entity_relations", "SELECT source_id, target_id, relation_type, CAST(sum(mention_count) AS BIGINT) AS mention_count FROM (SELECT source_id, target_id, relation_type, mention_count FROM entity_relations UNION ALL SELECT source_id, target_id, relation_type, 1 FROM entity_relations WHERE mention_count > 2) GROUP BY 1, 2, 3")(lambda v: snapshots.relation_stats(v.entity_relations, v.entity_relations.filter("mention_count > 2").drop("mention_count")).drop("last_seen_at"))
@@ -93,14 +93,13 @@ query("job_finalize", "", "SELECT user_id, count(*) AS turns, max(event_id) AS v
 query("job_repair", "", "SELECT user_id, CASE WHEN user_id % 5 >= 3 THEN 'abandoned' ELSE 'finalizing' END AS state FROM (SELECT DISTINCT user_id FROM events)")(lambda v: v.events.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 5 >= 3, "abandoned").otherwise("finalizing").alias("state")))
 query("job_backfill", "memories memory_embeddings", "SELECT id FROM memories WHERE deleted_at IS NULL AND id NOT IN (SELECT memory_id FROM memory_embeddings WHERE label < 5)")(lambda v: reads.without(v.memories, v.memory_embeddings.filter("label < 5"), "id", "memory_id").select("id"))
 query("job_resolve_l2", "memory_embeddings memory_entities", "SELECT memory_id, entity_id FROM (SELECT memory_id, entity_id, row_number() OVER (PARTITION BY memory_id ORDER BY cos DESC, entity_id) AS nth FROM (SELECT e.memory_id, c.entity_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid) AS cos FROM memory_embeddings e CROSS JOIN (SELECT entity_id, list(value ORDER BY i) AS centroid FROM (SELECT l.entity_id, i, avg(CAST(x.embedding[i] AS DOUBLE)) AS value FROM memory_entities l JOIN memory_embeddings x ON x.memory_id = l.memory_id CROSS JOIN range(1, 65) r(i) WHERE l.role = 'mentioned' GROUP BY 1, 2) GROUP BY 1) c) WHERE cos >= 0.25) WHERE nth <= 10")(lambda v: _by_centroid(v))
-query("job_resolve_l3", "memory_embeddings memory_entities", f"SELECT n.memory_id, entity_id, count(*) AS votes FROM (SELECT a.memory_id, b.memory_id AS near, row_number() OVER (PARTITION BY a.memory_id ORDER BY {_COS} DESC, b.memory_id) AS nth FROM memory_embeddings a JOIN memory_embeddings b ON a.memory_id <> b.memory_id WHERE a.label = 3) n JOIN memory_entities l ON l.memory_id = n.near WHERE nth <= 10 GROUP BY 1, 2 HAVING count(*) >= 2")(lambda v: _by_neighbours(v))
+query("job_resolve_l3", "memory_embeddings memory_entities", f"SELECT n.memory_id, entity_id, count(*) AS votes FROM (SELECT a.memory_id, b.memory_id AS near, row_number() OVER (PARTITION BY a.memory_id ORDER BY {_COS} DESC, b.memory_id) AS nth FROM memory_embeddings a JOIN memory_embeddings b ON a.memory_id <> b.memory_id WHERE a.label IS NOT NULL) n JOIN memory_entities l ON l.memory_id = n.near WHERE nth <= 10 GROUP BY 1, 2 HAVING count(*) >= 2")(lambda v: _by_neighbours(v))
 query("job_resolve", "memory_entities", "SELECT a.entity_id AS source_id, b.entity_id AS target_id, count(DISTINCT a.memory_id) AS mention_count FROM memory_entities a JOIN memory_entities b ON a.memory_id = b.memory_id AND a.entity_id < b.entity_id GROUP BY 1, 2")(lambda v: relations.cooccurring(v.memory_entities.select("memory_id", "entity_id")))
 
 
-def summarized(rows, least: int = 3, most: int = 200, summarise=None):
+def summarized(rows, least: int = 3, summarise=None):
     """A row for each context of at least least turns; summarise gives the text of a column, its beginning without it."""
-    nth = F.row_number().over(Window.partitionBy("context_id").orderBy("turn_number"))
-    turns = rows.withColumn("_nth", nth).filter(F.col("_nth") <= most).groupBy("context_id").agg(F.count("*").alias("turns"), F.array_join(F.array_sort(F.collect_list(F.struct("turn_number", "content"))).getField("content"), " ").alias("_text"))
+    turns = rows.groupBy("context_id").agg(F.count("*").alias("turns"), F.array_join(F.array_sort(F.collect_list(F.struct("turn_number", "content"))).getField("content"), " ").alias("_text"))
     return turns.filter(F.col("turns") >= least).select("context_id", "turns", (summarise or (lambda c: F.substring(c, 1, 100)))(F.col("_text")).alias("summary"))
 
 
@@ -140,7 +139,7 @@ def _by_centroid(v):
 
 
 def _by_neighbours(v):
-    few = v.memory_embeddings.filter("label = 3").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"))
+    few = v.memory_embeddings.filter("label IS NOT NULL").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"))
     near = vectorsearch.search(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding"), few, 11).filter("id <> query_id")
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("nth"))).filter("place <= 10")
     return relations.votes(near.select("query_id", F.col("id").alias("memory_id")), v.memory_entities.select("memory_id", "entity_id")).withColumnRenamed("query_id", "memory_id")

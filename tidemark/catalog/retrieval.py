@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +15,29 @@ from tidemark.operators import fulltext, graphs, predicates, relations, selectio
 from tidemark.plans import pipelines as pl
 from tidemark.plans import routing
 from tidemark.registry import query
+from tidemark.session import shared_dir
 from tidemark.sources.views import NOW, Views
 
-_ASKED = 5
 _STOP = ", ".join(f"'{w}'" for w in sorted(fulltext.STOP_WORDS))
 _READ = f"deleted_at IS NULL AND {_VISIBLE}"
 # common table expressions that the oracles build on, each after those it uses
 CTE = {
-    "q": "SELECT item_id AS query_id, substr(text, 1, 60) AS text FROM benchmark WHERE item_id < 5",
-    "terms": rf"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM q) WHERE length(term) > 1 AND term NOT IN ({_STOP})",
+    "q": "SELECT item_id AS query_id, text FROM benchmark",
+    "asked_words": r"""SELECT query_id, list_filter(string_split_regex(translate(text, '-+"*()^', '  '), '\s+'), lambda w: w <> '') AS w FROM q""",
+    "asked_kept": f"SELECT query_id, w, list_filter(w, lambda x: lower(x) NOT IN ({_STOP}) AND NOT (length(x) = 1 AND ascii(x) < 128)) AS k FROM asked_words",
+    "asked_parts": "SELECT query_id, len(k) = 0 AS every, unnest(CASE WHEN len(k) = 0 THEN w ELSE list_slice(list_concat(k, CASE WHEN len(k) > 2 THEN list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) ELSE [] END), 1, 12) END) AS part FROM asked_kept",
+    "asked_tokens": r"SELECT query_id, every, regexp_extract_all(lower(part), '[\p{L}\p{N}]+') AS t FROM asked_parts",
+    "asked_phrases": "SELECT *, CASE WHEN every THEN count(*) OVER (PARTITION BY query_id) ELSE 1 END AS need FROM (SELECT query_id, array_to_string(t, ' ') AS phrase, len(t) AS size, count(*) AS times, bool_or(every) AS every FROM asked_tokens WHERE len(t) > 0 GROUP BY 1, 2, 3)",
+    "wanted": "SELECT phrase, size, generate_subscripts(t, 1) AS i, unnest(t) AS term FROM (SELECT DISTINCT phrase, size, string_split(phrase, ' ') AS t FROM asked_phrases)",
     "words": r"SELECT id, col, w, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM (SELECT id, 'content' AS col, 10.0 AS w, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS t FROM memories UNION ALL SELECT id, 'excerpt', 5.0, regexp_extract_all(lower(excerpt), '[\p{L}\p{N}]+') FROM memories)",
     "lens": "SELECT m.id, CAST(coalesce(x.n, 0) AS DOUBLE) AS length FROM memories m LEFT JOIN (SELECT id, count(*) AS n FROM words GROUP BY id) x ON x.id = m.id",
-    "tfs": "SELECT term, id, CAST(sum(w) AS DOUBLE) AS tf FROM words WHERE term IN (SELECT term FROM terms) GROUP BY term, id",
-    "dfs": "SELECT term, count(*) AS df FROM tfs GROUP BY term",
-    "ranks": "SELECT query_id, t.id, sum(greatest(ln(((SELECT count(*) FROM lens) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM lens)))) AS bm25 FROM terms q JOIN tfs t ON t.term = q.term JOIN dfs d ON d.term = q.term JOIN lens l ON l.id = t.id GROUP BY query_id, t.id",
+    "hits": "SELECT phrase, id, w, pos - i AS at FROM words JOIN wanted USING (term) GROUP BY phrase, size, id, col, w, pos - i HAVING count(*) = size",
+    "tfs": "SELECT phrase, id, CAST(sum(w) AS DOUBLE) AS tf FROM hits GROUP BY phrase, id",
+    "dfs": "SELECT phrase, count(*) AS df FROM tfs GROUP BY phrase",
+    "ranks": "SELECT query_id, t.id, round(sum(times * greatest(ln(((SELECT count(*) FROM lens) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM lens)))), 9) AS bm25 FROM asked_phrases q JOIN tfs t ON t.phrase = q.phrase JOIN dfs d ON d.phrase = q.phrase JOIN lens l ON l.id = t.id GROUP BY query_id, t.id HAVING count(*) >= max(need)",
     "top": "SELECT query_id, id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS nth FROM ranks) WHERE nth <= 300",
     "fts": rf"SELECT query_id, id, bm25 * (0.7 + 0.3 * share) AS score, bm25, nth FROM (SELECT t.query_id, t.id, t.bm25, (SELECT count(*) FROM (SELECT DISTINCT unnest(string_split_regex(lower(q.text), '\s+')) AS w) WHERE w <> '' AND contains(lower(m.content || ' ' || m.excerpt), w)) / greatest((SELECT count(*) FROM (SELECT DISTINCT unnest(string_split_regex(lower(q.text), '\s+')) AS w) WHERE w <> ''), 1) AS share, row_number() OVER (PARTITION BY t.query_id ORDER BY t.bm25 DESC, t.id) AS nth FROM top t JOIN memories m ON m.id = t.id JOIN q ON q.query_id = t.query_id WHERE {_READ}) WHERE nth <= 30",
-    "qv": "SELECT CAST(vec_id AS BIGINT) AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id < 5",
+    "qv": "SELECT CAST(vec_id // 50 AS BIGINT) AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 50 = 0",
     "vec": f"SELECT query_id, id, score, nth FROM (SELECT query_id, m.id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), query) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), query) DESC, m.id) AS nth FROM memory_embeddings e JOIN memories m ON m.id = e.memory_id CROSS JOIN qv WHERE {_READ} AND list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), query) >= 0.3) WHERE nth <= 30",
     "seeds": "SELECT query_id, 'nation-' || CAST(query_id AS STRING) AS entity_id FROM q",
     "edges": "SELECT source_id AS a, target_id AS b FROM entity_relations UNION SELECT target_id, source_id FROM entity_relations",
@@ -101,33 +110,45 @@ def register(key: str, sql: str | None = None):
 
 def store(v: Views) -> pl.Store:
     vectors = v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding")
-    return pl.Store(v.memories, vectors, v.memory_entities.select("memory_id", "entity_id"), v.entity_relations.select("source_id", "target_id"), NOW, WHO)
+    return pl.Store(v.memories, vectors, v.memory_entities.select("memory_id", "entity_id"), v.entity_relations.select("source_id", "target_id"), NOW, WHO, index=text_index(v))
+
+
+_indexes: dict[tuple[str, str], fulltext.Index] = {}
+
+
+def text_index(v: Views) -> fulltext.Index:
+    """The written full-text index of the folder's memories: made once for an application, as a store keeps one."""
+    key = v.spark.sparkContext.applicationId, v.sf_dir
+    if key not in _indexes:
+        _indexes[key] = fulltext.written_index(v.memories, f"{shared_dir(v.spark)}/fulltext-{uuid.uuid4().hex}")
+    return _indexes[key]
 
 
 def asked(v: Views, times: bool = False) -> pl.Queries:
-    text = v.benchmark.filter(F.col("item_id") < _ASKED).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
-    vectors = v.embeddings.filter(F.col("vec_id") < _ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """All texts of benchmark, and the vectors whose id is divisible by 50, the k-th of them as that of text k."""
+    text = v.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    vectors = v.embeddings.filter("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), F.col("embedding").alias("query"))
     seeds = text.select("query_id", F.concat(F.lit("nation-"), F.col("query_id").cast("string")).alias("entity_id"))
     when = text.select("query_id", F.lit("2024-01-15 00:00:00").cast("timestamp").alias("center"), F.lit(7).alias("range_days")) if times else None
     return pl.Queries(text, vectors, seeds, when)
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    """Scores in thousandths to nine digits: short decimals, as weights make them, then end on neither side of a rounding."""
-    return df.select("query_id", "id", F.round(F.col("score") * 1000, 9).alias("score"))
+    """Scores in thousandths to seven digits: short decimals, as weights make them, then end on neither side of a rounding. From 1 on, to four."""
+    return df.select("query_id", "id", F.when(F.col("score") >= 1, F.round(F.col("score") * 1000, 4)).otherwise(F.round(F.col("score") * 1000, 7)).alias("score"))
 
 
-_SHOW = "SELECT query_id, id, round(score * 1000, 9) AS score FROM "
+_SHOW = "SELECT query_id, id, CASE WHEN score >= 1 THEN round(score * 1000, 4) ELSE round(score * 1000, 7) END AS score FROM "
 
 # full text
 register("fts_postings", "SELECT term, count(DISTINCT id) AS docs, count(*) AS hits FROM words GROUP BY term")(lambda v: fulltext.postings(v.memories, {"content": 10.0, "excerpt": 5.0}).groupBy("term").agg(F.count_distinct("id").alias("docs"), F.count("*").alias("hits")))
-register("fts_bm25", "SELECT query_id, id, round(bm25, 6) AS bm25 FROM ranks")(lambda v: fulltext.bm25(v.memories, fulltext.query_terms(asked(v).text)).select("query_id", "id", F.round("bm25", 6).alias("bm25")))
+register("fts_bm25", "SELECT query_id, id, round(bm25, 6) AS bm25 FROM ranks")(lambda v: fulltext.bm25(v.memories, fulltext.query_parts(asked(v).text), index=text_index(v)).select("query_id", "id", F.round("bm25", 6).alias("bm25")))
 register("fts_phrase", "SELECT phrase, count(*) AS hits FROM (SELECT term || ' ' || lead(term) OVER (PARTITION BY id, col ORDER BY pos) AS phrase FROM words WHERE col = 'content') WHERE phrase IN ('of the', 'de la', 'in the') GROUP BY phrase")(lambda v: fulltext.phrases(fulltext.postings(v.memories, {"content": 10.0})).filter(F.col("term").isin("of the", "de la", "in the")).groupBy(F.col("term").alias("phrase")).agg(F.count("*").alias("hits")))
-register("fts_hybrid", f"{_SHOW} fts")(lambda v: _shown(fulltext.search(v.memories, asked(v).text, 30, store(v).readable())))
-register("src_fts", "SELECT query_id, id, nth FROM fts")(lambda v: fulltext.search(v.memories, asked(v).text, 30, store(v).readable()).select("query_id", "id", F.col("nth").cast("long").alias("nth")))
-register("src_fts_filtered", f"SELECT query_id, id FROM (SELECT t.query_id, t.id, row_number() OVER (PARTITION BY t.query_id ORDER BY t.bm25 DESC, t.id) AS nth FROM top t JOIN memories m ON m.id = t.id WHERE {_READ} AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND strength >= 0.2) WHERE nth <= 30")(lambda v: fulltext.search(v.memories, asked(v).text, 30, store(v).readable() & predicates.search_filters(NOW, min_strength=0.2)).select("query_id", "id"))
+register("fts_hybrid", f"{_SHOW} fts")(lambda v: _shown(fulltext.search(v.memories, asked(v).text, 30, store(v).readable(), index=text_index(v))))
+register("src_fts", "SELECT query_id, id, nth FROM fts")(lambda v: fulltext.search(v.memories, asked(v).text, 30, store(v).readable(), index=text_index(v)).select("query_id", "id", F.col("nth").cast("long").alias("nth")))
+register("src_fts_filtered", f"SELECT query_id, id FROM (SELECT t.query_id, t.id, row_number() OVER (PARTITION BY t.query_id ORDER BY t.bm25 DESC, t.id) AS nth FROM top t JOIN memories m ON m.id = t.id WHERE {_READ} AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND strength >= 0.2) WHERE nth <= 30")(lambda v: fulltext.search(v.memories, asked(v).text, 30, store(v).readable() & predicates.search_filters(NOW, min_strength=0.2), index=text_index(v)).select("query_id", "id"))
 register("jn_fts_row", "SELECT t.query_id, t.id, m.kind FROM top t JOIN memories m ON m.id = t.id WHERE deleted_at IS NULL")(lambda v: _fts_rows(v))
-query("fn_fts_query")(lambda v: v.spark.createDataFrame([(t, " OR ".join(fulltext.match_parts(t))) for t in ("the state of the art in search", "graph-aware merge", "is it?", "alpha beta gamma delta epsilon zeta eta theta")], "query string, parts string"))
+register("fn_fts_query", "SELECT query_id, phrase, times, CAST(need AS BIGINT) AS need FROM asked_phrases")(lambda v: fulltext.query_parts(asked(v).text).withColumn("need", F.col("need").cast("long")))
 query("snk_fts_rebuild", "memories", r"SELECT kind, count(*) AS words FROM (SELECT kind, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) FROM memories WHERE deleted_at IS NULL) GROUP BY kind")(lambda v: fulltext.postings(v.memories.filter("deleted_at IS NULL"), {"content": 10.0}).join(v.memories.select("id", "kind"), "id").groupBy("kind").agg(F.count("*").alias("words")))
 
 # vectors
@@ -161,8 +182,8 @@ query("stg_mmr")(lambda v: selection.diverse(pl.vector(store(v), asked(v)), stor
 register("stg_trim", f"SELECT query_id, id FROM (SELECT query_id, id, sum(tokens) OVER w AS total, row_number() OVER w AS nth FROM (SELECT f.query_id, f.id, f.score, (length(m.content) + 3) // 4 AS tokens FROM fts f JOIN memories m ON m.id = f.id) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)) WHERE total <= 4096 OR nth = 1")(lambda v: pl.trimmed(store(v), pl.fts(store(v), asked(v))).select("query_id", "id"))
 query("stg_disclosure")(lambda v: selection.disclosed(_sized(v)))
 query("stg_breaker")(lambda v: _breaker(v))
-register("agg_rrf", "SELECT query_id, id, round(sum(1.0 / (60 + nth)) * 1000, 9) AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, nth FROM vec) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.vector(store(v), asked(v))), "query_id")))
-register("leg_rrf", "SELECT query_id, id, round(sum(w / (60 + nth)) * 1000, 9) AS score FROM (SELECT query_id, id, 1.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, 0.8, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM graph) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.graph(store(v), asked(v))), "query_id", weight=F.when(F.col("source") == "fts", 1.0).otherwise(0.8))))
+register("agg_rrf", "SELECT query_id, id, round(sum(1.0 / (60 + nth)) * 1000, 7) AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, nth FROM vec) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.vector(store(v), asked(v))), "query_id")))
+register("leg_rrf", "SELECT query_id, id, round(sum(w / (60 + nth)) * 1000, 7) AS score FROM (SELECT query_id, id, 1.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM fts UNION ALL SELECT query_id, id, 0.8, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM graph) GROUP BY 1, 2")(lambda v: _shown(relations.fused(pl.fts(store(v), asked(v)).unionByName(pl.graph(store(v), asked(v))), "query_id", weight=F.when(F.col("source") == "fts", 1.0).otherwise(0.8))))
 register("agg_trust", "SELECT query_id, id, CASE WHEN bool_or(source = 'graph') AND count(DISTINCT source) > 1 THEN 1.5 WHEN bool_or(source IN ('graph', 'vector')) THEN 1.0 ELSE 0.8 END::DOUBLE AS trust FROM (SELECT query_id, id, 'fts' AS source FROM fts UNION ALL SELECT query_id, id, 'graph' FROM graph UNION ALL SELECT query_id, id, 'vector' FROM vec) GROUP BY 1, 2")(lambda v: pl.fts(store(v), asked(v)).unionByName(pl.graph(store(v), asked(v))).unionByName(pl.vector(store(v), asked(v))).groupBy("query_id", "id").agg(relations.trust(F.collect_set("source")).alias("trust")))
 register("agg_max_graph", "SELECT query_id, id, graph_score FROM hops JOIN (SELECT query_id, id FROM graph) USING (query_id, id)")(lambda v: graphs.hop_scores(store(v).links, store(v).relations, asked(v).seeds, pl.graph(store(v), asked(v))).filter("graph_score > 0"))
 register("agg_neighbor_votes", "SELECT query_id, entity_id, count(*) AS votes FROM vec v JOIN memory_entities l ON l.memory_id = v.id WHERE nth <= 10 GROUP BY 1, 2 HAVING count(*) >= 2")(lambda v: relations.votes(vectorsearch.search(store(v).vectors.join(v.memories.filter(store(v).readable()).select("id"), "id", "left_semi"), asked(v).vectors, 10, 0.3).select("query_id", F.col("id").alias("memory_id")), v.memory_entities.select("memory_id", "entity_id")))
@@ -183,7 +204,20 @@ _LEGACY = f"SELECT query_id, id, score * weight AS score FROM (SELECT query_id,
 register("leg_retrieve", f"{_SHOW} (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ({_LEGACY})) WHERE nth <= 10")(lambda v: _shown(pl.direct(store(v), asked(v))))
 query("leg_mmr")(lambda v: selection.diverse(pl.direct(store(v), asked(v), limit=30), store(v).vectors, 0.5, 5))
 register("leg_experience", f"SELECT query_id, id, excerpt FROM (SELECT query_id, m.id, m.excerpt, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m.id) AS nth FROM ({_LEGACY}) x JOIN memories m ON m.id = x.id WHERE memory_class = 'procedural') WHERE nth <= 3")(lambda v: pl.direct(store(v), asked(v), limit=3, memory_class="procedural").join(v.memories.select("id", "excerpt"), "id").select("query_id", "id", "excerpt"))
-query("leg_retry")(lambda v: _retry(v))
+# a search with filters, and once more without the time range and with 0.6 of the strength
+_STRICT, _WIDE = "happened_at >= TIMESTAMP '2024-01-10 00:00:00' AND strength >= 0.5", "strength >= 0.3"
+for _kind, _condition in (("strict", _STRICT), ("wide", _WIDE)):
+    for _name in ("fts", "vec", "owned"):
+        CTE[f"{_name}_{_kind}"] = CTE[_name].replace(_READ, f"{_READ} AND {_condition}")
+    CTE[f"graph1_{_kind}"] = CTE["graph1"].replace("FROM owned JOIN", f"FROM owned_{_kind} JOIN")
+    _one = _LEGACY
+    for _name in ("fts", "vec", "graph1"):
+        _one = _one.replace(f"FROM {_name} ", f"FROM {_name}_{_kind} ").replace(f"FROM {_name})", f"FROM {_name}_{_kind})")
+    CTE[_kind] = f"SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ({_one})) WHERE nth <= 10"
+CTE["better"] = "SELECT query_id FROM (SELECT query_id, max(score) AS one FROM strict GROUP BY 1) JOIN (SELECT query_id, max(score) AS two FROM wide GROUP BY 1) USING (query_id) WHERE one < 0.3 AND two > one"
+register("leg_retry", f"{_SHOW} (SELECT query_id, id, score FROM strict WHERE query_id NOT IN (SELECT query_id FROM better) UNION ALL SELECT query_id, id, score FROM wide WHERE query_id IN (SELECT query_id FROM better))")(lambda v: _shown(pl.retried(*(pl.direct(dataclasses.replace(store(v), filters=F.expr(c)), asked(v)) for c in (_STRICT, _WIDE)))))
+_DIRECT = f"SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ({_LEGACY})) WHERE nth <= 10"
+register("leg_rerank", f"{_SHOW} ({overlap_sql(_DIRECT)})")(lambda v: _shown(pl.reranked(store(v), asked(v))))
 
 # routing
 _SAMPLES = ["", "help", "what happened last week", "notes related to billing", "total spend across all teams", "please summarize the design of the storage layer", "deployment checklist", "之前我都做了哪些事情", "the quarterly infrastructure review meeting", "今天", "last year report", "connected to the graph", "list of open tasks"]
@@ -201,7 +235,7 @@ query("fn_time_window", "", f"SELECT query, CAST(CASE {_WIN} ELSE 30000 END AS I
 query("rt_preprocess", "", f"SELECT query, intent FROM ({_TOLD})")(lambda v: _samples(v).select("query", routing.intent(F.col("query")).alias("intent")))
 
 # evaluation: a hit is a neighbour with the query's label, itself left out
-_RANKS = "SELECT query_id, label, min(nth) FILTER (WHERE hit) AS rank FROM (SELECT a.vec_id AS query_id, a.label, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) DESC, b.vec_id) AS nth FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50) WHERE nth <= 10 GROUP BY 1, 2"
+_RANKS = "SELECT query_id, label, min(nth) FILTER (WHERE hit) AS rank FROM (SELECT a.vec_id AS query_id, a.label, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) DESC, b.vec_id) AS nth FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE nth <= 10 GROUP BY 1, 2"
 _IR = "count(*) AS total, round(avg(CASE WHEN rank IS NOT NULL THEN 100.0 ELSE 0 END), 6) AS hit_rate, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_5, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_10, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END), 6) AS recall_{k}" for k in (1, 3, 5, 10))
 query("agg_ir", "", f"SELECT label, {_IR} FROM ({_RANKS}) GROUP BY label")(lambda v: _rounded(relations.quality(_hits(v), "label")))
 query("job_eval", "", f"SELECT 'all' AS run, {_IR} FROM ({_RANKS})")(lambda v: _rounded(relations.quality(_hits(v).withColumn("run", F.lit("all")), "run")))
@@ -209,7 +243,7 @@ query("agg_regression", "", f"SELECT label, 'mrr' AS metric, round(0.9 - mrr, 6)
 
 
 def _hits(v: Views) -> DataFrame:
-    few = v.embeddings.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    few = v.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     near = vectorsearch.search(v.embeddings.select(F.col("vec_id").alias("id"), "embedding"), few, 11).filter("id <> query_id")
     place = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("nth"))).filter("place <= 10")
     labels = v.embeddings.select(F.col("vec_id").alias("id"), "label")
@@ -234,16 +268,15 @@ def _strengths(v: Views):
 
 
 def _fts_rows(v: Views) -> DataFrame:
-    ranks = fulltext.bm25(v.memories, fulltext.query_terms(asked(v).text))
+    ranks = fulltext.bm25(v.memories, fulltext.query_parts(asked(v).text), index=text_index(v))
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
     return ranks.withColumn("nth", F.row_number().over(best)).filter("nth <= 300").join(v.memories.filter("deleted_at IS NULL").select("id", "kind"), "id").select("query_id", "id", "kind")
 
 
 def _sized(v: Views) -> DataFrame:
     size = lambda c: s.estimated_tokens(F.col(c)).cast("long")
-    bucket = F.when(F.col("memory_class") == "core", "core").when(F.col("source") == "graph", "entity").otherwise("context")
-    found = pl.graph(store(v), asked(v)).unionByName(pl.fts(store(v), asked(v))).dropDuplicates(["query_id", "id"])
-    return found.join(v.memories.select("id", "memory_class", "content", "summary", "excerpt"), "id").select("query_id", "id", "score", bucket.alias("bucket"), size("content").alias("full"), size("summary").alias("summary"), size("excerpt").alias("excerpt"))
+    found = pl.graph(store(v), asked(v)).unionByName(pl.fts(store(v), asked(v))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return found.join(v.memories.select("id", "content", "summary", "excerpt"), "id").select("query_id", "id", "score", size("content").alias("full"), size("summary").alias("summary"), size("excerpt").alias("excerpt"))
 
 
 def _breaker(v: Views) -> DataFrame:
@@ -252,10 +285,3 @@ def _breaker(v: Views) -> DataFrame:
         rows.append((step, breaker.allows()))
         breaker.told(ok)
     return v.spark.createDataFrame(rows, "step int, allowed boolean")
-
-
-def _retry(v: Views) -> DataFrame:
-    """Where a filtered search's best score stays low, once more with a wider filter; the better one counts."""
-    strict = pl.direct(store(v), asked(v), memory_class="procedural").filter("score >= 0.05")
-    wide = pl.direct(store(v), asked(v)).join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    return _shown(strict.unionByName(wide))

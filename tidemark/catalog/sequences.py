@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.retrieval import asked, store
@@ -9,12 +11,14 @@ from tidemark.functions import scalars as s
 from tidemark.operators import chunking, hooks, selection
 from tidemark.plans import pipelines as pl
 from tidemark.registry import query
+from tidemark.session import shared_dir
+from tidemark.sources.files import json_cases
 
 query("udtf_text")(lambda v: chunking.chunks(v.documents, "doc_id", "text").select("doc_id", "at", "chunk"))
 query("udtf_markdown")(lambda v: chunking.chunks(v.documents, "doc_id", "text", markdown=True))
 query("udtf_document")(lambda v: chunking.chunks(chunking.page_texts(v.pages), "page_id", "text").select(F.concat_ws("-", F.lit("page"), F.col("page_id").cast("string"), F.col("at").cast("string")).alias("id"), F.col("chunk").alias("content"), F.col("heading").alias("summary")))
 query("src_docfile")(lambda v: chunking.page_texts(v.pages))
-query("src_json")(lambda v: v.spark.createDataFrame([('{"query": "a", "expected": ["x", "y"]}',)], "line string").select(F.from_json("line", "query string, expected array<string>").alias("case")).select("case.query", F.size("case.expected").alias("n")))
+query("src_json", "", "SELECT text AS query, 2 AS n, CAST(item_id AS VARCHAR) AS first FROM benchmark")(lambda v: _cases(v))
 query("win_batches")(lambda v: selection.batched(v.documents.select(F.col("source"), F.col("doc_id").alias("id"), s.estimated_tokens(F.col("text")).alias("tokens")), "source", 4096))
 query("win_overlap")(lambda v: chunking.chunks(v.documents, "doc_id", "text", most_tokens=128, overlap_tokens=16).select("doc_id", "at", "chunk"))
 query("job_cluster")(lambda v: selection.clustered(v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding"), "label", threshold=0.3))
@@ -37,10 +41,19 @@ def _consolidated(v):
 
 
 def _reflected(v):
-    def retrieve(text: str, k: int) -> list[str]:
+    """The first question of benchmark, as the loop is one question's; the reasoner stands in for a model."""
+
+    def retrieve(text: str, k: int) -> list[tuple[str, float]]:
         one = v.spark.createDataFrame([(0, text)], "query_id long, text string")
-        return [r.id for r in pl.fts(store(v), pl.Queries(one), k).collect()]
+        return [(r.id, r.score) for r in pl.fts(store(v), pl.Queries(one), k).orderBy(F.desc("score"), "id").collect()]
 
     first = asked(v).text.orderBy("query_id").first()
     conclusion, queries = hooks.reflect(first.text, retrieve, lambda q, rows: (f"{len(rows)} rows", None) if len(q) < 40 else (None, q[:30]))
     return v.spark.createDataFrame([(conclusion, q, i) for i, q in enumerate(queries)], "conclusion string, query string, round int")
+
+
+def _cases(v):
+    """Evaluation cases written as lines of JSON and read back."""
+    path = f"{shared_dir(v.spark)}/cases-{uuid.uuid4().hex}"
+    v.benchmark.select(F.col("text").alias("query"), F.array(F.col("item_id").cast("string"), F.col("text")).alias("expected")).write.json(path)
+    return json_cases(v.spark, path).select("query", F.size("expected").alias("n"), F.element_at("expected", 1).alias("first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,22 @@ def match_parts(query: str) -> list[str]:
     return (words + pairs)[:MOST_PARTS]
 
 
-def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, term) of the single words, in the form the index holds."""
-    terms = F.array_distinct(indexed_terms(F.col(text)))
-    kept = F.filter(terms, lambda t: (F.length(t) > 1) & ~t.isin(*sorted(STOP_WORDS)))
-    return queries.select("query_id", F.explode(F.when(F.size(kept) > 0, kept).otherwise(terms)).alias("term"))
+def query_parts(queries: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, phrase, times, need): what match_parts() says of each query, each part as the index's words with a space between.
+
+    times: how often the part is asked for; need: how many parts a row must have, all where only stop words are left.
+    """
+    words = F.filter(F.split(F.translate(F.col(text), '-+"*()^', "  "), r"\s+"), lambda w: w != "")
+    kept = F.filter(words, lambda w: ~F.lower(w).isin(*sorted(STOP_WORDS)) & ~w.rlike(r"^[\x00-\x7F]$"))
+    split = queries.select("query_id", words.alias("words"), kept.alias("kept"))
+    fewer = F.greatest(F.size("kept") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("kept", 1, fewer), F.slice("kept", 2, fewer), lambda a, b: F.concat_ws(" ", a, b))
+    wanted = F.when(F.size("kept") > 2, F.slice(F.concat("kept", pairs), 1, MOST_PARTS)).otherwise(F.slice("kept", 1, MOST_PARTS))
+    parts = split.select("query_id", (F.size("kept") == 0).alias("every"), F.explode(F.when(F.size("kept") > 0, wanted).otherwise(F.col("words"))).alias("part"))
+    parts = parts.select("query_id", "every", F.array_join(indexed_terms(F.col("part")), " ").alias("phrase")).filter("phrase <> ''")
+    counted = parts.groupBy("query_id", "phrase").agg(F.count("*").alias("times"), F.max("every").alias("every"))
+    own = Window.partitionBy("query_id")
+    return counted.select("query_id", "phrase", "times", F.when(F.col("every"), F.count("*").over(own)).otherwise(1).alias("need"))
 
 
 def postings(rows: DataFrame, columns: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -51,38 +64,59 @@ def phrases(found: DataFrame) -> DataFrame:
 
 
 def lengths(rows: DataFrame, columns: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(id, length in words, n rows, mean length)."""
     total = sum((F.size(indexed_terms(F.coalesce(c, F.lit("")))) for c in columns), F.lit(0))
-    return rows.select("id", total.cast("double").alias("length"))
+    sized = rows.select("id", total.cast("double").alias("length"))
+    return rows.sparkSession.sql("SELECT id, length, (SELECT count(*) FROM {sized}) AS n, (SELECT avg(length) FROM {sized}) AS mean FROM {sized}", sized=sized)
+
+
+@dataclass
+class Index:
+    """postings: id, column, term, position; lengths: id, length, n, mean."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def written_index(rows: DataFrame, path: str, columns: dict[str, float] = WEIGHTS) -> Index:
+    """The full-text index of rows, written under path; postings in the order of terms within each file, without a shuffle."""
+    spark = rows.sparkSession
+    postings(rows, columns).sortWithinPartitions("term", "id", "column", "position").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(rows, columns).write.mode("overwrite").parquet(f"{path}/lengths")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
-def bm25(rows: DataFrame, terms: DataFrame, columns: dict[str, float] = WEIGHTS, found: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, bm25) for the terms (query_id, term); found: postings to use, those of the rows without it.
+def bm25(rows: DataFrame, parts: DataFrame, columns: dict[str, float] = WEIGHTS, index: Index | None = None) -> DataFrame:
+    """(query_id, id, bm25) for the parts of queries, words and phrases, as query_parts() gives them.
 
-    Postings meet the distinct query terms before anything is aggregated, so the shuffle holds matches only.
+    Postings, the index's or those of the rows without one, meet the distinct words asked for before anything
+    is aggregated, so the shuffle holds matches only. A phrase is met where all its words stand in a row.
+    Ranks are rounded, so that equal texts are ties whatever the order of their sums.
     """
-    found = postings(rows, columns) if found is None else found
+    index = index or Index(postings(rows, columns), lengths(rows, columns))
     weight = F.lit(0.0)
     for name, value in columns.items():
         weight = F.when(F.col("column") == name, F.lit(value)).otherwise(weight)
-    hits = found.join(terms.select("term").distinct(), "term").groupBy("term", "id").agg(F.sum(weight).alias("tf"))
-    sized = lengths(rows, columns)
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = stats.n, stats.mean or 1.0
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    scored = hits.join(df, "term").join(sized, "id")
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    return scored.withColumn("part", part).join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
-
-
-def search(rows: DataFrame, queries: DataFrame, limit: int = 30, condition=None, overfetch: int | None = 10) -> DataFrame:
+    words = F.split("phrase", " ")
+    asked = parts.select("phrase").distinct().select("phrase", F.size(words).alias("size"), F.posexplode(words).alias("nth", "term"))
+    met = index.postings.join(asked, "term").groupBy("phrase", "size", "id", "column", (F.col("position") - F.col("nth")).alias("at")).agg(F.count("*").alias("n"))
+    hits = met.filter("n = size").groupBy("phrase", "id").agg(F.sum(weight).alias("tf"))
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.col("n").cast("double") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    scored = hits.join(df, "phrase").join(index.lengths, "id")
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    ranks = scored.withColumn("part", part).join(parts, "phrase").groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 9).alias("bm25"), F.count("*").alias("found"), F.max("need").alias("need"))
+    return ranks.filter("found >= need").select("query_id", "id", "bm25")
+
+
+def search(rows: DataFrame, queries: DataFrame, limit: int = 30, condition=None, overfetch: int | None = 10, index: Index | None = None) -> DataFrame:
     """For each query (query_id, text) at most limit rows: query_id, id, score, nth by rank.
 
     condition filters after the cut to limit * overfetch best, as an index that knows nothing of it would;
-    with overfetch None it comes first, so no match is lost.
+    with overfetch None it comes first, so no match is lost, and index, that of all rows, isn't used.
     """
-    searched = rows if overfetch or condition is None else rows.filter(condition)
-    ranks = bm25(searched, query_terms(queries))
+    early = overfetch is None and condition is not None
+    ranks = bm25(rows.filter(condition) if early else rows, query_parts(queries), index=None if early else index)
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
     if overfetch:
         ranks = ranks.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= limit * overfetch).drop("_nth")

@@ -54,38 +54,42 @@ def diverse(candidates: DataFrame, vectors: DataFrame, share: float = 0.7, limit
     return joined.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, id string, score double, place int")
 
 
-#: How the token budget is shared among core rows, context, entities and time line.
-SHARES = {"core": 0.3, "context": 0.4, "entity": 0.2, "timeline": 0.1}
+#: The shares of the token budget for core rows, context and entities, by strategy; the time line has the rest.
+SHARES = {"": (0.3, 0.4, 0.2), "precision": (0.6, 0.2, 0.1), "factual": (0.6, 0.2, 0.1), "exploration": (0.25, 0.25, 0.25), "temporal": (0.2, 0.15, 0.15)}
 
 
-def disclose(rows: list[tuple[str, str, int, int, int]], budget: int, shares: dict[str, float] = SHARES) -> list[tuple[str, str, int]]:
-    """(id, bucket, tokens of content, summary, excerpt) in order, to (id, form, tokens).
+def disclose(rows: list[tuple[str, int, int, int]], budget: int, strategy: str = "") -> list[tuple[str, str, str, int]]:
+    """(id, tokens of content, summary, excerpt) in order, to (id, bucket, form, tokens).
 
-    A row goes in full into its bucket if there is room, else as summary, else as excerpt; else only a pointer stays.
+    Each row goes to the first bucket that has room for it in full, else as summary, else as excerpt. What fits
+    nowhere, or has no content, stays a pointer.
     """
-    room = {name: int(budget * share) for name, share in shares.items()}
+    parts = [int(budget * share) for share in SHARES.get(strategy, SHARES[""])]
+    room = dict(zip(("core", "context", "entity", "timeline"), (*parts, budget - sum(parts))))
     out = []
-    for key, bucket, *sizes in rows:
-        for form, size in zip(("full", "summary", "excerpt"), sizes):
-            if size and size <= room.get(bucket, 0):
+    for key, full, summary, excerpt in rows:
+        for bucket, left in room.items():
+            forms = (("full", full),) if full <= left else (("summary", summary), ("excerpt", excerpt))
+            form, size = next(((f, n) for f, n in forms if 0 < n <= left), ("", 0))
+            if size:
                 room[bucket] -= size
-                out.append((key, form, size))
+                out.append((key, bucket, form, size))
                 break
         else:
-            out.append((key, "pointer", 0))
+            out.append((key, "overflow", "pointer", 0))
     return out
 
 
-def disclosed(candidates: DataFrame, budget: int = 4096) -> DataFrame:
-    """candidates: query_id, id, score, bucket, full, summary, excerpt (tokens). With form and tokens for each."""
+def disclosed(candidates: DataFrame, budget: int = 4096, strategy: str = "") -> DataFrame:
+    """candidates: query_id, id, score, full, summary, excerpt (tokens). With bucket, form and tokens for each."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        got = disclose(list(zip(pdf.id, pdf.bucket, pdf.full, pdf.summary, pdf.excerpt)), budget)
-        return pd.DataFrame({"query_id": pdf.query_id.iat[0], "id": [g[0] for g in got], "form": [g[1] for g in got], "tokens": [g[2] for g in got]})
+        got = disclose(list(zip(pdf.id, pdf.full, pdf.summary, pdf.excerpt)), budget, strategy)
+        return pd.DataFrame(got, columns=["id", "bucket", "form", "tokens"]).assign(query_id=pdf.query_id.iat[0])[["query_id", "id", "bucket", "form", "tokens"]]
 
     kind = dict(candidates.dtypes)["query_id"]
-    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, id string, form string, tokens long")
+    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, id string, bucket string, form string, tokens long")
 
 
 def batches_of(tokens: list[int], most: int) -> list[int]:

@@ -88,13 +88,14 @@ def accessed(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, *keys: str, order: str) -> DataFrame:
-    """Of rows with equal keys the last by order."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
+    """Of rows with equal keys the last by order; of those alike in it the first by a hash of the row."""
+    last = Window.partitionBy(*keys).orderBy(F.desc(order), F.xxhash64(*rows.columns))
     return rows.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth")
 
 
 def earliest(rows: DataFrame, *keys: str, order: str) -> DataFrame:
-    first = Window.partitionBy(*keys).orderBy(order)
+    """Of rows with equal keys the first by order, then by a hash of the row."""
+    first = Window.partitionBy(*keys).orderBy(order, F.xxhash64(*rows.columns))
     return rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
 
 

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import cosine
 
 
+_SHARES = 64
+
+
 def search(vectors: DataFrame, queries: DataFrame, limit: int | None = 30, least: float | None = None, condition=None) -> DataFrame:
     """For each query (query_id, query) the rows of vectors (id, embedding) nearest by cosine: query_id, id, score.
 
-    With limit None all rows count. The query set is stated and small against the vectors, so it is what Spark sends to them.
+    With limit None all rows count. A small query set is sent to the rows, as Spark sees its size; a large one
+    meets them in shares, so that the one key, the vectors' length, is no single task.
     """
-    rows = vectors if condition is None else vectors.filter(condition)
-    scored = rows.join(queries.hint("broadcast"), F.size("embedding") == F.size("query")).withColumn("score", cosine(F.col("embedding"), F.col("query")))
+    rows = (vectors if condition is None else vectors.filter(condition)).withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(_SHARES)).cast("int"))
+    asked = queries.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    scored = rows.join(asked, (rows["_share"] == asked["_share"]) & (F.size("embedding") == F.size("query"))).withColumn("score", cosine(F.col("embedding"), F.col("query")))
     scored = scored if least is None else scored.filter(F.col("score") >= least)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("nth", F.row_number().over(nearest))

@@ -14,6 +14,7 @@ from tidemark.operators import fulltext, graphs, vectorsearch
 from tidemark.operators.predicates import Identity, event_time, live, visible
 from tidemark.operators.relations import ranked, trust, within_budget
 from tidemark.operators.selection import diverse
+from tidemark.session import written
 
 
 @dataclass
@@ -28,9 +29,12 @@ class Store:
     who: Identity
     alpha: float = 0.15
     decay: float = 0.01
+    index: fulltext.Index | None = None  # of all rows; without it, each search reads their texts
+    filters: Column | None = None  # what a caller asks for besides
 
     def readable(self) -> Column:
-        return live() & visible(self.who)
+        allowed = live() & visible(self.who)
+        return allowed if self.filters is None else allowed & self.filters
 
 
 @dataclass
@@ -51,7 +55,7 @@ def _channel(found: DataFrame, source: str) -> DataFrame:
 
 
 def fts(store: Store, queries: Queries, limit: int = 30) -> DataFrame:
-    return _channel(fulltext.search(store.rows, queries.text, limit, store.readable()), "fts")
+    return _channel(fulltext.search(store.rows, queries.text, limit, store.readable(), index=store.index), "fts")
 
 
 def vector(store: Store, queries: Queries, limit: int = 30, least: float = 0.3) -> DataFrame:
@@ -61,13 +65,16 @@ def vector(store: Store, queries: Queries, limit: int = 30, least: float = 0.3)
 
 def graph(store: Store, queries: Queries, depth: int = 2, limit: int = 30, per_entity: int = 10) -> DataFrame:
     visited = graphs.walk(store.relations, queries.seeds, depth)
-    return _channel(graphs.collected(store.rows.filter(visible(store.who)), store.links, visited, store.now, per_entity, limit, store.decay), "graph")
+    return _channel(graphs.collected(store.rows.filter(store.readable()), store.links, visited, store.now, per_entity, limit, store.decay), "graph")
 
 
 def temporal(store: Store, queries: Queries, limit: int = 30) -> DataFrame:
     """Rows near each query's center: of the newest within three ranges, the best by distance."""
     rows = store.rows.filter(store.readable()).select("id", event_time().alias("_time"))
-    met = rows.join(queries.times.hint("broadcast"), F.abs(F.unix_micros("_time") - F.unix_micros(F.col("center"))) <= F.col("range_days") * 3 * 86_400_000_000)
+    # by days, so that the ranges meet the rows in an equality join
+    day, reach = F.to_date("center"), F.ceil(F.col("range_days") * 3).cast("int") + 1
+    times = queries.times.withColumn("_day", F.explode(F.sequence(F.date_sub(day, reach), F.date_add(day, reach))))
+    met = rows.withColumn("_day", F.to_date("_time")).join(times, "_day").filter(F.abs(F.unix_micros("_time") - F.unix_micros(F.col("center"))) <= F.col("range_days") * 3 * 86_400_000_000)
     newest = Window.partitionBy("query_id").orderBy(F.desc("_time"), "id")
     met = met.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= 2 * limit)
     days, reach = F.abs(F.unix_micros("_time") - F.unix_micros(F.col("center"))) / 86_400_000_000, F.greatest(F.col("range_days"), F.lit(1))
@@ -82,7 +89,7 @@ def exhaustive(store: Store, queries: Queries, most: int = 200) -> DataFrame:
     owned = queries.seeds.join(store.links.select("entity_id", F.col("memory_id").alias("id")), "entity_id").select("query_id", "id").distinct().join(rows, "id")
     bare = queries.text.select("query_id").join(owned.select("query_id").distinct(), "query_id", "left_anti")
     newest = rows.orderBy(F.desc("_time"), "id").limit(most)
-    found = owned.unionByName(newest.join(bare.hint("broadcast"), F.lit(True)).select("id", "query_id", "_time").select("query_id", "id", "_time"))
+    found = owned.unionByName(bare.join(newest.hint("broadcast"), F.lit(True)).select("id", "query_id", "_time").select("query_id", "id", "_time"))
     oldest = Window.partitionBy("query_id").orderBy("_time", "id")
     return _channel(found.withColumn("_nth", F.row_number().over(oldest)).filter(F.col("_nth") <= most).withColumn("score", F.lit(1.0)), "exhaustive")
 
@@ -144,7 +151,7 @@ def with_core(store: Store, queries: Queries, candidates: DataFrame, scopes: tup
     """Core rows of the scopes that aren't among the candidates yet, with score 2."""
     best = Window.partitionBy("scope").orderBy(F.desc("reinforced_count"), F.desc("created_at"), "id")
     core = store.rows.filter(store.readable() & (F.col("memory_class") == "core") & F.col("scope").isin(*scopes)).withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= per_scope)
-    asked = core.select("id").join(queries.text.select("query_id").hint("broadcast"), F.lit(True))
+    asked = queries.text.select("query_id").join(core.select("id").hint("broadcast"), F.lit(True))  # a few rows of each scope
     fresh = asked.join(candidates.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return fresh.select("query_id", "id", F.lit(2.0).alias("score"), F.lit("core").alias("source")).unionByName(candidates.select(*_COLUMNS))
 
@@ -198,21 +205,22 @@ class Run:
 def execute(store: Store, queries: Queries, name: str, depth: int = 3) -> Run:
     """A pipeline, and for queries that it leaves empty its fallback, at most depth times. With what ran."""
     pipeline, traces = PIPELINES[name], [name]
-    found = pipeline.run(store, queries)
+    found = written(pipeline.run(store, queries), "found")
     while pipeline.fallback and depth > 0:
-        empty = queries.text.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        empty = written(queries.text.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id"), "empty")
         if not empty.limit(1).count():
             break
         pipeline, depth = PIPELINES[pipeline.fallback], depth - 1
         traces.append(pipeline.name)
-        part = lambda df: None if df is None else df.join(empty.select("query_id"), "query_id", "left_semi")  # noqa: B023, E731
-        found = found.unionByName(pipeline.run(store, Queries(part(queries.text), part(queries.vectors), part(queries.seeds), part(queries.times))))
+        part = lambda df: None if df is None else df.join(empty, "query_id", "left_semi")  # noqa: B023, E731
+        more = pipeline.run(store, Queries(part(queries.text), part(queries.vectors), part(queries.seeds), part(queries.times)))
+        found = found.unionByName(written(more, "found"))
     return Run(found, traces)
 
 
 def post_processed(store: Store, queries: Queries, candidates: DataFrame, scopes: tuple[str, ...], share: float = 0.7, limit: int = 10, budget: int = 4096) -> DataFrame:
     """Diversity, core rows, then the token budget."""
-    chosen = diverse(candidates, store.vectors, share, limit).select("query_id", "id", "score", F.lit("hybrid").alias("source"))
+    chosen = written(diverse(candidates, store.vectors, share, limit).select("query_id", "id", "score", F.lit("hybrid").alias("source")), "chosen")
     return trimmed(store, with_core(store, queries, chosen, scopes), budget)
 
 
@@ -236,6 +244,27 @@ def direct(store: Store, queries: Queries, weights: tuple[float, float, float, f
     return scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= limit).select("query_id", "id", "score", "nth")
 
 
+def retried(first: DataFrame, again: DataFrame, least: float = 0.3) -> DataFrame:
+    """(query_id, id, score) of first; for queries whose best score is below least, those of again where its best is higher.
+
+    again is the same search with wider filters: no time range, and 0.6 of the strength asked for.
+    """
+    tops = first.groupBy("query_id").agg(F.max("score").alias("_one")).join(again.groupBy("query_id").agg(F.max("score").alias("_two")), "query_id")
+    better = tops.filter((F.col("_one") < least) & (F.col("_two") > F.col("_one"))).select("query_id")
+    columns = ("query_id", "id", "score")
+    return first.select(*columns).join(better, "query_id", "left_anti").unionByName(again.select(*columns).join(better, "query_id", "left_semi"))
+
+
+def reranked(store: Store, queries: Queries, limit: int = 10, top: int = 20, weight: float = 0.7) -> DataFrame:
+    """The direct path's rows re-ranked by overlap: equal ends are told apart by the score before, then by place."""
+    found = direct(store, queries, limit=limit)
+    new = by_overlap(store, queries, found.withColumn("source", F.lit("direct")), top, weight).select("query_id", "id", F.col("score").alias("final"))
+    several = found.groupBy("query_id").agg(F.count("*").alias("_n"))
+    joined = found.join(new, ["query_id", "id"]).join(several, "query_id").withColumn("final", F.when(F.col("_n") > 1, F.col("final")).otherwise(F.col("score")))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("final", 12)), F.desc(F.round("score", 12)), "nth")
+    return joined.select("query_id", "id", F.col("final").alias("score"), F.row_number().over(order).cast("long").alias("nth"))
+
+
 @dataclass
 class Breaker:
     """Lets calls through until three in a row fail, then none for a while, then one to try."""
