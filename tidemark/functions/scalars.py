@@ -56,12 +56,22 @@ def coverage(words: Column, document: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words))
 
 
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return _total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(_total(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 for vectors of different lengths and for zero ones."""
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    norms = F.sqrt(total(F.transform(a, lambda x: x.cast("double") * x.cast("double")))) * F.sqrt(total(F.transform(b, lambda x: x.cast("double") * x.cast("double"))))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0), dot / norms).otherwise(0.0)
+    norms = norm(a) * norm(b)
+    return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(0.0)
 
 
 def cosine_with(vector: Column, query: list[float]) -> Column:

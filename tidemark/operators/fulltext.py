@@ -99,7 +99,9 @@ def bm25(rows: DataFrame, parts: DataFrame, columns: dict[str, float] = WEIGHTS,
         weight = F.when(F.col("column") == name, F.lit(value)).otherwise(weight)
     words = F.split("phrase", " ")
     asked = parts.select("phrase").distinct().select("phrase", F.size(words).alias("size"), F.posexplode(words).alias("nth", "term"))
-    met = index.postings.join(asked, "term").groupBy("phrase", "size", "id", "column", (F.col("position") - F.col("nth")).alias("at")).agg(F.count("*").alias("n"))
+    # one shuffle, by id: both counts and the lengths go by it
+    near = index.postings.join(asked, "term").select("phrase", "size", "id", "column", "position", "nth").repartition("id")
+    met = near.groupBy("phrase", "size", "id", "column", (F.col("position") - F.col("nth")).alias("at")).agg(F.count("*").alias("n"))
     hits = met.filter("n = size").groupBy("phrase", "id").agg(F.sum(weight).alias("tf"))
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n").cast("double") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
@@ -120,9 +122,11 @@ def search(rows: DataFrame, queries: DataFrame, limit: int = 30, condition=None,
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
     if overfetch:
         ranks = ranks.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= limit * overfetch).drop("_nth")
-    joined = ranks.join(rows if condition is None else rows.filter(condition), "id").join(queries.select("query_id", F.col("text").alias("_asked")), "query_id")
-    words = F.filter(F.array_distinct(F.split(F.lower("_asked"), r"\s+")), lambda w: w != "")
-    document = F.lower(F.concat_ws(" ", "content", "excerpt"))
-    share = F.size(F.filter(words, lambda w: F.contains(document, w))) / F.greatest(F.size(words), F.lit(1))
-    joined = joined.withColumn("score", RANK_SHARE * F.col("bm25") + COVERAGE_SHARE * share * F.col("bm25")).withColumn("nth", F.row_number().over(best))
-    return joined.filter(F.col("nth") <= limit).select("query_id", "id", "score", "bm25", "nth")
+    allowed = (rows if condition is None else rows.filter(condition)).select("id")
+    best_rows = ranks.join(allowed, "id").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= limit)
+    # the texts of what is left only; in lower case before the join, as a word's test would do it again for each word
+    texts = rows.select("id", F.lower(F.concat_ws(" ", "content", "excerpt")).alias("_document"))
+    asked = queries.select("query_id", F.filter(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: w != "").alias("_words"))
+    joined = best_rows.join(texts, "id").join(asked, "query_id")
+    share = F.size(F.filter("_words", lambda w: F.contains(F.col("_document"), w))) / F.greatest(F.size("_words"), F.lit(1))
+    return joined.select("query_id", "id", (RANK_SHARE * F.col("bm25") + COVERAGE_SHARE * share * F.col("bm25")).alias("score"), "bm25", "nth")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import cosine
+from tidemark.functions.scalars import dot, norm
 
 
 _SHARES = 64
@@ -19,7 +19,10 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int | None = 30, least
     """
     rows = (vectors if condition is None else vectors.filter(condition)).withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(_SHARES)).cast("int"))
     asked = queries.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
-    scored = rows.join(asked, (rows["_share"] == asked["_share"]) & (F.size("embedding") == F.size("query"))).withColumn("score", cosine(F.col("embedding"), F.col("query")))
+    rows, asked = rows.withColumn("_norm", norm(F.col("embedding"))), asked.withColumn("_asked_norm", norm(F.col("query")))
+    scored = rows.join(asked, (rows["_share"] == asked["_share"]) & (F.size("embedding") == F.size("query")))
+    lengths = F.col("_norm") * F.col("_asked_norm")
+    scored = scored.withColumn("score", F.when(lengths > 0, dot(F.col("embedding"), F.col("query")) / lengths).otherwise(0.0))
     scored = scored if least is None else scored.filter(F.col("score") >= least)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("nth", F.row_number().over(nearest))

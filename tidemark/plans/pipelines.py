@@ -127,10 +127,12 @@ def by_overlap(store: Store, queries: Queries, candidates: DataFrame, top: int =
     """The first top of each query by base and overlap with its text; the rest keep their scores, behind them."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     placed = candidates.withColumn("_place", F.row_number().over(best))
-    head = placed.filter(F.col("_place") <= top).join(store.rows.select("id", "content", "excerpt", "summary"), "id").join(queries.text, "query_id")
-    asked = s.overlap_text(F.col("text"))
-    external = s.overlap_score(asked, F.array_distinct(F.split(asked, " ")), s.overlap_text(F.concat_ws(" ", "content", "excerpt", "summary")))
-    return _blend(head.withColumn("_external", external), weight, "_external").select(*_COLUMNS).unionByName(placed.filter(F.col("_place") > top).select(*_COLUMNS))
+    head = placed.filter(F.col("_place") <= top)
+    # both texts are put in form before the join, as a word's test would do it again for each word
+    texts = store.rows.join(head.select("id").distinct(), "id", "left_semi").select("id", s.overlap_text(F.concat_ws(" ", "content", "excerpt", "summary")).alias("_document"))
+    asked = queries.text.select("query_id", s.overlap_text(F.col("text")).alias("_asked")).withColumn("_words", F.array_distinct(F.split("_asked", " ")))
+    external = s.overlap_score(F.col("_asked"), F.col("_words"), F.col("_document"))
+    return _blend(head.join(texts, "id").join(asked, "query_id").withColumn("_external", external), weight, "_external").select(*_COLUMNS).unionByName(placed.filter(F.col("_place") > top).select(*_COLUMNS))
 
 
 def by_graph(store: Store, queries: Queries, candidates: DataFrame, weight: float = 0.6, least: float = 0.2) -> DataFrame:
