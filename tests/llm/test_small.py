@@ -155,6 +155,11 @@ def test_near_vectors(spark, embeddings, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_of_huge_and_tiny_vectors():
+    x = np.array([[1e200, 2e200, 3e200], [1e-200, 2e-200, 3e-200], [1.0, 2.0, 3.0], [3.0, -2.0, 1.0]])
+    assert vectors.links(x, x, 0.98).tolist() == [[True] * 3 + [False]] * 3 + [[False] * 3 + [True]]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(50, 3000)), rng.normal(size=(40, 3000))

@@ -11,7 +11,8 @@ A tile pair gives out degrees, summed over counts, and stars of its local compon
 
 Vectors that are null, zero, or hold null or non-finite components, and those with a null label, link
 with nothing; neither do vectors of different length. A row with a null vec_id links as any other, but no
-component is named after it. Repeated rows count as vectors of their own. Other columns are not read.
+component is named after it. Repeated rows count as vectors of their own. Other columns are not read. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """A Boolean matrix: whether the cosine of x[i] and y[j] is at least threshold."""
+    # by powers of two, which change no digit: squares of very large or small components stay finite and positive
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (x, y))
     x_len, y_len = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (a, a_scale, a_err, a_len), (b, b_scale, b_err, b_len) = quantised(x / x_len[:, None]), quantised(y / y_len[:, None])
     about = products(a, b) * a_scale[:, None] * b_scale
