@@ -79,8 +79,11 @@ class Index:
 
 
 def written_index(rows: DataFrame, path: str, columns: dict[str, float] = WEIGHTS) -> Index:
-    """The full-text index of rows, written under path; postings in the order of terms within each file, without a shuffle."""
+    """The full-text index of rows, written under path; postings in the order of terms within each file."""
     spark = rows.sparkSession
+    rows = rows.select("id", *columns)
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a table of few files is dealt out first
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     postings(rows, columns).sortWithinPartitions("term", "id", "column", "position").write.mode("overwrite").parquet(f"{path}/postings")
     lengths(rows, columns).write.mode("overwrite").parquet(f"{path}/lengths")
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
