@@ -181,6 +181,75 @@ def test_hooks():
     assert wanted == [15, 6, 6, 5]
 
 
+def test_finalising_counts_a_key_once(spark):
+    sessions = spark.createDataFrame([("a", "active", 0), ("b", "created", 0), ("c", "active", 0), ("d", "finalized", 1), ("e", "active", 0)], "session_id string, state string, version int")
+    asked = spark.createDataFrame([("a", "k1"), ("a", "k1"), ("b", "k1"), ("c", "old"), ("d", "k2"), ("x", "k3"), ("e", ""), (None, "k4")], "session_id string, key string")
+    used = spark.createDataFrame([("old",)], "key string")
+    got = {r.session_id: (r.state, r.version) for r in snapshots.finalized(sessions, asked, used).collect()}
+    assert got == {"a": ("finalized", 1), "b": ("created", 0), "c": ("active", 0), "d": ("finalized", 1), "e": ("active", 0)}
+
+
+def test_repair(spark):
+    hour = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("a", "active", hour(1), None), ("b", "pending_repair", hour(2), 3), ("c", "active", hour(3), 2), ("d", "active", dt.datetime(2024, 1, 1, 11, 31), 0), ("e", "created", hour(0), 0), ("f", "active", hour(4), 0), ("g", None, None, None)]
+    sessions = spark.createDataFrame(rows, "session_id string, state string, last_seen timestamp, attempts int")
+    after = lambda batch: {r.session_id: (r.state, r.attempts) for r in snapshots.repaired(sessions, "2024-01-01 12:00:00", F.col("session_id") == "c", batch=batch).collect()}
+    told = {"a": ("finalized", 1), "b": ("abandoned", 3), "c": ("pending_repair", 3), "d": ("active", 0), "e": ("created", 0), "f": ("finalized", 1), "g": (None, None)}
+    assert after(None) == told
+    assert after(3) == told | {"f": ("active", 0)}
+
+
+def test_consolidation(spark):
+    kinds = "id string, content string, kind string, memory_class string, scope string, team_id string, visibility string, retention_tier string, decay_rate double, strength double, reinforced_count int, access_count int, source_type string, created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp"
+    now = dt.datetime(2024, 1, 1)
+    row = lambda key, content, kind="note", scope="", team="", strength=0.5, deleted=None: (key, content, kind, "episodic", scope, team, "private", "standard", 0.01, strength, 1, 2, "s", now, now, None, deleted)
+    rows = spark.createDataFrame([row("a", "one", "", "", "", 0.95), row("b", "two", "consolidated", "s", "t"), row("c", "x" * 100), row("d", "y" * 100), row("e", "alone"), row("f", "gone", deleted=now), row("g", "left")], kinds)
+    clusters = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c"), ("c", "d"), ("f", "f"), ("f", "g")], "cluster_id string, id string")
+    after, links = snapshots.consolidated(rows, clusters, "2024-02-01 00:00:00", lambda c: F.when(c.contains("xx"), "short").otherwise(c))
+    got = {r.id: r for r in after.collect()}
+    assert set(got) == set("abcdefg") | {"consolidated-a"}
+    new = got["consolidated-a"]
+    assert (new.content, new.kind, new.scope, new.team_id, new.strength, new.retention_tier, new.memory_class, new.reinforced_count, new.decay_rate) == ("1. one\n2. [consolidated] two", "", "s", "t", 1.0, "permanent", "semantic", 0, 0.0)
+    assert {k for k in got if got[k].consolidated_into} == {"a", "b"} and {k for k in got if got[k].deleted_at} == {"a", "b", "f"}
+    assert sorted(map(tuple, links.collect())) == [("a", "consolidated-a"), ("b", "consolidated-a")]
+    none = snapshots.consolidated(rows, clusters.limit(0), "2024-02-01 00:00:00")
+    assert none[0].count() == 7 and none[1].count() == 0
+
+
+def test_a_model_may_choose_six_pipelines(spark):
+    asked = [('{"pipeline": "full"}', "q"), ('{"pipeline": "aggregation"}', "abcd"), ("no object", "abcd"), (None, "abcd"), ("", "what is related to this")]
+    df = spark.createDataFrame(asked, "answer string, q string")
+    assert [r[0] for r in df.select(routing.chosen(F.col("answer"), F.col("q"), routing.intent(F.col("q")))).collect()] == ["full", "precision", "precision", "precision", "association"]
+
+
+def test_synonyms_of_rows(spark):
+    df = spark.createDataFrame([(1, ["Car", "car", "x"]), (2, []), (3, None)], "id int, words array<string>")
+    got = {r.id: r.words for r in hooks.expanded(df, hooks.Synonyms([("car", "auto")])).collect()}
+    assert got == {1: ["Car", "x", "auto"], 2: [], 3: None}
+
+
+def test_streams_of_sessions_and_requests(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=m), 1, "s", "k") for m in (0, 10, 20, 120)] + [(start + dt.timedelta(minutes=5), 2, "s", "other")]
+    spark.createDataFrame(rows, "ts timestamp, user_id long, scope string, key string").write.parquet(str(tmp_path / "log"))
+    read = lambda: spark.readStream.schema("ts timestamp, user_id long, scope string, key string").parquet(str(tmp_path / "log"))
+    got = streams.drained(streams.idle_sessions(read()), "idle", "complete")
+    assert sorted((r.user_id, r.events) for r in got.collect()) == [(1, 1), (1, 3), (2, 1)]
+    got = streams.drained(streams.reservations(read()), "reserved")
+    assert sorted((r.scope, r.key) for r in got.collect()) == [("s", "k"), ("s", "other")]
+
+
+def test_work_of_a_ticker_sees_each_row_once(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(5)], "id long").write.parquet(str(tmp_path / "log"))
+    seen = []
+    run = streams.every(spark.readStream.schema("id long").parquet(str(tmp_path / "log")), "1 second", lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "at"))
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    assert sorted(seen) == [0, 1, 2, 3, 4]
+
+
 def test_streams_drain(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(start + dt.timedelta(minutes=m), "a") for m in (0, 1, 7)] + [(start + dt.timedelta(hours=5), "b")]

@@ -11,7 +11,7 @@ from tidemark.sources.views import TABLES
 SF = "/root/testdata/sf0.001"
 registry.load()
 #: One or two of each topic; the driver compares all of them.
-SAMPLE = ["src_list", "src_timeline", "flt_visible", "prd_policy", "fn_structural", "fn_overlap", "jn_evidence", "agg_profile", "win_budget", "set_dedup", "fts_bm25", "stg_merge_graph", "pipe_semantic", "pipe_precision", "leg_retrieve", "rt_rules", "gr_bfs", "gr_lineage", "snk_create_batch", "snk_context_move", "job_candidates", "job_decay_audit", "str_session", "agg_ir"]
+SAMPLE = ["src_list", "src_timeline", "flt_visible", "prd_policy", "fn_structural", "fn_overlap", "jn_evidence", "agg_profile", "win_budget", "set_dedup", "fts_bm25", "stg_merge_graph", "pipe_semantic", "pipe_precision", "leg_retrieve", "rt_rules", "gr_bfs", "gr_lineage", "snk_create_batch", "snk_context_move", "job_candidates", "job_decay_audit", "job_finalize", "job_repair", "rt_agent", "str_session", "agg_ir"]
 
 
 def _norm(x):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.catalog.reads import _SESSIONS as SESSIONS
 from tidemark.catalog.reads import _VISIBLE, WHO, sessions
 from tidemark.catalog.scalars import STRENGTH
 from tidemark.functions import scalars as s
@@ -89,8 +90,9 @@ query("job_dedup_vec", "memory_embeddings", f"SELECT id, other_id, CASE WHEN cos
 query("job_resolve_l1", "entities", r"SELECT DISTINCT c.conv_id, e.id AS entity_id FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM conversations) c JOIN entities e ON lower(e.name) = c.term WHERE length(c.term) >= 2")(lambda v: v.conversations.select("conv_id", F.explode(s.indexed_terms(F.col("text"))).alias("term")).filter(F.char_length("term") >= 2).join(v.entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("term")), "term").select("conv_id", "entity_id").distinct())
 query("job_ingest_conv", "conversation_memories", "SELECT id, turn_number, 'standard' AS retention_tier, 'private' AS visibility FROM conversation_memories WHERE length(content) >= 10")(lambda v: v.conversation_memories.filter(F.char_length("content") >= 10).select("id", "turn_number", F.lit("standard").alias("retention_tier"), F.lit("private").alias("visibility")))
 query("job_summarize", "conversation_memories", "SELECT context_id, count(*) AS turns, substr(string_agg(content, ' ' ORDER BY turn_number), 1, 100) AS summary FROM conversation_memories GROUP BY context_id HAVING count(*) >= 3")(lambda v: summarized(v.conversation_memories))
-query("job_finalize", "", "SELECT user_id, count(*) AS turns, max(event_id) AS version FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 30 MINUTE")(lambda v: v.events.groupBy("user_id").agg(F.count("*").alias("turns"), F.max("event_id").alias("version"), F.max("ts").alias("last")).filter(F.col("last").cast("timestamp") < F.lit("2024-01-30 12:00:00").cast("timestamp") - F.expr("INTERVAL 30 MINUTES")).drop("last"))
-query("job_repair", "", "SELECT user_id, CASE WHEN user_id % 5 >= 3 THEN 'abandoned' ELSE 'finalizing' END AS state FROM (SELECT DISTINCT user_id FROM events)")(lambda v: v.events.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 5 >= 3, "abandoned").otherwise("finalizing").alias("state")))
+_ENDED = f"SELECT *, CASE state WHEN 'finalized' THEN 1 ELSE 0 END AS version, CAST(n_events % 5 AS INT) AS attempts FROM ({SESSIONS})"
+query("job_finalize", "", f"SELECT session_id, CASE WHEN asked THEN 'finalized' ELSE state END AS state, CASE WHEN asked THEN 1 ELSE version END AS version FROM (SELECT *, session_id IN (SELECT 'session-' || CAST(user_id AS STRING) FROM events WHERE event_type = 'error' OR (event_type = 'signup' AND user_id % 3 <> 0)) AS asked FROM ({_ENDED}))")(lambda v: _finalized(v))
+query("job_repair", "", f"SELECT session_id, CASE WHEN NOT due THEN state WHEN attempts >= 3 THEN 'abandoned' WHEN n_events % 7 = 0 THEN 'pending_repair' ELSE 'finalized' END AS state, CASE WHEN due AND attempts < 3 THEN attempts + 1 ELSE attempts END AS attempts, due AS swept FROM (SELECT *, state IN ('active', 'pending_repair') AND last_seen < {_T} - INTERVAL 30 MINUTE AS due FROM ({_ENDED}))")(lambda v: snapshots.repaired(_sessions(v), NOW, F.col("n_events") % 7 == 0, batch=None).select("session_id", "state", "attempts", (F.col("last_seen") == snapshots.at(NOW)).alias("swept")))
 query("job_backfill", "memories memory_embeddings", "SELECT id FROM memories WHERE deleted_at IS NULL AND id NOT IN (SELECT memory_id FROM memory_embeddings WHERE label < 5)")(lambda v: reads.without(v.memories, v.memory_embeddings.filter("label < 5"), "id", "memory_id").select("id"))
 query("job_resolve_l2", "memory_embeddings memory_entities", "SELECT memory_id, entity_id FROM (SELECT memory_id, entity_id, row_number() OVER (PARTITION BY memory_id ORDER BY cos DESC, entity_id) AS nth FROM (SELECT e.memory_id, c.entity_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid) AS cos FROM memory_embeddings e CROSS JOIN (SELECT entity_id, list(value ORDER BY i) AS centroid FROM (SELECT l.entity_id, i, avg(CAST(x.embedding[i] AS DOUBLE)) AS value FROM memory_entities l JOIN memory_embeddings x ON x.memory_id = l.memory_id CROSS JOIN range(1, 65) r(i) WHERE l.role = 'mentioned' GROUP BY 1, 2) GROUP BY 1) c) WHERE cos >= 0.25) WHERE nth <= 10")(lambda v: _by_centroid(v))
 query("job_resolve_l3", "memory_embeddings memory_entities", f"SELECT n.memory_id, entity_id, count(*) AS votes FROM (SELECT a.memory_id, b.memory_id AS near, row_number() OVER (PARTITION BY a.memory_id ORDER BY {_COS} DESC, b.memory_id) AS nth FROM memory_embeddings a JOIN memory_embeddings b ON a.memory_id <> b.memory_id WHERE a.label IS NOT NULL) n JOIN memory_entities l ON l.memory_id = n.near WHERE nth <= 10 GROUP BY 1, 2 HAVING count(*) >= 2")(lambda v: _by_neighbours(v))
@@ -103,6 +105,18 @@ def summarized(rows, least: int = 3, summarise=None):
     return turns.filter(F.col("turns") >= least).select("context_id", "turns", (summarise or (lambda c: F.substring(c, 1, 100)))(F.col("_text")).alias("summary"))
 
 
+def _sessions(v):
+    return sessions(v).withColumns({"version": F.when(F.col("state") == "finalized", 1).otherwise(0), "attempts": (F.col("n_events") % 5).cast("int")})
+
+
+def _finalized(v):
+    """Errors and sign-ups ask for the end of their user's session; the keys of every third user's sign-up are spent."""
+    key = F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("key")
+    asked = v.events.filter(F.col("event_type").isin("error", "signup")).select(F.concat(F.lit("session-"), F.col("user_id").cast("string")).alias("session_id"), key)
+    used = v.events.filter("event_type = 'signup' AND user_id % 3 = 0").select(key).distinct()
+    return snapshots.finalized(_sessions(v), asked, used).select("session_id", "state", "version")
+
+
 def _like(v, requests_):
     """The requests with every column of the rows, empty where they have none."""
     have = set(requests_.columns)

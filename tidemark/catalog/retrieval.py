@@ -228,8 +228,13 @@ _TOLD = f"SELECT query, {_INTENT} AS intent FROM (SELECT query, {_CJKR} AS cjk F
 _BY = " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in routing.BY_INTENT.items())
 _W = " ".join(f"WHEN '{k}' THEN '{w[0] * 1.0:.2f}/{w[1] * 1.0:.2f}/{w[2] * 0.8:.2f}'" for k, w in routing.CHANNELS.items())
 query("rt_intent", "", _TOLD)(lambda v: _samples(v).select("query", routing.intent(F.col("query")).alias("intent")))
-query("rt_rules", "", f"SELECT query, CASE WHEN intent = 'general' AND length(query) > 0 AND length(query) < 5 THEN 'fast' WHEN regexp_matches(query, '{routing.HISTORY}') THEN 'aggregation' WHEN regexp_matches(query, '{routing.TEMPORAL}') THEN 'exploration' WHEN regexp_matches(query, '{routing.AGGREGATION}') THEN 'aggregation' WHEN regexp_matches(query, '{routing.RELATIONAL}') THEN 'association' WHEN intent <> 'general' THEN CASE intent {_BY} END WHEN length(query) > 0 AND length(query) < 5 THEN 'fast' ELSE 'exploration' END AS pipeline FROM ({_TOLD})")(lambda v: _samples(v).select("query", routing.route(F.col("query"), routing.intent(F.col("query"))).alias("pipeline")))
+_RULES = f"CASE WHEN intent = 'general' AND length(query) > 0 AND length(query) < 5 THEN 'fast' WHEN regexp_matches(query, '{routing.HISTORY}') THEN 'aggregation' WHEN regexp_matches(query, '{routing.TEMPORAL}') THEN 'exploration' WHEN regexp_matches(query, '{routing.AGGREGATION}') THEN 'aggregation' WHEN regexp_matches(query, '{routing.RELATIONAL}') THEN 'association' WHEN intent <> 'general' THEN CASE intent {_BY} END WHEN length(query) > 0 AND length(query) < 5 THEN 'fast' ELSE 'exploration' END"
+query("rt_rules", "", f"SELECT query, {_RULES} AS pipeline FROM ({_TOLD})")(lambda v: _samples(v).select("query", routing.route(F.col("query"), routing.intent(F.col("query"))).alias("pipeline")))
 query("rt_weights", "", f"SELECT query, CASE intent {_W} END AS weights FROM ({_TOLD})")(lambda v: _samples(v).select("query", _weights_text(routing.channel_weights(routing.intent(F.col("query")))).alias("weights")))
+# a model's answers stand in: the six names, one that it may not choose, one that is none, no object at all
+_NAMES = ("precision", "exploration", "semantic", "association", "fast", "full", "aggregation", "other")
+_ANSWERS = f"SELECT item_id, text AS query, CASE WHEN item_id % 9 = 8 THEN '' ELSE list_extract([{', '.join(repr(n) for n in _NAMES)}], CAST(item_id % 9 + 1 AS INT)) END AS named, {_CJKR} AS cjk FROM (SELECT *, text AS query FROM benchmark)"
+query("rt_agent", "", f"SELECT item_id, CASE WHEN named IN ({', '.join(repr(n) for n in routing.SELECTABLE)}) THEN named ELSE {_RULES} END AS pipeline FROM (SELECT *, {_INTENT} AS intent FROM ({_ANSWERS}))")(lambda v: _routed(v))
 _WIN = " ".join(f"WHEN regexp_matches(query, '{p}') THEN {d * 1000 + o}" for p, d, o in routing.WINDOWS)
 query("fn_time_window", "", f"SELECT query, CAST(CASE {_WIN} ELSE 30000 END AS INT) AS packed FROM (VALUES {_Q}) t(query)")(lambda v: _samples(v).select("query", (routing.window_days(F.col("query"))["days"] * 1000 + routing.window_days(F.col("query"))["offset"]).cast("int").alias("packed")))
 query("rt_preprocess", "", f"SELECT query, intent FROM ({_TOLD})")(lambda v: _samples(v).select("query", routing.intent(F.col("query")).alias("intent")))
@@ -259,6 +264,12 @@ def _samples(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(t,) for t in _SAMPLES], "query string")
 
 
+def _routed(v: Views) -> DataFrame:
+    named = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("item_id") % 9 + 1).cast("int"))
+    answer = F.when(F.col("item_id") % 9 == 8, "no object").otherwise(F.to_json(F.struct(F.when(F.col("item_id") % 9 < 8, named).alias("pipeline"))))
+    return v.benchmark.select("item_id", routing.chosen(answer, F.col("text"), routing.intent(F.col("text"))).alias("pipeline"))
+
+
 def _weights_text(w):
     return F.format_string("%.2f/%.2f/%.2f", w["fts"], w["vector"], w["graph"])
 

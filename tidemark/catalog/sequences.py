@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.retrieval import asked, store
 from tidemark.functions import scalars as s
-from tidemark.operators import chunking, hooks, selection
+from tidemark.operators import chunking, hooks, selection, snapshots
+from tidemark.operators.predicates import live
 from tidemark.plans import pipelines as pl
 from tidemark.registry import query
 from tidemark.session import shared_dir
 from tidemark.sources.files import json_cases
+from tidemark.sources.views import NOW
 
 query("udtf_text")(lambda v: chunking.chunks(v.documents, "doc_id", "text").select("doc_id", "at", "chunk"))
 query("udtf_markdown")(lambda v: chunking.chunks(v.documents, "doc_id", "text", markdown=True))
@@ -27,17 +29,15 @@ query("job_embed")(lambda v: hooks.embedded(v.conversations.select("conv_id", "t
 query("job_extract", "conversation_memories", r"SELECT id, name FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))) AS name FROM conversation_memories WHERE regexp_full_match(content, '[\x00-\x7f]*')) WHERE length(name) >= 2")(lambda v: v.conversation_memories.filter(F.octet_length("content") == F.char_length("content")).select("id", F.explode(s.proper_nouns(F.col("content"))).alias("name")).filter(F.char_length("name") >= 2))
 query("job_extract_batch")(lambda v: selection.batched(v.conversation_memories.select("context_id", "id", s.estimated_tokens(F.col("content")).alias("tokens")), "context_id", 1024))
 query("job_reflect")(lambda v: _reflected(v))
-query("fn_synonym")(lambda v: v.spark.createDataFrame([(" ".join(hooks.Synonyms([("car", "auto"), ("fast", "quick", "rapid")]).expand(["fast", "car", "Fast"])),)], "expanded string"))
+query("fn_synonym")(lambda v: hooks.expanded(v.benchmark.select("item_id", F.split("text", r"\s+").alias("words")), hooks.Synonyms([("data", "records", "rows"), ("fast", "quick", "rapid")])).select("item_id", F.array_join("words", " ").alias("expanded")))
 query("fn_tok_noop", "memories", "SELECT id, content AS tokens FROM memories")(lambda v: v.memories.select("id", F.col("content").alias("tokens")))
-query("rt_agent")(lambda v: v.spark.createDataFrame([(name, name if name in ("precision", "exploration", "semantic", "association", "fast", "full") else None) for name in ("semantic", "aggregation", "fast", "other")], "answer string, pipeline string"))
 
 
 def _consolidated(v):
-    from tidemark.operators.relations import rolled_up
-
-    found = selection.clustered(v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding"), "label", threshold=0.3)
-    rows = v.memories.select("id", "strength", "reinforced_count", "scope", "kind")
-    return rolled_up(found.select("cluster_id", "id").join(rows, "id")).select("cluster_id", "size", F.round("strength", 6).alias("strength"), "reinforced_count", "scope", "kind")
+    vectors = v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding")
+    found = selection.clustered(vectors.join(v.memories.filter(live()).select("id"), "id", "left_semi"), "label", threshold=0.3)
+    after, _ = snapshots.consolidated(v.memories, found, NOW)
+    return after.select("id", s.content_hash(F.col("content")).alias("content_hash"), "consolidated_into", F.col("deleted_at").isNotNull().alias("gone"), "retention_tier", "kind", "scope", F.round("strength", 6).alias("strength"))
 
 
 def _reflected(v):

@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ class Synonyms:
         return out
 
 
+def expanded(rows: DataFrame, synonyms: Synonyms, words: str = "words", most: int = 30) -> DataFrame:
+    """rows with their words and the words' synonyms in place of words; none for none."""
+
+    @F.pandas_udf("array<string>")
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda w: None if w is None else synonyms.expand(list(w), most))
+
+    return rows.withColumn(words, run(words))
+
+
 def hashed_vector(text: str, dims: int = 64) -> list[float]:
     """A unit vector from hashes of the text's words: what stands in for a model."""
     out = np.zeros(dims)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +175,67 @@ def promoted_candidates(rows: DataFrame, now: str, count: int = 3, strength: flo
 
 def readable_rows(rows: DataFrame, who) -> DataFrame:
     return rows.filter(live() & visible(who))
+
+
+def finalized(sessions: DataFrame, requests: DataFrame, used: DataFrame) -> DataFrame:
+    """sessions (session_id, state, version) after the requests (session_id, key) to finalise them.
+
+    A key counts once: of its requests the one with the smallest session_id, none if used has it. Requests without
+    a session or a key are refused; sessions that are final stay as they are.
+    """
+    told = requests.filter((F.col("key") != "") & (F.col("session_id") != "")).groupBy("key").agg(F.min("session_id").alias("session_id"))
+    asked = told.join(used.select("key"), "key", "left_anti").select("session_id").distinct().withColumn("_asked", F.lit(True))
+    joined = sessions.join(asked, "session_id", "left")
+    return changed(joined, F.col("_asked") & (F.col("state") != "finalized"), state=F.lit("finalized"), version=F.lit(1)).select(*sessions.columns)
+
+
+def repaired(sessions: DataFrame, now: str, failing: Column, most: int = 3, minutes: int = 30, batch: int | None = 10) -> DataFrame:
+    """sessions (session_id, state, last_seen, attempts) after a sweep over those idle for minutes and not yet final.
+
+    The sweep takes the batch that is idle longest, all of them if batch is None. Who has had most attempts is
+    abandoned. The others have one more and are finalised, or wait for the next sweep where failing holds.
+    """
+    idle = F.col("state").isin("active", "pending_repair") & (F.col("last_seen") < at(now) - F.make_dt_interval(mins=F.lit(minutes)))
+    joined = sessions.withColumn("_due", F.coalesce(idle, F.lit(False)))
+    if batch is not None:
+        taken = sessions.filter(idle).orderBy("last_seen", "session_id").limit(batch).select("session_id", F.lit(True).alias("_due"))
+        joined = sessions.join(taken, "session_id", "left").withColumn("_due", F.coalesce("_due", F.lit(False)))
+    tried = F.coalesce("attempts", F.lit(0))
+    over = tried >= most
+    state = F.when(over, "abandoned").when(F.coalesce(failing, F.lit(False)), "pending_repair").otherwise("finalized")
+    return joined.withColumns({
+        "state": F.when(F.col("_due"), state).otherwise(F.col("state")),
+        "attempts": F.when(F.col("_due") & ~over, tried + 1).otherwise(F.col("attempts")),
+        "last_seen": F.when(F.col("_due"), at(now)).otherwise(F.col("last_seen")),
+    }).select(*sessions.columns)
+
+
+def consolidated(rows: DataFrame, clusters: DataFrame, now: str, merge: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows with consolidated_into, and derivations (source_id, target_id), after each cluster's live rows became one.
+
+    clusters: cluster_id, id, of live rows; cluster_id is one of them. merge makes one text of the numbered lines of a cluster, in the order of ids; without
+    it they are the text. A cluster whose text is empty, or shorter in bytes than a tenth of its shortest row,
+    stays as it is. The new row is permanent and semantic; it takes the first scope, kind and team that are not empty.
+    """
+    rows = rows if "consolidated_into" in rows.columns else rows.withColumn("consolidated_into", F.lit(None).cast("string"))
+    text, kind = F.coalesce("content", F.lit("")), F.coalesce("kind", F.lit(""))
+    found = clusters.select("cluster_id", "id").join(rows.filter(live()), "id")
+    line = F.concat(F.when(kind != "", F.concat(F.lit("["), kind, F.lit("] "))).otherwise(""), text)
+    first = lambda c, *no: F.coalesce(F.min_by(c, F.when(~F.col(c).isin("", *no), F.col("id"))), F.lit("")).alias(c)
+    grouped = found.groupBy("cluster_id").agg(
+        F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("_lines"), F.min(F.octet_length(text)).alias("_least"),
+        F.least(F.lit(1.0), F.max("strength") * 1.1).alias("strength"), first("scope"), first("kind", "consolidated"), first("team_id"),
+    )
+    numbered = F.array_join(F.transform("_lines", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
+    size = F.octet_length("content")
+    made = grouped.withColumn("content", F.trim(merge(numbered) if merge else numbered)).filter((F.size("_lines") > 1) & (size > 0) & (size >= F.floor(F.col("_least") / 10)))
+    made = made.withColumns({"id": F.concat(F.lit("consolidated-"), "cluster_id"), "memory_class": F.lit("semantic"), "retention_tier": F.lit("permanent"), "visibility": F.lit(""), "source_type": F.lit("consolidation")})
+    made = with_defaults(made, now).withColumns({"created_at": at(now), "updated_at": at(now), "access_count": F.lit(0), "reinforced_count": F.lit(0)})
+    members = made.select(F.explode("_lines.id").alias("source_id"), F.col("id").alias("target_id"))
+    kinds = dict(rows.dtypes)
+    empty = {c: F.lit("" if t == "string" and c != "consolidated_into" else None).cast(t) for c, t in kinds.items() if c not in made.columns}
+    fresh = made.withColumns(empty).select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()))
+    joined = rows.join(members.withColumnRenamed("source_id", "id"), "id", "left")
+    merged = F.col("target_id").isNotNull() & live()
+    kept = changed(joined, merged, consolidated_into=F.col("target_id"), deleted_at=at(now), updated_at=at(now)).select(*rows.columns)
+    return kept.unionByName(fresh), members

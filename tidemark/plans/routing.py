@@ -52,6 +52,16 @@ def route(query: Column, asked: Column, fallback: str = "exploration") -> Column
     )
 
 
+#: The pipelines that a model may name.
+SELECTABLE = ("precision", "exploration", "semantic", "association", "fast", "full")
+
+
+def chosen(answer: Column, query: Column, asked: Column) -> Column:
+    """The pipeline that a model's answer, a JSON object, names; that of the rules where it names none it may choose."""
+    name = F.get_json_object(answer, "$.pipeline")
+    return F.when(name.isin(*SELECTABLE), name).otherwise(route(query, asked))
+
+
 def window_days(query: Column) -> Column:
     """A struct of the window's days and its center's offset in days; 30 days around now without a rule."""
     out = F.struct(F.lit(30).alias("days"), F.lit(0).alias("offset"))
