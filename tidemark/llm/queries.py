@@ -70,7 +70,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op9_pii, op10_toxicity)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import verified_documents
+
+    return verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op9_pii, op10_toxicity, op11_merkle, op13_bpe)
+}
 
 #: Links by brute force within a label, components by the closure of links.
 _OP3 = """
@@ -117,4 +132,45 @@ WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_embedding_dedup": _OP3, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op8_substrings": _OP8}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII letters: each letter's code, then eight shifts (-1), from a start of ones."""
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda c: list_prepend(CAST(ascii(c) AS BIGINT), list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, x: {step}), CAST(4294967295 AS BIGINT))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: Each language's tree and the one above, level by level; then every leaf walks up through both.
+_OP11 = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+ tree AS (SELECT lang, 0 AS level, pos, n, leaf AS digest FROM ranked
+  UNION ALL SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+ runs AS (SELECT lang, level, pos // 8 AS run, list(digest ORDER BY pos) AS d FROM tree WHERE n > 1 GROUP BY ALL),
+ tops AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+ above AS (SELECT 0 AS level, pos, n, subroot AS digest FROM tops
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY level, pos // 8, n),
+ upper_runs AS (SELECT level, pos // 8 AS run, list(digest ORDER BY pos) AS d FROM above WHERE n > 1 GROUP BY ALL),
+ walk AS (SELECT doc_id, lang, leaf, 0 AS level, pos, n, coalesce(tampered, leaf) AS node, '' AS sib FROM ranked
+  UNION ALL SELECT doc_id, w.lang, leaf, w.level + 1, pos // 8, (n + 7) // 8,
+   sha256(array_to_string(list_slice(d, 1, pos % 8), '') || node || array_to_string(list_slice(d, pos % 8 + 2, 8), '')),
+   sib || array_to_string(list_slice(d, 1, pos % 8), '') || array_to_string(list_slice(d, pos % 8 + 2, 8), '')
+   FROM walk w JOIN runs r ON r.lang IS NOT DISTINCT FROM w.lang AND r.level = w.level AND r.run = pos // 8 WHERE n > 1),
+ climb AS (SELECT doc_id, leaf, subroot, 0 AS level, tops.pos, tops.n, node, sib FROM walk JOIN tops ON tops.lang IS NOT DISTINCT FROM walk.lang WHERE walk.n = 1
+  UNION ALL SELECT doc_id, leaf, subroot, c.level + 1, pos // 8, (n + 7) // 8,
+   sha256(array_to_string(list_slice(d, 1, pos % 8), '') || node || array_to_string(list_slice(d, pos % 8 + 2, 8), '')),
+   sib || array_to_string(list_slice(d, 1, pos % 8), '') || array_to_string(list_slice(d, pos % 8 + 2, 8), '')
+   FROM climb c JOIN upper_runs r ON r.level = c.level AND r.run = pos // 8 WHERE n > 1)
+SELECT doc_id, leaf, subroot, a.digest AS root, sha256(sib) AS proof_sha256, node AS folded_root, node = a.digest AS verified FROM climb c JOIN above a ON a.n = 1 WHERE c.n = 1
+"""
+
+ORACLES: dict[str, str] = {"op3_embedding_dedup": _OP3, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op8_substrings": _OP8, "op11_merkle": _OP11}
