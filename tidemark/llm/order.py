@@ -38,8 +38,8 @@ def cumulative(df: DataFrame, pos: str, columns: list[str], n: int) -> DataFrame
     rows = df.withColumn("_block", block).withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
     if n <= BLOCK:
         return rows.drop("_block")
-    totals = df.groupBy(block.alias("_block")).agg(*(F.sum(c).alias(c) for c in columns))
-    totals = cumulative(totals, "_block", columns, (n - 1) // BLOCK + 1)
-    totals = totals.select("_block", *(F.col(f"before_{c}").alias(f"_all_{c}") for c in columns))
+    totals = df.groupBy(block.alias("_block")).agg(*(F.sum(c).alias(c) for c in columns)).withColumnRenamed("_block", pos)
+    totals = cumulative(totals, pos, columns, (n - 1) // BLOCK + 1)
+    totals = totals.select(F.col(pos).alias("_block"), *(F.col(f"before_{c}").alias(f"_all_{c}") for c in columns))
     rows = rows.join(totals, "_block")
     return rows.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_all_{c}") for c in columns}).select(*df.columns, *(f"before_{c}" for c in columns))

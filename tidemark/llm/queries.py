@@ -76,6 +76,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.trie import prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import round_trip
 
@@ -84,7 +90,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op9_pii, op10_toxicity, op11_merkle, op13_bpe)
+    for f in (op1_mixing, op2_packing, op3_embedding_dedup, op4_nearest, op5_jaccard_join, op6_warc, op7_token_counts, op8_substrings, op9_pii, op10_toxicity, op11_merkle, op12_prefix_trie, op13_bpe)
 }
 
 #: Links by brute force within a label, components by the closure of links.
@@ -173,4 +179,22 @@ WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHE
 SELECT doc_id, leaf, subroot, a.digest AS root, sha256(sib) AS proof_sha256, node AS folded_root, node = a.digest AS verified FROM climb c JOIN above a ON a.n = 1 WHERE c.n = 1
 """
 
-ORACLES: dict[str, str] = {"op3_embedding_dedup": _OP3, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op8_substrings": _OP8, "op11_merkle": _OP11}
+#: Prefixes by their texts, each with its members; subtrees by the prefixes of each node's smallest member.
+_OP12 = f"""
+WITH keyed AS (SELECT conv_id, turn, octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '') AS part, octet_length(encode(coalesce(text, ''))) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(part)) AS pos FROM keyed),
+ c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS head, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t GROUP BY conv_id),
+ b AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS base FROM c LEFT JOIN c o ON o.conv_id = c.head),
+ turns AS (SELECT b.conv_id, pos AS d, part, bytes FROM b JOIN t ON t.conv_id = b.head AND pos <= h UNION ALL SELECT conv_id, base + pos - h, part, bytes FROM b JOIN t USING (conv_id) WHERE pos > h),
+ paths AS (SELECT conv_id, 0 AS d, '' AS path, 0 AS bytes FROM c UNION ALL SELECT conv_id, d, string_agg(md5(part), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d), bytes FROM turns),
+ lens AS (SELECT conv_id, max(d) AS len FROM paths GROUP BY conv_id),
+ nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len), '') AS ends FROM paths JOIN lens USING (conv_id) GROUP BY path, d),
+ up AS (SELECT n.*, p.path AS parent FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+ kids AS (SELECT parent AS path, count(*) AS n_children FROM up WHERE d > 0 GROUP BY parent),
+ full_nodes AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (path)),
+ sums AS (SELECT p.path, sum((n_convs - 1) * n.bytes) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM full_nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.path)
+SELECT f.conv_id, f.d AS depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN sums USING (path) LEFT JOIN nodes o ON o.path = f.parent
+"""
+
+ORACLES: dict[str, str] = {"op3_embedding_dedup": _OP3, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op8_substrings": _OP8, "op11_merkle": _OP11, "op12_prefix_trie": _OP12}
