@@ -338,7 +338,7 @@ def test_personal_data(spark, docs, nothing):
     got = {(r.doc_id, r.text is None): r for r in pii.replace(docs, "s", count_col="n_replaced").collect()}
     mail = got[(12, False)].text
     found = re.findall(r"[A-Za-z.]+@[A-Za-z.]+", mail)
-    assert "Lee" not in mail and len(found) == 2 and found[0] == found[1].lower()[: len(found[0])] and found[1].isupper()
+    assert "Lee" not in mail and len(found) == 2 and found[0].lower() == found[1].lower() and found[0][0].isupper() and found[0][1].islower() and found[1].isupper()
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", mail)[0].replace(" ", "")
     luhn = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(card)))) % 10
     assert card != "4111111111111111" and luhn == 0 and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.", mail)
@@ -357,12 +357,53 @@ def test_surrogates_stay_distinct(spark):
     assert len(made) == few.count() == len({(r.kind, r.new) for r in made})
 
 
-def test_surrogates_of_a_full_shape_stay_distinct(spark):
+def test_surrogates_leave_a_full_shape(spark):
+    """Where every value of a shape is real, surrogates are longer; none is its original or any real entity."""
     letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [("email", f"{a}@{b}.org") for a in letters for b in letters] + [("phone", f"999:{k:02d}") for k in range(60)] + [("email", f"{a}@b.net") for a in letters[:3]]
-    made = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "s", most=2).collect()
+    rows = [("email", f"{a}@{b}.{top}") for a in letters for b in letters for top in ("co", "example")] + [("phone", f"999:{k:02d}") for k in range(100)] + [("email", f"{a}@b.net") for a in letters[:3]]
+    made = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "s").collect()
     assert {(r.kind, r.canon) for r in made} == set(rows) and len({(r.kind, r.new) for r in made}) == len(rows)
-    assert all(re.fullmatch(r"[a-z]@[a-z]\.(org|net)|999:\d\d", r.new) and r.canon[-3:] == r.new[-3:] for r in made if r.kind == "email")
+    assert not {(r.kind, r.new) for r in made} & set(rows)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.example|999:\d{2,}", r.new) for r in made)
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_forms_and_people(spark):
+    texts = [
+        (1, "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE88370400440532013000"), (2, "John.Doe@Mail.com wrote to JOHN.DOE@MAIL.COM and john.doe@mail.com"),
+        (3, "Dr Anna Smith met Ms Anna Smith"), (4, "Prof. Anna Braun saw Herr Kim Braun and Dr Kim Braun"), (5, "Dr Quux Smith"), (6, "Dr Maria Weiss and Prof Maria Weiss"), (7, "Mr Robin Hood, Ms Robin Gray, Dr Robin Gray, Dr Robin Hood, Dr Robin Lee"),
+    ]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(texts, "doc_id int, text string"), "s").collect()}
+    plain, uk, wrong = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (GB\d\d[A-Z]{4}\d{14}), not (DE\d{20})", got[1]).groups()
+    assert mod97(plain.replace(" ", "")) == 1 == mod97(uk) and mod97(wrong) != 1 and "3704" not in got[1]
+    one, two, three = re.fullmatch(r"(\S+) wrote to (\S+) and (\S+)", got[2]).groups()
+    assert one.lower() == two.lower() == three == three.lower() and two.isupper() and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\.example", one)
+    women, men, either = (pii.GIVEN["latin", g] for g in "fmn")
+    a, b, c, d = re.fullmatch(r"Dr (\S+) (\S+) met Ms (\S+) (\S+)", got[3]).groups()
+    assert (a, b) == (c, d) and a.split("-")[0] in women
+    e, _, f, _, g, _ = re.fullmatch(r"Prof\. (\S+) (\S+) saw Herr (\S+) (\S+) and Dr (\S+) (\S+)", got[4]).groups()
+    assert e == a and f == g and f.split("-")[0] in men
+    assert got[5].split()[1].split("-")[0] in either and got[6].split()[1:3] == got[6].split()[5:] and got[6].split()[1].split("-")[0] in women
+    hood, gray, dr_gray, dr_hood, lee = re.findall(r"(?:Mr|Ms|Dr) (\S+) \S+?(?:,|$)", got[7])
+    assert hood == dr_hood != gray == dr_gray and lee.split("-")[0] in either
+
+
+def test_replacement_against_plain_python(spark):
+    """Every entity that the pattern finds is gone, the same everywhere, distinct, and nothing else has changed."""
+    rng = random.Random(8)
+    name = lambda k: "".join(rng.choice("abc") for _ in range(k))
+    kinds = [lambda: f"{name(1)}@{name(1)}.co", lambda: f"+{rng.randrange(1, 9)} {rng.randrange(10, 30)} {rng.randrange(10, 30)}", lambda: f"10.0.0.{rng.randrange(9)}", lambda: f"000-00-{rng.randrange(50):04d}", lambda: f"Dr {name(2).title()} {name(2).title()}"]
+    rows = [(i, " | ".join(rng.choice([rng.choice(kinds)(), "plain", "text."]) for _ in range(12))) for i in range(120)]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    seen = {}
+    for i, text in rows:
+        for old, new in zip(text.split(" | "), got[i].split(" | "), strict=True):
+            assert seen.setdefault(old, new) == new
+    assert seen.pop("plain") == "plain" and seen.pop("text.") == "text."
+    assert len(set(seen.values())) == len(seen) and not set(seen) & {v for v in seen.values() if not v.startswith("Dr ")} and not any(k == v for k, v in seen.items())
 
 
 def test_hint_covers_secrets_of_letters():

@@ -3,18 +3,23 @@
 Found are e-mail addresses, telephone, card, account and identity numbers, IP addresses, secrets (long
 hexadecimal strings and key-like tokens) and names after a title. Each entity, in a canonical form that
 is the same for all its spellings, gets one surrogate everywhere (coreference), drawn by a keyed hash:
-of the same type and shape, digits for digits and letters for letters in the same case, with the same
-separators, a valid check digit where the original has one, names of the title's gender and in the
-original's script. Entities whose surrogates collide with each other, or with a real entity of the
-type, draw again until none does (distinctness); only those rows take part in a further round. Where most
-values of a shape are real entities, what is left after 64 rounds gets real values of the shape that
-are nobody's surrogate, so surrogates stay distinct there too.
+of the same type and shape, digits for digits and letters for letters, case by case, with the same
+separators. Card numbers and IBANs keep valid check digits where the original has them, and wrong ones
+where it hasn't; addresses end in the reserved domain .example, so they are nobody's. A person's gender is
+what the titles of the same full name tell, else those of the same given name, else a list of names; where
+none tells, the surrogate is a name of either gender.
+
+A draw that meets another surrogate or any real entity of its pool is drawn again (distinctness), those that
+met each other but the first. Later draws are longer by a few letters or digits, or, of IP addresses, longer
+addresses of the range for documentation, so a full shape is left within some rounds: no surrogate is ever
+its original or another real entity.
 
 Only texts that hold an entity are shuffled. A hot entity's occurrences are joined to the table of
 surrogates, both written tables, so adaptive execution may split them.
 
-Null and empty texts, and those without an entity, stay as they are. Rows with null or repeated ids are
-replaced each. Other columns stay; a column n_chars is kept in step with the text.
+Null and empty texts, and those without an entity, stay as they are; very long texts are searched whole. Rows
+with null or repeated ids are replaced each. An empty table gives an empty one. Other columns stay, whatever
+their names; a column n_chars is kept in step with the text.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, scratch, shielded, staged, unshielded, wide_key
+from tidemark.llm.common import scratch, shielded, staged, unshielded, wide_key
 
 _LEFT, _RIGHT = r"(?<![\p{L}\p{N}_.@+-])", r"(?![\p{L}\p{N}_@-])"
 #: Titles before names, by the gender they tell.
@@ -53,6 +58,14 @@ GIVEN = {
     ("cyrillic", "f"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Лидия"),
     ("greek", "m"): ("Άρης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Κώστας", "Μάριος", "Νίκος"),
     ("greek", "f"): ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Μαρία", "Νίκη"),
+    ("latin", "n"): ("Alexis", "Andrea", "Charlie", "Dominique", "Eden", "Jamie", "Kim", "Luca", "Noel", "Quinn", "Robin", "Sam", "Sascha", "Toni", "Valery", "Yael"),
+    ("cyrillic", "n"): ("Саша", "Женя", "Валя", "Слава"),
+    ("greek", "n"): ("Αλεξία", "Φώτις", "Χάρις", "Σάσα"),
+}
+#: Frequent given names that tell a gender where no title does, besides those above.
+KNOWN = {
+    "m": "alexander andreas antonio carlos charles christian daniel david edward francisco frank george hans henri henry ivan jack jacques james jean john jose josé juan karl klaus luis manuel mark martin max michael miguel nicolas paul pedro peter philippe pierre richard robert stefan thomas walter william иван пётр алексей сергей николай владимир дмитрий михаил γιάννης παύλος πέτρος".split(),
+    "f": "alice ana anna anne barbara carmen catherine charlotte christine claire clara elena elisabeth elizabeth emily emma eva hannah isabel isabelle jane jennifer julie karen laura linda lisa louise lucia margaret maria marie marta martha mary monika nicole patricia petra rosa sabine sarah sofia sophie susan susanne ursula мария анна ольга татьяна наталья елена светлана екатерина κατερίνα σοφία".split(),
 }
 SYLLABLES = {
     "latin": ("ba", "del", "fen", "gar", "hol", "kem", "lin", "mar", "nor", "pel", "ros", "sten", "tal", "ver", "win", "zor"),
@@ -95,6 +108,17 @@ def _pick(items: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), (F.pmod(number, F.lit(len(items))) + 1).cast("int"))
 
 
+def _longer(nonce: Column, free: int) -> Column:
+    """How many characters a draw has more than its original: none of the first free draws, one more each time from then on."""
+    return F.greatest(F.lit(0), nonce.cast("int") - free + 1)
+
+
+def _extra(letters: str, drawn: Column, count: Column) -> Column:
+    """count characters more; they follow on the stream's end."""
+    each = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.substring(F.lit(letters), F.pmod(_drawn(drawn, 127 - i), F.lit(len(letters))) + 1, F.lit(1)))
+    return F.when(count > 0, F.array_join(each, "")).otherwise("")
+
+
 def _syllable(items: tuple[str, ...], drawn: Column):
     return lambda i: _pick(items, _drawn(drawn, i + 10))
 
@@ -139,36 +163,62 @@ def _checked(original: Column, digits: Column) -> Column:
     return F.concat(head, F.when(luhn(original) == 0, right).otherwise(other).cast("string"))
 
 
+def mod97(iban: Column) -> Column:
+    """An account number's remainder, its first four signs last and letters as 10 to 35; 1 of a valid one."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.transform(F.split(turned, ""), value), F.lit(0), lambda a, v: F.pmod(a * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
+def _account(original: Column, rest: Column) -> Column:
+    """The account number of original's country with rest after its check digits, which are right if original's are."""
+    country = F.substring(original, 1, 2)
+    right = 98 - mod97(F.concat(country, F.lit("00"), rest))
+    wrong = F.pmod(right - 1, F.lit(97)) + 2
+    return F.concat(country, F.lpad(F.when(mod97(original) == 1, right).otherwise(wrong).cast("string"), 2, "0"), rest)
+
+
 def surrogate(kind: Column, canon: Column, nonce: Column, secret: str) -> Column:
     """The nonce-th surrogate of an entity in its canonical form."""
     drawn = stream(secret, kind, canon, nonce.cast("string"))
     number = _hex_number(F.substring(drawn, F.lit(1), F.lit(8)))
     octet = lambda i: (F.pmod(_drawn(drawn, F.lit(i)) * 256 + _drawn(drawn, F.lit(i + 1)), F.lit(254)) + 1).cast("string")
-    plain = _reshaped(canon, drawn, kind == "secret")
-    top = F.regexp_extract(canon, r"(\.[a-z]+)$", 1)
-    email = F.concat(_reshaped(F.substring(canon, F.lit(1), F.length(canon) - F.length(top)), drawn, F.lit(False)), top)
-    iban = F.concat(F.substring(canon, 1, 2), _reshaped(F.substring(canon, F.lit(3), F.length(canon)), drawn, F.lit(False)))
+    ip = F.when(nonce < 12, F.concat_ws(".", *(octet(2 * i) for i in range(4)))).otherwise(F.concat(F.lit("2001:db8"), *(F.concat(F.lit(":"), F.substring(drawn, 4 * i + 1, 4)) for i in range(6))))
+    local, domain = F.substring_index(canon, "@", 1), F.regexp_extract(canon, r"@(.*)\.[a-z]+$", 1)
+    address = _reshaped(F.concat(local, F.lit("@"), domain), drawn, F.lit(False))
+    more = _extra("abcdefghijklmnopqrstuvwxyz", drawn, _longer(nonce, 2))
+    email = F.concat(F.substring_index(address, "@", 1), more, F.lit("@"), F.substring_index(address, "@", -1), F.lit(".example"))
+    iban = _account(canon, F.concat(_reshaped(F.substring(canon, F.lit(5), F.length(canon)), drawn, F.lit(False)), _extra("0123456789", drawn, _longer(nonce, 12))))
     prefix = F.when(kind == "card", 1).when(kind == "phone", F.locate(":", canon)).otherwise(0)
-    digits = F.concat(F.substring(canon, F.lit(1), prefix), _reshaped(F.substring(canon, prefix + 1, F.length(canon)), drawn, F.lit(False)))
+    more = _extra("0123456789", drawn, _longer(nonce, 4))
+    digits = F.concat(F.substring(canon, F.lit(1), prefix), _reshaped(F.substring(canon, prefix + 1, F.length(canon)), drawn, F.lit(False)), more)
     secret_head = F.regexp_extract(canon, r"^(AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_])", 1)
-    hexed = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), plain).otherwise(F.concat(secret_head, _reshaped(F.substring(canon, F.length(secret_head) + 1, F.length(canon)), drawn, F.lit(False))))
+    hexed = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _reshaped(canon, drawn, kind == "secret")).otherwise(F.concat(secret_head, _reshaped(F.substring(canon, F.length(secret_head) + 1, F.length(canon)), drawn, F.lit(False))))
     name = F.lit(None).cast("string")
     for (script, gender), items in GIVEN.items():
-        # from the fifth draw on, each appends one name more, so the supply doesn't end
-        more = F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), nonce.cast("int"))), _appended(items, drawn))
-        more = F.when(nonce >= 4, F.array_join(more, "")).otherwise("")
+        # from the third draw on, each appends one name more, so the supply doesn't end
+        more = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), nonce.cast("int"))), _appended(items, drawn))
+        more = F.when(nonce >= 2, F.array_join(more, "")).otherwise("")
         name = F.when(kind == f"given_{gender}_{script}", F.concat(_pick(items, number), more)).otherwise(name)
     for script, items in SYLLABLES.items():
-        parts = F.transform(F.sequence(F.lit(0), F.least(F.lit(30), 2 + nonce.cast("int"))), _syllable(items, drawn))
+        parts = F.transform(F.sequence(F.lit(0), 2 + nonce.cast("int")), _syllable(items, drawn))
         name = F.when(kind == f"family_{script}", F.initcap(F.array_join(parts, ""))).otherwise(name)
     return (
-        F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *(octet(2 * i) for i in range(4)))).when(kind == "secret", hexed)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", hexed)
         .when(kind == "iban", iban).when(kind == "card", _checked(canon, digits)).when(kind.isin("phone", "identity"), digits).otherwise(name)
     )
 
 
+def pool(kind: Column) -> Column:
+    """What a surrogate must differ in: names of all genders and scripts stand together."""
+    return F.when(kind.startswith("given_"), "given").when(kind.startswith("family_"), "family").otherwise(kind)
+
+
 def _entities(match: Column) -> Column:
-    """The match's entities: kind and canonical form; two for a person with several names."""
+    """The match's entities: kind, canonical form and, of a given name, the family's; two for a person with several names.
+
+    A given name after a title that tells no gender is of kind given_?_<script>; gendered() finds it.
+    """
     kind = kind_of(match)
     digits = F.regexp_replace(match, "[^0-9]", "")
     country = F.regexp_extract(match, r"^\+([0-9]{1,3})[ .(-]", 1)  # stays
@@ -177,12 +227,12 @@ def _entities(match: Column) -> Column:
     title = _title(match)
     name = F.regexp_replace(F.regexp_replace(match, rf"^(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.?[ \xA0]", ""), "\xa0", " ")
     family, given = F.regexp_extract(name, r"([^ ]+)$", 1), F.regexp_extract(name, r"^(.*) [^ ]+$", 1)
-    # a title that tells no gender: half of such names get either, by their hash
-    female = title.isin(*FEMALE) | (title.isin(*NEUTRAL) & (F.pmod(F.crc32(F.lower(given)), F.lit(2)) == 0))
-    pair = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
-    people = F.array(pair(F.concat(F.lit("family_"), _script(family)), F.lower(family)))
-    both = F.array_append(people, pair(F.concat(F.when(female, "given_f_").otherwise("given_m_"), _script(given)), F.lower(given)))
-    return F.when(kind != "person", F.array(pair(kind, canon))).when(given != "", both).otherwise(people)
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("?")
+    pair = lambda k, c, m: F.struct(k.alias("kind"), c.alias("canon"), m.cast("string").alias("mate"))
+    none = F.lit(None)
+    people = F.array(pair(F.concat(F.lit("family_"), _script(family)), F.lower(family), none))
+    both = F.array_append(people, pair(F.concat(F.lit("given_"), gender, F.lit("_"), _script(given)), F.lower(given), F.lower(family)))
+    return F.when(kind != "person", F.array(pair(kind, canon, none))).when(given != "", both).otherwise(people)
 
 
 def _written(match: Column, new: Column) -> Column:
@@ -197,62 +247,48 @@ def _written(match: Column, new: Column) -> Column:
 
     digits = F.array_join(F.transform(F.split(match, ""), lambda c, i: at_digit(c, i, first, "0-9")), "")
     signs = F.array_join(F.transform(F.split(match, ""), lambda c, i: at_digit(c, i, first, "0-9A-Z")), "")
+    rest = lambda signs: F.substring(first, F.length(F.regexp_replace(match, f"[^{signs}]", "")) + 1, F.length(first))  # noqa: E731  what a longer surrogate has more
+    digits, signs = F.concat(digits, rest("0-9")), F.concat(signs, rest("0-9A-Z"))
     head = F.regexp_extract(match, rf"^((?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.?[ \xA0])", 1)
     person = F.when(F.size(new) > 1, F.concat(head, F.element_at(new, 2), F.lit(" "), first)).otherwise(F.concat(head, first))
-    email = F.when((match == F.upper(match)), F.upper(first)).otherwise(first)
+    cased = F.array_join(F.transform(F.split(first, ""), lambda c, i: F.when(F.substring(match, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    email = F.when((match == F.upper(match)), F.upper(first)).otherwise(cased)
     return F.when(kind == "person", person).when(kind.isin("card", "phone", "identity"), digits).when(kind == "iban", signs).when(kind == "email", email).otherwise(first)
 
 
-def _shape(kind: Column, canon: Column) -> Column:
-    """What an entity has in common with its surrogates."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
-    stays = F.when(kind == "email", F.regexp_extract(canon, r"(\.[a-z]+)$", 1)).when(kind == "phone", F.regexp_extract(canon, "^([0-9]*):", 1)).when(kind == "iban", F.substring(canon, 1, 2))
-    stays = stays.when(kind == "card", F.concat(F.substring(canon, 1, 1), (luhn(canon) == 0).cast("string"))).when(kind == "secret", F.regexp_extract(canon, r"^(AKIA|(?:sk|pk|ghp|gho|xox[bp])[-_])", 1))
-    hexed = F.when((kind == "secret") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(F.length(canon).cast("string"), canon.rlike("[a-f]").cast("string"))).otherwise(plain)
-    return F.concat_ws(":", stays, F.when(kind == "ip", F.lit("")).otherwise(hexed))
-
-
-def _leftover(again: DataFrame, settled: DataFrame, entities: DataFrame, secret: str) -> DataFrame:
-    """Distinct surrogates where a shape has too few free values: real values of the shape that are no surrogate yet.
-
-    There are enough: of a shape's entities, those settled use up at most as many values as they are.
-    """
-    place = Window.partitionBy("kind", "shape").orderBy(F.sha2(F.concat_ws("\x1f", F.lit(secret), "canon"), 256), "canon")
-    asked = again.select("kind", "canon").withColumn("shape", _shape(F.col("kind"), F.col("canon")))
-    shapes = asked.select("kind", "shape").distinct()
-    used = settled.select("kind", F.col("new").alias("canon"))
-    free = entities.select("kind", "canon").withColumn("shape", _shape(F.col("kind"), F.col("canon"))).join(shapes, ["kind", "shape"], "left_semi").join(used, ["kind", "canon"], "left_anti")
-    free = free.withColumn("nth", F.row_number().over(place)).withColumnRenamed("canon", "new")
-    return asked.withColumn("nth", F.row_number().over(place)).join(free, ["kind", "shape", "nth"]).select("kind", "canon", "new")
-
-
-def surrogates(entities: DataFrame, secret: str, most: int = 64) -> DataFrame:
-    """entities: distinct (kind, canon). With new: different for each of a kind, and no real entity of the kind, if so many draws find them all one."""
-    rounds, settled, taken = 0, None, None
-    open_rows = entities.withColumn("nonce", F.lit(0))
+def gendered(single: DataFrame) -> DataFrame:
+    """single with a gender for each given name of kind given_?_<script>: m, f, or n where nothing tells."""
+    told = single.filter(F.col("kind").rlike("^given_[mf]_")).groupBy("canon", "mate").agg(F.sum(F.when(F.col("kind").startswith("given_f_"), 1).otherwise(-1)).alias("vote"))
+    told = staged(told, "genders")
+    most = lambda vote: F.when(vote > 0, "f").when(vote < 0, "m")
+    full = told.select("canon", "mate", most(F.col("vote")).alias("by_full"))
+    given = told.groupBy("canon").agg(most(F.sum("vote")).alias("by_given"))
+    listed = F.lit(None).cast("string")
+    for gender in ("m", "f"):
+        names = {*KNOWN[gender], *(n.lower() for (_, g), items in GIVEN.items() if g == gender for n in items)}
+        listed = F.when(F.substring_index("canon", " ", 1).isin(*sorted(names)), gender).otherwise(listed)
+    open_rows = single.filter(F.col("kind").startswith("given_?_")).join(full, ["canon", "mate"], "left").join(given, "canon", "left")
+    gender = F.coalesce("by_full", "by_given", listed, F.lit("n"))
+    closed = open_rows.withColumn("kind", F.concat(F.lit("given_"), gender, F.substring("kind", 8, 99))).select(*single.columns)
+    return single.filter(~F.col("kind").startswith("given_?_")).union(closed)
+
+
+def surrogates(entities: DataFrame, secret: str) -> DataFrame:
+    """entities: distinct (kind, canon). With new: different for each of a pool, and no real entity of the pool."""
+    group = pool(F.col("kind"))
+    real = staged(entities.select(group.alias("pool"), F.col("canon").alias("spelled")).distinct(), "real")
+    settled, open_rows = None, entities.select("kind", "canon", F.lit(0).alias("nonce"))
     while True:
-        drawn = staged(open_rows.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("nonce"), secret)), "drawn")
-        order = F.row_number().over(Window.partitionBy("kind", "new").orderBy("canon"))
-        marked = drawn.withColumn("_nth", order)
-        real = entities.select("kind", F.col("canon").alias("new"), F.lit(True).alias("_real"))
-        spelled = F.when(F.col("kind").startswith("given_") | F.col("kind").startswith("family_"), F.lower("new")).otherwise(F.col("new"))
-        marked = marked.withColumn("_spelled", spelled).join(real.withColumnRenamed("new", "_spelled"), ["kind", "_spelled"], "left")
-        if taken is not None:
-            marked = marked.join(taken.select("kind", "new", F.lit(True).alias("_taken")), ["kind", "new"], "left")
-        else:
-            marked = marked.withColumn("_taken", F.lit(None).cast("boolean"))
-        clash = (F.col("_nth") > 1) | F.coalesce("_real", F.lit(False)) | F.coalesce("_taken", F.lit(False))
-        marked = staged(marked.select("kind", "canon", "nonce", "new", clash.alias("clash")), "marked")
-        drop(drawn)
-        good = marked.filter("not clash").select("kind", "canon", "new")
+        drawn = open_rows.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("nonce"), secret)).withColumn("pool", group)
+        drawn = drawn.withColumn("spelled", F.when(F.col("pool").isin("given", "family"), F.lower("new")).otherwise(F.col("new")))
+        first = F.row_number().over(Window.partitionBy("pool", "spelled").orderBy("canon", "kind")) == 1
+        taken = real if settled is None else real.union(settled.select("pool", "spelled"))
+        marked = drawn.withColumn("first", first).join(taken.distinct().withColumn("taken", F.lit(True)), ["pool", "spelled"], "left")
+        marked = staged(marked.withColumn("good", F.col("first") & F.col("taken").isNull()).drop("first", "taken"), "drawn")
+        good, again = marked.filter("good"), marked.filter("NOT good")
         settled = good if settled is None else settled.union(good)
-        again = marked.filter("clash")
         if not again.limit(1).count():
-            return settled
-        rounds += 1
-        if rounds > most:  # never names, only shapes most of whose values are real
-            return settled.union(_leftover(again, settled, entities, secret))
-        taken = settled
+            return settled.select("kind", "canon", "new")
         open_rows = again.select("kind", "canon", (F.col("nonce") + 1).alias("nonce"))
 
 
@@ -264,7 +300,8 @@ def replace(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str
     key = wide_key(F.col(names[id_col]), text)
     matches = plain.filter(holds).select(key.alias("key"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("at", "match"))
     found = staged(matches.distinct().withColumn("entities", _entities(F.col("match"))), "matches")
-    single = found.select("key", "at", "match", F.posexplode("entities").alias("part", "entity")).select("key", "at", "match", "part", "entity.kind", "entity.canon")
+    single = found.select("key", "at", "match", F.posexplode("entities").alias("part", "entity")).select("key", "at", "match", "part", "entity.kind", "entity.canon", "entity.mate")
+    single = staged(gendered(single).drop("mate"), "entities-found")
     entities = staged(single.select("kind", "canon").distinct(), "entities")
     with scratch(docs.sparkSession) as kept:
         kept.append(staged(surrogates(entities, secret), "surrogates"))
