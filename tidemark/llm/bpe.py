@@ -194,10 +194,10 @@ def pattern_of(pattern: str) -> Pattern:
 class Encoder:
     """Encodes whole texts in one process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: Pattern, by_units: bool, room: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: Pattern, by_units: bool, room: int = 250_000):
         self.vocabulary, self.by_units, self.room = Vocabulary(ranks), by_units, room
         self.pattern, self._exact, self.odd = regex.compile(pattern.plain), pattern.exact, frozenset(pattern.odd)
-        self.units, self.pieces = {}, {}
+        self.units, self.old, self.pieces = {}, {}, {}
 
     def splitter(self, text: str) -> regex.Pattern:
         return self.pattern if self.odd.isdisjoint(text) else self.exact
@@ -209,13 +209,19 @@ class Encoder:
     def plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.vocabulary.encode_all([p.encode() for p in self.splitter(text).findall(text)])))
 
-    def learn(self, new: set[str]) -> list[str]:
-        """Puts the ids of units, each behind a space, into the cache; those that are too long to stay there are given back."""
+    def learn(self, new: set[str]) -> None:
+        """Puts the ids of units, each behind a space, into the cache.
+
+        A full cache becomes the old one, from which what is asked for again comes back without work.
+        """
         if len(self.units) > self.room:
-            self.units.clear()
+            self.old, self.units = self.units, {}
         if len(self.pieces) > self.room:
             self.pieces.clear()
-        splits = [self.splitter(u).findall(u) for u in map(" ".__add__, new)]
+        again = self.old.keys() & new
+        self.units.update((u, self.old[u]) for u in again)
+        new = list(new - again)
+        splits = [[p] if u.isascii() and u.isalpha() else self.splitter(u).findall(p) for u, p in zip(new, map(" ".__add__, new))]
         missing = [p for p in set(chain.from_iterable(splits)) if p not in self.pieces]
         self.pieces.update(zip(missing, self.vocabulary.encode_all([p.encode() for p in missing])))
         get = self.pieces.__getitem__
@@ -223,20 +229,25 @@ class Encoder:
         for p in missing:
             if len(p) > _LONGEST:
                 del self.pieces[p]
-        return [u for u in new if len(u) > _LONGEST]
 
-    def __call__(self, text: str | None) -> list[int]:
-        if not text:
-            return []
+    def many(self, texts: list[str | None]) -> list[list[int]]:
         if not self.by_units:
-            return self.plain(text)
-        head, *rest = units(text)
-        new = {u for u in rest if u not in self.units}
-        long = self.learn(new | ({*rest} if len(self.units) > self.room else set())) if new else ()
-        ids = list(chain(self.plain(head), chain.from_iterable(map(self.units.__getitem__, rest))))
-        for u in long:
-            del self.units[u]
-        return ids
+            return [list(self.plain(t)) if t else [] for t in texts]
+        cut = [units(t) if t else [""] for t in texts]
+        asked = set(chain.from_iterable(cut))
+        room, self.room = self.room, min(self.room, max(0, self.room - len(asked)))
+        known = self.units if len(self.units) <= self.room else ()
+        self.learn({u for u in asked if u not in known})
+        self.room = room
+        get = self.units.__getitem__
+        out = [list(chain(self.plain(head), chain.from_iterable(map(get, rest)))) for head, *rest in cut]
+        for u in asked:
+            if len(u) > _LONGEST:
+                del self.units[u]
+        return out
+
+    def __call__(self, text: str | None) -> list[int]:
+        return self.many([text])[0]
 
     def state(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
         """(ids, each piece's number of ids, the last piece's table)."""
@@ -328,8 +339,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     encoder = _factory(path, pattern)
 
     def plain(keys, texts):
-        call = encoder()
-        ids = [np.array(call(t), np.int32) for t in texts.to_pylist()]
+        ids = [np.array(i, np.int32) for i in encoder().many(texts.to_pylist())]
         ends = np.concatenate(([0], np.cumsum(list(map(len, ids))))).astype(np.int32)
         return {id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))}
 
