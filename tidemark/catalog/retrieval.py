@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from tidemark.catalog.reads import _VISIBLE, WHO
 from tidemark.catalog.scalars import DIRECT, STRENGTH, STRUCTURAL
 from tidemark.functions import scalars as s
-from tidemark.operators import fulltext, graphs, predicates, relations, selection, vectorsearch
+from tidemark.operators import fulltext, graphs, predicates, relations, segmentation, selection, vectorsearch
+from tidemark.operators.segments import SegmentedIndex
 from tidemark.plans import pipelines as pl
 from tidemark.plans import routing
 from tidemark.registry import query
-from tidemark.session import shared_dir
+from tidemark.session import fingerprint, shared_dir
 from tidemark.sources.views import NOW, Views
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(fulltext.STOP_WORDS))
@@ -48,6 +50,9 @@ CTE = {
     "visited3": "SELECT query_id, entity_id, min(depth) AS depth FROM (SELECT query_id, entity_id, depth FROM visited UNION ALL SELECT query_id, entity_id, 3 FROM d3) GROUP BY 1, 2",
     "owned": f"SELECT entity_id, id FROM (SELECT l.entity_id, m.id, row_number() OVER (PARTITION BY l.entity_id ORDER BY m.updated_at DESC, m.id) AS nth FROM (SELECT DISTINCT entity_id, memory_id FROM memory_entities) l JOIN memories m ON m.id = l.memory_id WHERE {_READ}) WHERE nth <= 10",
 }
+for _name in ("words", "lens", "hits", "tfs", "dfs", "ranks"):  # of the rows that aren't deleted
+    _live = re.sub(r"\b(FROM|JOIN) (words|lens|hits|tfs|dfs)\b", r"\1 \2_live", CTE[_name])
+    CTE[f"{_name}_live"] = re.sub(r"\bFROM memories\b", "FROM (SELECT * FROM memories WHERE deleted_at IS NULL)", _live)
 _AGED = f"exp(-0.01 * greatest(date_diff('microsecond', m.created_at, TIMESTAMP '{NOW}') / 86400000000.0, 0)) / (depth + 1)"
 for _name, _from in (("graph", "visited"), ("graph3", "visited3"), ("graph1", "(SELECT * FROM visited WHERE depth <= 1)")):
     CTE[_name] = f"SELECT query_id, g.id, depth, {_AGED} AS score FROM (SELECT query_id, id, depth, row_number() OVER (PARTITION BY query_id ORDER BY depth, id) AS nth FROM (SELECT query_id, id, min(depth) AS depth FROM owned JOIN {_from} x USING (entity_id) GROUP BY 1, 2)) g JOIN memories m ON m.id = g.id WHERE nth <= 30"
@@ -84,8 +89,6 @@ def nearness_sql(source: str) -> str:
 
 def _oracle(sql: str) -> str:
     """The views and the CTEs that sql needs, put in front of it."""
-    import re
-
     need: list[str] = []
 
     def visit(text: str) -> None:
@@ -113,15 +116,40 @@ def store(v: Views) -> pl.Store:
     return pl.Store(v.memories, vectors, v.memory_entities.select("memory_id", "entity_id"), v.entity_relations.select("source_id", "target_id"), NOW, WHO, index=text_index(v))
 
 
-_indexes: dict[tuple[str, str], fulltext.Index] = {}
+_indexes: dict[tuple[str, str], tuple[tuple, SegmentedIndex]] = {}
 
 
 def text_index(v: Views) -> fulltext.Index:
-    """The written full-text index of the folder's memories: made once for an application, as a store keeps one."""
-    key = v.spark.sparkContext.applicationId, v.sf_dir
-    if key not in _indexes:
-        _indexes[key] = fulltext.written_index(v.memories, f"{shared_dir(v.spark)}/fulltext-{uuid.uuid4().hex}")
-    return _indexes[key]
+    """The written full-text index of the folder's memories: made once for an application, as a store keeps one, and again when the table's files have changed."""
+    key, now = (v.spark.sparkContext.applicationId, v.sf_dir), fingerprint(v.documents)
+    if key not in _indexes or _indexes[key][0] != now:
+        index = SegmentedIndex(v.spark, f"{shared_dir(v.spark)}/fulltext-{uuid.uuid4().hex}")
+        index.add(v.memories)
+        _indexes[key] = now, index
+    return _indexes[key][1].index()
+
+
+def _changed_index(v: Views, restored: bool = False, merged: bool = False) -> SegmentedIndex:
+    """An index of memories made in two batches, from which those that are marked as deleted are taken, and put back if restored."""
+    index = SegmentedIndex(v.spark, f"{shared_dir(v.spark)}/fulltext-{uuid.uuid4().hex}")
+    late = F.col("created_at") >= "2023-09-01"
+    index.add(v.memories.filter(~late))
+    index.add(v.memories.filter(late))
+    index.delete(v.memories.filter("deleted_at IS NOT NULL"))
+    if restored:
+        index.add(v.memories.filter("deleted_at IS NOT NULL"))
+    if merged:
+        index.merge()
+    return index
+
+
+def _index_ranks(v: Views, index: SegmentedIndex) -> DataFrame:
+    return fulltext.bm25(v.memories, fulltext.query_parts(asked(v).text), index=index.index()).select("query_id", "id", F.round("bm25", 3).alias("bm25"))
+
+
+def _indexed_words(v: Views) -> DataFrame:
+    found = _changed_index(v, merged=True).index().postings.filter("column = 'content'")
+    return found.groupBy("id").agg(F.count("*").alias("n")).join(v.memories.select("id", "kind"), "id").groupBy("kind").agg(F.sum("n").alias("words"))
 
 
 def asked(v: Views, times: bool = False) -> pl.Queries:
@@ -149,7 +177,10 @@ register("src_fts", "SELECT query_id, id, nth FROM fts")(lambda v: fulltext.sear
 register("src_fts_filtered", f"SELECT query_id, id FROM (SELECT t.query_id, t.id, row_number() OVER (PARTITION BY t.query_id ORDER BY t.bm25 DESC, t.id) AS nth FROM top t JOIN memories m ON m.id = t.id WHERE {_READ} AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND strength >= 0.2) WHERE nth <= 30")(lambda v: fulltext.search(v.memories, asked(v).text, 30, store(v).readable() & predicates.search_filters(NOW, min_strength=0.2), index=text_index(v)).select("query_id", "id"))
 register("jn_fts_row", "SELECT t.query_id, t.id, m.kind FROM top t JOIN memories m ON m.id = t.id WHERE deleted_at IS NULL")(lambda v: _fts_rows(v))
 register("fn_fts_query", "SELECT query_id, phrase, times, CAST(need AS BIGINT) AS need FROM asked_phrases")(lambda v: fulltext.query_parts(asked(v).text).withColumn("need", F.col("need").cast("long")))
-query("snk_fts_rebuild", "memories", r"SELECT kind, count(*) AS words FROM (SELECT kind, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) FROM memories WHERE deleted_at IS NULL) GROUP BY kind")(lambda v: fulltext.postings(v.memories.filter("deleted_at IS NULL"), {"content": 10.0}).join(v.memories.select("id", "kind"), "id").groupBy("kind").agg(F.count("*").alias("words")))
+query("snk_fts_rebuild", "memories", r"SELECT kind, count(*) AS words FROM (SELECT kind, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) FROM memories WHERE deleted_at IS NULL) GROUP BY kind")(_indexed_words)
+register("snk_fts_delete", "SELECT query_id, id, round(bm25, 3) AS bm25 FROM ranks_live")(lambda v: _index_ranks(v, _changed_index(v)))
+register("snk_fts_restore", "SELECT query_id, id, round(bm25, 3) AS bm25 FROM ranks")(lambda v: _index_ranks(v, _changed_index(v, restored=True)))
+query("fn_tok_gse")(lambda v: _segmented(v))
 
 # vectors
 register("src_vec", f"{_SHOW} vec")(lambda v: _shown(pl.vector(store(v), asked(v))))
@@ -247,6 +278,12 @@ query("job_eval", "", f"SELECT 'all' AS run, {_IR} FROM ({_RANKS})")(lambda v: _
 query("agg_regression", "", f"SELECT label, 'mrr' AS metric, round(0.9 - mrr, 6) AS drop FROM (SELECT label, avg(CASE WHEN rank IS NOT NULL THEN 1.0 / rank ELSE 0 END) AS mrr FROM ({_RANKS}) GROUP BY label) WHERE 0.9 - mrr > 0.02")(lambda v: relations.regressions(relations.quality(_hits(v), "label"), relations.quality(_hits(v), "label").withColumn("mrr", F.lit(0.9)), "label", {"mrr": 0.02}).withColumn("drop", F.round("drop", 6)))
 
 
+def _segmented(v: Views) -> DataFrame:
+    """Every text of conversations in words that benchmark's texts use: run-together ones are cut by its words and their counts."""
+    known = v.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-öø-ÿ]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return segmentation.segmenter(known, "a-zà-öø-ÿ")(v.conversations.select("conv_id", "turn", "text"), "text", "words").select("conv_id", "turn", F.array_join("words", " ").alias("words"))
+
+
 def _hits(v: Views) -> DataFrame:
     few = v.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     near = vectorsearch.search(v.embeddings.select(F.col("vec_id").alias("id"), "embedding"), few, 11).filter("id <> query_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import indexed_terms
+from tidemark.operators.segmentation import Tokenizer, runs
 
 #: Weights of the indexed columns, the constants of BM25, and how coverage counts.
 WEIGHTS = {"content": 10.0, "excerpt": 5.0, "summary": 3.0}
@@ -32,11 +34,14 @@ def match_parts(query: str) -> list[str]:
     return (words + pairs)[:MOST_PARTS]
 
 
-def query_parts(queries: DataFrame, text: str = "text") -> DataFrame:
+def query_parts(queries: DataFrame, text: str = "text", tokenizer: Tokenizer = runs) -> DataFrame:
     """(query_id, phrase, times, need): what match_parts() says of each query, each part as the index's words with a space between.
 
     times: how often the part is asked for; need: how many parts a row must have, all where only stop words are left.
+    With a tokenizer of its own the index's words are the query's words.
     """
+    if tokenizer is not runs:
+        queries = tokenizer(queries.select("query_id", text), text, "_words").select("query_id", F.array_join("_words", " ").alias(text))
     words = F.filter(F.split(F.translate(F.col(text), '-+"*()^', "  "), r"\s+"), lambda w: w != "")
     kept = F.filter(words, lambda w: ~F.lower(w).isin(*sorted(STOP_WORDS)) & ~w.rlike(r"^[\x00-\x7F]$"))
     split = queries.select("query_id", words.alias("words"), kept.alias("kept"))
@@ -50,11 +55,15 @@ def query_parts(queries: DataFrame, text: str = "text") -> DataFrame:
     return counted.select("query_id", "phrase", "times", F.when(F.col("every"), F.count("*").over(own)).otherwise(1).alias("need"))
 
 
-def postings(rows: DataFrame, columns: dict[str, float] = WEIGHTS) -> DataFrame:
+def _tokenized(rows: DataFrame, columns: dict[str, float], tokenizer: Tokenizer) -> DataFrame:
+    """(id, column, terms) of each indexed text."""
+    parts = rows.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns))).alias("part"))
+    return tokenizer(parts.select("id", F.col("part.column").alias("column"), F.col("part.text").alias("text")), "text", "terms").select("id", "column", "terms")
+
+
+def postings(rows: DataFrame, columns: dict[str, float] = WEIGHTS, tokenizer: Tokenizer = runs) -> DataFrame:
     """(id, column, term, position) of every indexed word."""
-    each = [F.struct(F.lit(c).alias("column"), indexed_terms(F.coalesce(c, F.lit(""))).alias("terms")) for c in columns]
-    parts = rows.select("id", F.explode(F.array(*each)).alias("part"))
-    return parts.select("id", F.col("part.column").alias("column"), F.posexplode("part.terms").alias("position", "term"))
+    return _tokenized(rows, columns, tokenizer).select("id", "column", F.posexplode("terms").alias("position", "term"))
 
 
 def phrases(found: DataFrame) -> DataFrame:
@@ -63,30 +72,31 @@ def phrases(found: DataFrame) -> DataFrame:
     return found.withColumn("next", follows).filter("next IS NOT NULL").select("id", "column", F.concat_ws(" ", "term", "next").alias("term"), "position")
 
 
-def lengths(rows: DataFrame, columns: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, length in words, n rows, mean length)."""
-    total = sum((F.size(indexed_terms(F.coalesce(c, F.lit("")))) for c in columns), F.lit(0))
-    sized = rows.select("id", total.cast("double").alias("length"))
-    return rows.sparkSession.sql("SELECT id, length, (SELECT count(*) FROM {sized}) AS n, (SELECT avg(length) FROM {sized}) AS mean FROM {sized}", sized=sized)
+def lengths(rows: DataFrame, columns: dict[str, float] = WEIGHTS, tokenizer: Tokenizer = runs) -> DataFrame:
+    """(id, length in words)."""
+    if tokenizer is runs:
+        return rows.select("id", sum((F.size(indexed_terms(F.coalesce(c, F.lit("")))) for c in columns), F.lit(0)).cast("double").alias("length"))
+    return _tokenized(rows, columns, tokenizer).groupBy("id").agg(F.sum(F.size("terms")).cast("double").alias("length"))
 
 
 @dataclass
 class Index:
-    """postings: id, column, term, position; lengths: id, length, n, mean."""
+    """postings: id, column, term, position; lengths: id, length, n, mean. within narrows postings to those of some terms (a column
+    of them) and says what is alive, before they are joined to anything else."""
 
     postings: DataFrame
     lengths: DataFrame
+    within: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+    def of_terms(self, asked: DataFrame) -> DataFrame:
+        return self.postings if self.within is None else self.within(self.postings, asked)
 
 
-def written_index(rows: DataFrame, path: str, columns: dict[str, float] = WEIGHTS) -> Index:
-    """The full-text index of rows, written under path; postings in the order of terms within each file."""
-    spark = rows.sparkSession
-    rows = rows.select("id", *columns)
-    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a table of few files is dealt out first
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    postings(rows, columns).sortWithinPartitions("term", "id", "column", "position").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(rows, columns).write.mode("overwrite").parquet(f"{path}/lengths")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+def passing_index(rows: DataFrame, columns: dict[str, float] = WEIGHTS, tokenizer: Tokenizer = runs) -> Index:
+    """The index of rows, made anew for each use."""
+    sized = lengths(rows, columns, tokenizer)
+    whole = rows.sparkSession.sql("SELECT id, length, (SELECT count(*) FROM {sized}) AS n, (SELECT avg(length) FROM {sized}) AS mean FROM {sized}", sized=sized)
+    return Index(postings(rows, columns, tokenizer), whole)
 
 
 def bm25(rows: DataFrame, parts: DataFrame, columns: dict[str, float] = WEIGHTS, index: Index | None = None) -> DataFrame:
@@ -96,14 +106,14 @@ def bm25(rows: DataFrame, parts: DataFrame, columns: dict[str, float] = WEIGHTS,
     is aggregated, so the shuffle holds matches only. A phrase is met where all its words stand in a row.
     Ranks are rounded, so that equal texts are ties whatever the order of their sums.
     """
-    index = index or Index(postings(rows, columns), lengths(rows, columns))
+    index = index or passing_index(rows, columns)
     weight = F.lit(0.0)
     for name, value in columns.items():
         weight = F.when(F.col("column") == name, F.lit(value)).otherwise(weight)
     words = F.split("phrase", " ")
     asked = parts.select("phrase").distinct().select("phrase", F.size(words).alias("size"), F.posexplode(words).alias("nth", "term"))
     # one shuffle, by id: both counts and the lengths go by it
-    near = index.postings.join(asked, "term").select("phrase", "size", "id", "column", "position", "nth").repartition("id")
+    near = index.of_terms(asked).join(asked, "term").select("phrase", "size", "id", "column", "position", "nth").repartition("id")
     met = near.groupBy("phrase", "size", "id", "column", (F.col("position") - F.col("nth")).alias("at")).agg(F.count("*").alias("n"))
     hits = met.filter("n = size").groupBy("phrase", "id").agg(F.sum(weight).alias("tf"))
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
@@ -114,14 +124,16 @@ def bm25(rows: DataFrame, parts: DataFrame, columns: dict[str, float] = WEIGHTS,
     return ranks.filter("found >= need").select("query_id", "id", "bm25")
 
 
-def search(rows: DataFrame, queries: DataFrame, limit: int = 30, condition=None, overfetch: int | None = 10, index: Index | None = None) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, limit: int = 30, condition=None, overfetch: int | None = 10, index: Index | None = None, tokenizer: Tokenizer = runs) -> DataFrame:
     """For each query (query_id, text) at most limit rows: query_id, id, score, nth by rank.
 
     condition filters after the cut to limit * overfetch best, as an index that knows nothing of it would;
     with overfetch None it comes first, so no match is lost, and index, that of all rows, isn't used.
     """
     early = overfetch is None and condition is not None
-    ranks = bm25(rows.filter(condition) if early else rows, query_parts(queries), index=None if early else index)
+    if index is None or early:
+        index = passing_index(rows.filter(condition) if early else rows, tokenizer=tokenizer)
+    ranks = bm25(rows, query_parts(queries, tokenizer=tokenizer), index=index)
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
     if overfetch:
         ranks = ranks.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= limit * overfetch).drop("_nth")

@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of each file that df reads: another if the table has changed."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, found.getLen(), found.getModificationTime()))
+    return tuple(out)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once for each application."""
     context = spark.sparkContext
