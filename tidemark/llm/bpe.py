@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ from tidemark.llm.tokens import units
 
 _NEVER = 1 << 40
 _LONGEST = 64
+_SHORT = 128
+_PAIRS = 1 << 20
 _BETWEEN = "\u0100"
 
 
@@ -55,11 +58,14 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.spines: dict[int, tuple[tuple[int, ...], tuple[int, ...]] | None] = {}
         self.pairs: dict[int, bool] = {}
+        self.known, self.told = np.full(_PAIRS, -1, np.int64), np.zeros(_PAIRS, bool)
+        self.letters = np.array([ranks[bytes([b])] for b in range(256)] + [0] * 512, np.int64)
+        self.unmade = {token for token, rank in ranks.items() if not self.spine(rank)}
         self.back = max(map(len, ranks))
         self.endings = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            if self.spine(rank):
-                self.endings.add_word(token.decode("latin-1"), (len(token), rank))
+            if len(token) > 1 and token not in self.unmade:
+                self.endings.add_word(token.decode("latin-1"), len(token) << 32 | rank)
         self.endings.make_automaton()
 
     def spine(self, token: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
@@ -96,46 +102,77 @@ class Vocabulary:
         found = self.pairs[left << 32 | right] = self.seam(left, right)
         return found
 
-    def tables(self, text: str, last: list[int | None], begin: int) -> None:
-        """Fills last, whose place i is for the last token of the prefix of i letters: from place begin + 1 on.
-
-        text: bytes as letters of one byte, pieces parted by the letter _BETWEEN. Places where a piece
-        starts hold -1; what tokens that end before begin need is there already.
-        """
+    def tables(self, text: str, last: list[int], begin: int) -> None:
+        """Fills last, whose place i is for the last token of the prefix of i bytes, from place begin + 1 on, where it holds
+        the single bytes so far. text: the bytes as letters. Place 0 holds -1."""
         pairs, fits, done = self.pairs, self.fits, begin
-        for end, (length, token) in self.endings.iter(text, max(0, begin + 1 - self.back)):
+        for end, found in self.endings.iter(text, max(0, begin + 1 - self.back)):
             if end >= done:  # the longest come first; once one fits, the others don't
-                before = last[end + 1 - length]
-                if before is not None and (before < 0 or (fits(before, token) if (known := pairs.get(before << 32 | token)) is None else known)):
+                before, token = last[end + 1 - (found >> 32)], found & 0xFFFFFFFF
+                if before < 0 or (fits(before, token) if (known := pairs.get(before << 32 | token)) is None else known):
                     last[end + 1] = token
                     done = end + 1
 
     def table(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of each prefix of piece, from one byte on. known: the same of a part from piece's start, which is extended."""
         known = known or []
-        last = [-1, *known, *[None] * (len(piece) - len(known))]
+        last = [-1, *known, *self.letters[list(piece[len(known) :])].tolist()]
         self.tables(piece.decode("latin-1"), last, len(known))
         return last[1:]
 
+    def _fit(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token may stand behind the one before it. What was told last is kept, one pair a slot."""
+        pairs = before << 32 | tokens
+        slots = (before * 0x9E3779B1 ^ tokens * 0x85EBCA77) >> 7 & _PAIRS - 1
+        good = self.told[slots]
+        missing = np.flatnonzero(self.known[slots] != pairs)
+        if len(missing):
+            new, where = np.unique(pairs[missing], return_inverse=True)
+            fresh = np.array([self.seam(p >> 32, p & 0xFFFFFFFF) for p in new.tolist()], bool)[where]
+            good[missing] = fresh
+            self.known[slots[missing]], self.told[slots[missing]] = pairs[missing], fresh
+        return good
+
     def encode_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece, by one table over all."""
+        """The ids of each piece. One table over all short ones is filled a place of every piece at a time."""
+        if len(pieces) < 32:
+            return [tuple(self.encode(p)) for p in pieces]
+        short = [p for p in pieces if len(p) <= _SHORT and p not in self.unmade]
+        found = dict(zip(short, self._encode_short(short)))
+        return [found[p] if p in found else tuple(self.encode(p)) for p in pieces]
+
+    def _encode_short(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        if not pieces:
+            return []
         text = _BETWEEN.join(p.decode("latin-1") for p in pieces)
-        last: list[int | None] = [None] * (len(text) + 1)
-        starts, at = [], 0
-        for p in pieces:
-            starts.append(at)
-            last[at] = -1
-            at += len(p) + 1
-        self.tables(text, last, 0)
-        tokens, out = self.tokens, []
-        for p, start in zip(pieces, starts):
-            whole = self.ranks.get(p)
-            ids, end = [], start + len(p)
-            while end > start and whole is None:
-                ids.append(last[end])
-                end -= len(tokens[ids[-1]])
-            out.append(tuple(reversed(ids)) if whole is None else (whole,))
-        return out
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        met = np.fromiter(chain.from_iterable(self.endings.iter(text)), np.int64)
+        end, token = met[::2] + 1, met[1::2] & 0xFFFFFFFF
+        begin = end - (met[1::2] >> 32)
+        place = end - np.repeat(starts, sizes + 1)[end - 1]
+        order = np.argsort(place.astype(np.int16), kind="stable")
+        last = np.empty(len(text) + 1, np.int64)
+        last[1:] = self.letters[np.frombuffer(text.encode("utf-16-le"), np.uint16)]  # single bytes stand where no longer token does
+        last[starts] = -1
+        for at in np.split(order, np.cumsum(np.bincount(place))[:-1])[1:]:
+            before, own = last[begin[at]], token[at]
+            good = before == -1
+            open_pairs = np.flatnonzero(before >= 0)
+            good[open_pairs] = self._fit(before[open_pairs], own[open_pairs])
+            last[end[at[good]]] = own[good]
+        # the ids, from each piece's end back
+        now, piece, steps = starts + sizes, np.arange(len(pieces)), []
+        while len(piece):
+            ids = last[now[piece]]
+            steps.append((piece, ids))
+            now[piece] -= self.spelled[1][ids]
+            piece = piece[now[piece] > starts[piece]]
+        piece, ids = (np.concatenate(x) for x in zip(*steps))
+        turn = np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps])
+        flat = ids[np.lexsort((-turn, piece))].tolist()
+        ends = np.cumsum(np.bincount(piece)).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
 
     def traced(self, table: list[int]) -> list[int]:
         """The ids of the text whose table it is."""
@@ -156,6 +193,11 @@ class Vocabulary:
         sizes = np.array(list(map(len, order)), np.int64)
         return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(order), np.uint8)
 
+    @functools.cached_property
+    def names(self) -> list[str]:
+        """Each id in decimals."""
+        return list(map(str, range(max(self.tokens) + 1)))
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -194,7 +236,7 @@ def pattern_of(pattern: str) -> Pattern:
 class Encoder:
     """Encodes whole texts in one process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: Pattern, by_units: bool, room: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: Pattern, by_units: bool, room: int = 500_000):
         self.vocabulary, self.by_units, self.room = Vocabulary(ranks), by_units, room
         self.pattern, self._exact, self.odd = regex.compile(pattern.plain), pattern.exact, frozenset(pattern.odd)
         self.units, self.old, self.pieces = {}, {}, {}
@@ -398,13 +440,16 @@ def edited(encoded: DataFrame, start: Column, stop: Column, new: Column, path: s
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """A row for each document: n_tokens, and digests of its ids and of the bytes that they decode to."""
-    rows = decode_with_ids(encode(docs, path, pattern), path)
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
+    """A row for each document: n_tokens, and digests of the ids that encode() gives and of the bytes that decode() makes of them, in one pass."""
+    encoder = _factory(path, pattern)
 
+    def digests(keys, texts):
+        call, made = encoder(), texts.to_pylist()
+        lists = call.many(made)
+        names, get = call.vocabulary.names, call.vocabulary.tokens.__getitem__
+        told = [hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest() for ids in lists]
+        back = [hashlib.sha256(b"".join(map(get, ids))).hexdigest() for ids in lists]
+        return {"doc_id": keys, "n_tokens": pa.array(map(len, lists), pa.int64()), "ids_sha256": told, "decoded_sha256": back}
 
-def decode_with_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """decode(), the ids kept beside the content."""
-    both = encoded.withColumn("_both", F.struct(F.col(id_col), F.col("ids")))
-    return decode(both, path, "_both").select(F.col(f"_both.{id_col}").alias(id_col), "_both.ids", "content")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _mapped(rows, digests, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
