@@ -251,24 +251,27 @@ _DIRECT = f"SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTIT
 register("leg_rerank", f"{_SHOW} ({overlap_sql(_DIRECT)})")(lambda v: _shown(pl.reranked(store(v), asked(v))))
 
 # routing
-_SAMPLES = ["", "help", "what happened last week", "notes related to billing", "total spend across all teams", "please summarize the design of the storage layer", "deployment checklist", "之前我都做了哪些事情", "the quarterly infrastructure review meeting", "今天", "last year report", "connected to the graph", "list of open tasks"]
-_Q = ", ".join(f"('{t}')" for t in _SAMPLES)
+_QUESTIONS = "SELECT 'b-' || CAST(item_id AS STRING) AS question_id, text AS query FROM benchmark UNION ALL SELECT 'c-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations"
 _INTENT = rf"CASE WHEN regexp_matches(query, '{routing.TEMPORAL}') THEN 'temporal' WHEN regexp_matches(query, '{routing.RELATIONAL}') THEN 'relational' WHEN length(query) > 0 AND length(query) <= CASE WHEN cjk > 0.5 THEN 8 ELSE 20 END AND NOT regexp_matches(query, '{routing.EXPLORATORY}') THEN 'keyword' WHEN length(query) > CASE WHEN cjk > 0.5 THEN 25 ELSE 35 END OR regexp_matches(query, '{routing.EXPLORATORY}') THEN 'semantic' ELSE 'general' END"
 _CJKR = r"CASE WHEN length(query) = 0 THEN 0 ELSE len(regexp_extract_all(query, '[\x{4E00}-\x{9FFF}]')) / length(query) END"
-_TOLD = f"SELECT query, {_INTENT} AS intent FROM (SELECT query, {_CJKR} AS cjk FROM (VALUES {_Q}) t(query))"
+_TOLD = f"SELECT question_id, query, {_INTENT} AS intent FROM (SELECT question_id, query, {_CJKR} AS cjk FROM ({_QUESTIONS}))"
 _BY = " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in routing.BY_INTENT.items())
 _W = " ".join(f"WHEN '{k}' THEN '{w[0] * 1.0:.2f}/{w[1] * 1.0:.2f}/{w[2] * 0.8:.2f}'" for k, w in routing.CHANNELS.items())
-query("rt_intent", "", _TOLD)(lambda v: _samples(v).select("query", routing.intent(F.col("query")).alias("intent")))
+query("rt_intent", "", f"SELECT question_id, intent FROM ({_TOLD})")(lambda v: _questions(v).select("question_id", routing.intent(F.col("query")).alias("intent")))
 _RULES = f"CASE WHEN intent = 'general' AND length(query) > 0 AND length(query) < 5 THEN 'fast' WHEN regexp_matches(query, '{routing.HISTORY}') THEN 'aggregation' WHEN regexp_matches(query, '{routing.TEMPORAL}') THEN 'exploration' WHEN regexp_matches(query, '{routing.AGGREGATION}') THEN 'aggregation' WHEN regexp_matches(query, '{routing.RELATIONAL}') THEN 'association' WHEN intent <> 'general' THEN CASE intent {_BY} END WHEN length(query) > 0 AND length(query) < 5 THEN 'fast' ELSE 'exploration' END"
-query("rt_rules", "", f"SELECT query, {_RULES} AS pipeline FROM ({_TOLD})")(lambda v: _samples(v).select("query", routing.route(F.col("query"), routing.intent(F.col("query"))).alias("pipeline")))
-query("rt_weights", "", f"SELECT query, CASE intent {_W} END AS weights FROM ({_TOLD})")(lambda v: _samples(v).select("query", _weights_text(routing.channel_weights(routing.intent(F.col("query")))).alias("weights")))
+query("rt_rules", "", f"SELECT question_id, {_RULES} AS pipeline FROM ({_TOLD})")(lambda v: _questions(v).select("question_id", routing.route(F.col("query"), routing.intent(F.col("query"))).alias("pipeline")))
+query("rt_weights", "", f"SELECT question_id, CASE intent {_W} END AS weights FROM ({_TOLD})")(lambda v: _questions(v).select("question_id", _weights_text(routing.channel_weights(routing.intent(F.col("query")))).alias("weights")))
 # a model's answers stand in: the six names, one that it may not choose, one that is none, no object at all
 _NAMES = ("precision", "exploration", "semantic", "association", "fast", "full", "aggregation", "other")
 _ANSWERS = f"SELECT item_id, text AS query, CASE WHEN item_id % 9 = 8 THEN '' ELSE list_extract([{', '.join(repr(n) for n in _NAMES)}], CAST(item_id % 9 + 1 AS INT)) END AS named, {_CJKR} AS cjk FROM (SELECT *, text AS query FROM benchmark)"
 query("rt_agent", "", f"SELECT item_id, CASE WHEN named IN ({', '.join(repr(n) for n in routing.SELECTABLE)}) THEN named ELSE {_RULES} END AS pipeline FROM (SELECT *, {_INTENT} AS intent FROM ({_ANSWERS}))")(lambda v: _routed(v))
 _WIN = " ".join(f"WHEN regexp_matches(query, '{p}') THEN {d * 1000 + o}" for p, d, o in routing.WINDOWS)
-query("fn_time_window", "", f"SELECT query, CAST(CASE {_WIN} ELSE 30000 END AS INT) AS packed FROM (VALUES {_Q}) t(query)")(lambda v: _samples(v).select("query", (routing.window_days(F.col("query"))["days"] * 1000 + routing.window_days(F.col("query"))["offset"]).cast("int").alias("packed")))
-query("rt_preprocess", "", f"SELECT query, intent FROM ({_TOLD})")(lambda v: _samples(v).select("query", routing.intent(F.col("query")).alias("intent")))
+query("fn_time_window", "", f"SELECT question_id, CAST(CASE {_WIN} ELSE 30000 END AS INT) AS packed FROM ({_QUESTIONS})")(lambda v: _questions(v).select("question_id", (routing.window_days(F.col("query"))["days"] * 1000 + routing.window_days(F.col("query"))["offset"]).cast("int").alias("packed")))
+_KEYWORDS = rf"SELECT question_id, intent, query, list_filter(regexp_extract_all(query, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w) NOT IN ({_STOP})) AS k FROM ({_TOLD})"
+_NAMED = "SELECT question_id, list(id ORDER BY place, id) AS found FROM (SELECT question_id, id, min(place) AS place FROM (SELECT question_id, generate_subscripts(k, 1) AS place, lower(unnest(k)) AS word FROM asked_now) a JOIN (SELECT id, lower(name) AS name, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS nth FROM entities WHERE scope = 'global') e ON e.name = a.word WHERE nth <= 5 GROUP BY 1, 2) GROUP BY 1"
+_PLAN = f"SELECT question_id, intent, {_RULES} AS pipeline, array_to_string(k, ' ') AS keywords, coalesce(array_to_string(found, ' '), '') AS entities, CASE WHEN intent = 'temporal' THEN CAST(CASE {_WIN} ELSE 30000 END AS INT) END AS packed, CASE intent {_W} END AS weights FROM asked_now LEFT JOIN named_now USING (question_id)"
+CTE |= {"asked_now": _KEYWORDS, "named_now": _NAMED}
+register("rt_preprocess", _PLAN)(lambda v: _planned(v))
 
 # evaluation: a hit is a neighbour with the query's label, itself left out
 _RANKS = "SELECT query_id, label, min(nth) FILTER (WHERE hit) AS rank FROM (SELECT a.vec_id AS query_id, a.label, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) DESC, b.vec_id) AS nth FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE nth <= 10 GROUP BY 1, 2"
@@ -297,8 +300,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _samples(v: Views) -> DataFrame:
-    return v.spark.createDataFrame([(t,) for t in _SAMPLES], "query string")
+def _questions(v: Views) -> DataFrame:
+    """All texts of benchmark and conversations as questions."""
+    one = v.benchmark.select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("question_id"), F.col("text").alias("query"))
+    return one.union(v.conversations.select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text"))
+
+
+def _planned(v: Views) -> DataFrame:
+    plan = routing.planned(_questions(v).withColumnRenamed("query", "text"), v.entities, "global")
+    packed = (F.col("days") * 1000 + F.col("offset")).cast("int").alias("packed")
+    return plan.select("question_id", "intent", "pipeline", F.array_join("keywords", " ").alias("keywords"), F.array_join("entities", " ").alias("entities"), packed, _weights_text(F.col("weights")).alias("weights"))
 
 
 def _routed(v: Views) -> DataFrame:

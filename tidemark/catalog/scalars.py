@@ -48,7 +48,11 @@ query("fn_check_hit", "memory_embeddings", "SELECT label, min(nth) AS first_rank
 query("fn_proper_nouns", "conversation_memories", r"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))), '|') AS names FROM conversation_memories WHERE regexp_full_match(content, '[\x00-\x7f]*')")(lambda v: v.conversation_memories.filter(F.octet_length("content") == F.char_length("content")).select("id", F.array_join(F.array_sort(s.proper_nouns(F.col("content"))), "|").alias("names")))
 query("fn_json", "entity_candidates", "SELECT name, '[\"' || name || '\",\"' || scope || '\"]' AS ids FROM entity_candidates")(lambda v: v.entity_candidates.select("name", F.to_json(F.array_append(F.array("name"), F.col("scope"))).alias("ids")))
 query("fn_excerpt", "memories", "SELECT id, CASE WHEN length(content) <= 50 THEN content ELSE substr(content, 1, 100) END AS short FROM memories")(lambda v: v.memories.select("id", s.excerpt(F.col("content")).alias("short")))
-query("fn_git_norm")(lambda v: v.spark.createDataFrame([("git@Host.org:Team/Repo.git",), ("https://me@host.org/team/repo.git",), ("ssh://git@host.org:2222/team/repo",)], "url string").select("url", s.remote_url(F.col("url")).alias("normalized"), s.project_id(F.col("url")).alias("project_id")))
+# pages' addresses as remotes, every other one in the form of a secure shell
+_REMOTES = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'git@' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/', ':') || '.git' END AS url FROM pages"
+_NORMAL = rf"SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '^(ssh|https?|git)://', ''), '^[\w.-]+@([\w.-]+):', '\1/'), '\.git$', '')) AS normalized FROM ({_REMOTES})"
+query("fn_git_norm", "", _NORMAL)(lambda v: _remotes(v).select("page_id", s.remote_url(F.col("url")).alias("normalized")))
+query("fn_project_id", "", f"SELECT page_id, 'p_' || substr(sha256(normalized), 1, 12) AS project_id FROM ({_NORMAL})")(lambda v: _remotes(v).select("page_id", s.project_id(F.col("url")).alias("project_id")))
 query("fn_observation", "", "SELECT event_id, CASE WHEN event_type = 'view' THEN '[Read] /data/' || CAST(user_id AS STRING) ELSE '[Bash] $ run ' || CAST(user_id AS STRING) || ' -> ' || event_type END AS line FROM events")(lambda v: _observations(v))
 
 # projections
@@ -90,3 +94,9 @@ def scan(rows, tags):
     """Compact rows: id, title, tags and estimated tokens."""
     named = tags.groupBy(F.col("memory_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags"))
     return rows.join(named, "id", "left").select("id", F.col("excerpt").alias("title"), F.coalesce("tags", F.lit("")).alias("tags"), s.estimated_tokens(F.col("content")).alias("tokens"))
+
+
+def _remotes(v):
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    shell = F.concat(F.lit("git@"), F.regexp_replace(bare, "^([^/]*)/", "$1:"), F.lit(".git"))
+    return v.pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(shell).alias("url"))

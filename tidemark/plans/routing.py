@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cjk_ratio
+from tidemark.operators.fulltext import STOP_WORDS
+from tidemark.operators.segmentation import Tokenizer
 
 #: The patterns that tell what a query is about.
 TEMPORAL = r"(?i)\b(recent|latest|last\s+week|last\s+month|last\s+quarter|yesterday|today|this\s+week|this\s+month|past\s+few\s+days)\b|最近|上周|上月|前天|昨天|今天|本周|本月|这几天|之前"
@@ -78,3 +82,33 @@ def channel_weights(asked: Column, bases: tuple[float, float, float] = BASES) ->
     for name, weights in CHANNELS.items():
         out = F.when(asked == name, make(weights)).otherwise(out)
     return out
+
+
+def planned(questions: DataFrame, entities: DataFrame, scope: str, synonyms: Callable[[DataFrame], DataFrame] | None = None, tokenizer: Tokenizer | None = None, most_entities: int = 5) -> DataFrame:
+    """A row for each question (question_id, text) with what a search is told of it: intent, pipeline, keywords, entities, temporal, days, offset, weights.
+
+    Keywords are its words that no search leaves out, by the tokenizer (None: runs of letters and numbers, case
+    kept) and, with synonyms (a function of rows with an array words), expanded. Entities are those of the scope
+    whose name is a keyword, in lower case, at most most_entities of each keyword by id, in the order of keywords.
+    Days and offset tell the window of a temporal question only. An empty or null question has an intent and
+    weights, and no words.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = questions.select("question_id", text.alias("text"))
+    words = tokenizer(rows, "text", "words") if tokenizer else rows.withColumn("words", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    words = words.withColumn("words", F.filter("words", lambda w: ~F.lower(w).isin(*sorted(STOP_WORDS))))
+    words = synonyms(words) if synonyms else words
+    asked = words.select("question_id", F.posexplode("words").alias("at", "word")).select("question_id", "at", F.lower("word").alias("word"))
+    # the names that are asked for are few; each has at most most_entities ids
+    named = entities.filter(F.col("scope") == scope).select(F.lower("name").alias("word"), "id").join(asked.select("word").distinct(), "word", "left_semi")
+    named = named.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy("id"))).filter(F.col("nth") <= most_entities)
+    first = asked.join(named, "word").groupBy("question_id", "id").agg(F.min(F.struct("at", "nth")).alias("place"))
+    found = first.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("entities"))
+    told = intent(F.col("text"))
+    window = window_days(F.col("text"))
+    temporal = told == "temporal"
+    plan = words.join(found, "question_id", "left").select(
+        "question_id", told.alias("intent"), route(F.col("text"), told).alias("pipeline"), F.col("words").alias("keywords"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"),
+        temporal.alias("temporal"), F.when(temporal, window["days"]).alias("days"), F.when(temporal, window["offset"]).alias("offset"), channel_weights(told).alias("weights"),
+    )
+    return plan
