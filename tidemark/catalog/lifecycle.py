@@ -9,7 +9,7 @@ from tidemark.catalog.reads import _SESSIONS as SESSIONS
 from tidemark.catalog.reads import _VISIBLE, WHO, sessions
 from tidemark.catalog.scalars import STRENGTH
 from tidemark.functions import scalars as s
-from tidemark.operators import reads, relations, snapshots, vectorsearch
+from tidemark.operators import reads, relations, snapshots, vectorindex, vectorsearch
 from tidemark.operators.predicates import live, visible
 from tidemark.registry import query
 from tidemark.sources.views import NOW
@@ -128,21 +128,18 @@ def _purged(v):
     return rows.join(tags.groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("tags")), "id", "left").select("id", F.coalesce("tags", F.lit(0)).alias("tags"))
 
 
-def _pairs(v):
-    rows = v.memory_embeddings.select("memory_id", "label", "embedding")
-    other = rows.toDF("other_id", "label", "other")
-    return rows.join(other, "label").withColumn("cos", s.cosine(F.col("embedding"), F.col("other")))
+def _labelled(v):
+    return v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding")
 
 
 def _contradictions(v):
-    found = _pairs(v).filter("memory_id < other_id AND cos BETWEEN 0.25 AND 0.95").orderBy(F.desc("cos"), "memory_id", "other_id").limit(50)
-    return found.select(F.col("memory_id").alias("one"), F.col("other_id").alias("two"), F.round("cos", 6).alias("cosine"))
+    found = vectorindex.close_pairs(_labelled(v), "label", 0.25, 0.95).found.orderBy(F.desc("cosine"), "one", "other").limit(50)
+    return found.select("one", F.col("other").alias("two"), F.round("cosine", 6).alias("cosine"))
 
 
 def _nearest_in_label(v):
-    best = Window.partitionBy("memory_id").orderBy(F.desc("cos"), "other_id")
-    near = _pairs(v).filter("memory_id <> other_id").withColumn("nth", F.row_number().over(best)).filter("nth = 1")
-    return near.select(F.col("memory_id").alias("id"), "other_id", F.when(F.col("cos") >= 0.95, "duplicate").when(F.col("cos") >= 0.3, "near").otherwise("new").alias("verdict"))
+    near = vectorindex.nearest_in_group(_labelled(v), "label")
+    return near.select("id", "other_id", F.when(F.col("cosine") >= 0.95, "duplicate").when(F.col("cosine") >= 0.3, "near").otherwise("new").alias("verdict"))
 
 
 def _by_centroid(v):
@@ -154,6 +151,6 @@ def _by_centroid(v):
 
 def _by_neighbours(v):
     few = v.memory_embeddings.filter("label IS NOT NULL").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"))
-    near = vectorsearch.search(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding"), few, 11).filter("id <> query_id")
+    near = vectorindex.VectorIndex.build(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding")).search(few, 11).filter("id <> query_id")
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("nth"))).filter("place <= 10")
     return relations.votes(near.select("query_id", F.col("id").alias("memory_id")), v.memory_entities.select("memory_id", "entity_id")).withColumnRenamed("query_id", "memory_id")

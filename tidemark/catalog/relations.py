@@ -9,6 +9,7 @@ from tidemark.catalog.scalars import STRENGTH
 from tidemark.functions import scalars as s
 from tidemark.operators import predicates as p
 from tidemark.operators import relations as r
+from tidemark.operators import vectorindex
 from tidemark.registry import query
 from tidemark.sources.views import NOW
 
@@ -64,10 +65,8 @@ def _evidence(v):
 
 
 def _similar_pairs(v):
-    unit = v.memory_embeddings.select("memory_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    other = unit.select(F.col("memory_id").alias("other_id"), "label", F.col("embedding").alias("other"))
-    pairs = unit.join(other, "label").filter("memory_id < other_id").withColumn("cosine", s.cosine(F.col("embedding"), F.col("other")))
-    return pairs.filter("cosine BETWEEN 0.3 AND 0.95").select("memory_id", "other_id", F.round("cosine", 6).alias("cosine"))
+    found = vectorindex.close_pairs(v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding"), "label", 0.3, 0.95).found
+    return found.select(F.col("one").alias("memory_id"), F.col("other").alias("other_id"), F.round("cosine", 6).alias("cosine"))
 
 
 def _profile(v):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.reads import _VISIBLE, WHO
 from tidemark.catalog.scalars import DIRECT, STRENGTH, STRUCTURAL
 from tidemark.functions import scalars as s
-from tidemark.operators import fulltext, graphs, predicates, relations, segmentation, selection, vectorsearch
+from tidemark.operators import fulltext, graphs, predicates, relations, segmentation, selection, vectorindex, vectorsearch
 from tidemark.operators.segments import SegmentedIndex
 from tidemark.plans import pipelines as pl
 from tidemark.plans import routing
@@ -186,6 +186,9 @@ query("fn_tok_gse")(lambda v: _segmented(v))
 register("src_vec", f"{_SHOW} vec")(lambda v: _shown(pl.vector(store(v), asked(v))))
 register("src_vec_filtered", f"SELECT query_id, id FROM (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), query) DESC, m.id) AS nth FROM memory_embeddings e JOIN memories m ON m.id = e.memory_id CROSS JOIN qv WHERE {_READ} AND scope = 'project/p1') WHERE nth <= 10")(lambda v: vectorsearch.search(store(v).vectors.join(v.memories.filter(store(v).readable() & (F.col("scope") == "project/p1")).select("id"), "id", "left_semi"), asked(v).vectors, 10).select("query_id", "id"))
 register("top_vec", "SELECT query_id, id, nth FROM (SELECT query_id, memory_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) DESC, memory_id) AS nth FROM memory_embeddings CROSS JOIN qv) WHERE nth <= 10")(lambda v: vectorsearch.search(store(v).vectors, asked(v).vectors, 10).select("query_id", "id", F.col("nth").cast("long").alias("nth")))
+register("top_vec_probed", "SELECT query_id, id, nth FROM (SELECT query_id, memory_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) DESC, memory_id) AS nth FROM memory_embeddings CROSS JOIN qv) WHERE nth <= 10")(lambda v: _vector_index(v).search(asked(v).vectors, 10).select("query_id", "id", F.col("nth").cast("long").alias("nth")))
+query("top_vec_approx")(lambda v: _vector_index(v).search(asked(v).vectors, 10, _probes(v)).select("query_id", "id", F.col("nth").cast("long").alias("nth")))
+query("top_vec_compared")(lambda v: _vector_index(v).compared(asked(v).vectors, _probes(v)))
 register("flt_min_score", "SELECT query_id, id FROM vec")(lambda v: pl.vector(store(v), asked(v)).select("query_id", "id"))
 register("snk_centroid", "SELECT entity_id, n, round(list_sum(centroid), 5) AS total FROM (SELECT entity_id, max(n) AS n, list(value) AS centroid FROM (SELECT l.entity_id, i, avg(CAST(e.embedding[i] AS DOUBLE)) AS value, count(*) AS n FROM memory_entities l JOIN memory_embeddings e ON e.memory_id = l.memory_id CROSS JOIN range(1, 65) r(i) WHERE l.role = 'mentioned' GROUP BY 1, 2) GROUP BY 1)")(lambda v: vectorsearch.centroids(v.memory_embeddings.select("memory_id", "embedding"), v.memory_entities.filter("role = 'mentioned'").select("memory_id", "entity_id")).select("entity_id", "n", F.round(F.aggregate("centroid", F.lit(0.0), lambda a, b: a + b), 5).alias("total")))
 register("src_centroid", "SELECT query_id, entity_id FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, entity_id) AS nth FROM (SELECT query_id, entity_id, list_cosine_similarity(centroid, query) AS cos FROM (SELECT entity_id, list(value ORDER BY i) AS centroid FROM (SELECT l.entity_id, i, avg(CAST(e.embedding[i] AS DOUBLE)) AS value FROM memory_entities l JOIN memory_embeddings e ON e.memory_id = l.memory_id CROSS JOIN range(1, 65) r(i) WHERE l.role = 'mentioned' GROUP BY 1, 2) GROUP BY 1) CROSS JOIN qv) WHERE cos >= 0.2) WHERE nth <= 10")(lambda v: vectorsearch.search(vectorsearch.centroids(v.memory_embeddings.select("memory_id", "embedding"), v.memory_entities.filter("role = 'mentioned'").select("memory_id", "entity_id")).select(F.col("entity_id").alias("id"), F.col("centroid").alias("embedding")), asked(v).vectors, 10, 0.2).select("query_id", F.col("id").alias("entity_id")))
@@ -281,6 +284,15 @@ query("job_eval", "", f"SELECT 'all' AS run, {_IR} FROM ({_RANKS})")(lambda v: _
 query("agg_regression", "", f"SELECT label, 'mrr' AS metric, round(0.9 - mrr, 6) AS drop FROM (SELECT label, avg(CASE WHEN rank IS NOT NULL THEN 1.0 / rank ELSE 0 END) AS mrr FROM ({_RANKS}) GROUP BY label) WHERE 0.9 - mrr > 0.02")(lambda v: relations.regressions(relations.quality(_hits(v), "label"), relations.quality(_hits(v), "label").withColumn("mrr", F.lit(0.9)), "label", {"mrr": 0.02}).withColumn("drop", F.round("drop", 6)))
 
 
+def _vector_index(v: Views) -> vectorindex.VectorIndex:
+    return vectorindex.VectorIndex.build(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding"))
+
+
+def _probes(v: Views) -> int:
+    """Two thirds of the lists: these tables' vectors are hardly clustered, so that their neighbours lie in many."""
+    return max(1, min(vectorindex.LISTS, int(v.memory_embeddings.count() ** 0.5)) * 2 // 3)
+
+
 def _segmented(v: Views) -> DataFrame:
     """Every text of conversations in words that benchmark's texts use: run-together ones are cut by its words and their counts."""
     known = v.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-öø-ÿ]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.vectorindex import close_pairs, components
+
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     n = float(np.linalg.norm(a) * np.linalg.norm(b))
@@ -182,8 +184,11 @@ def average_linkage(vectors: list[np.ndarray | None], threshold: float) -> list[
 def clustered(rows: DataFrame, block: str, threshold: float = 0.7, least: int = 2) -> DataFrame:
     """rows: block, id, embedding. (block, cluster_id, id) of clusters of at least least rows, cluster_id their smallest id.
 
-    All rows of a block count. A block's vectors meet in one task, which holds the distances of one component at a time.
+    Clusters lie within the components of pairs that are as near as threshold; pairs come from tiles over all tasks, and
+    only a component's vectors meet in one. Where threshold is not above zero every pair is as near, and a vector
+    that is missing or zero counts as at distance one from all: then a block is one component.
     """
+    ids = rows.schema["id"].dataType.simpleString()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
@@ -191,4 +196,14 @@ def clustered(rows: DataFrame, block: str, threshold: float = 0.7, least: int =
         out = pd.DataFrame({block: pdf[block], "cluster_id": [pdf.id[c] for c in found], "id": pdf.id})
         return out[out.groupby("cluster_id").id.transform("size") >= least]
 
-    return rows.select(block, "id", F.col("embedding").cast("array<double>").alias("embedding")).groupBy(block).applyInPandas(choose, f"{block} {dict(rows.dtypes)[block]}, cluster_id string, id string")
+    vectors = rows.select(block, "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    if threshold <= 0:
+        grouped = vectors.groupBy(block)
+    else:
+        parts = components(close_pairs(vectors, block, threshold - 1e-9).found, [block])
+        grouped = vectors.join(parts, [block, "id"]).groupBy(block, "component")
+    found = grouped.applyInPandas(choose, f"{block} {dict(rows.dtypes)[block]}, cluster_id {ids}, id {ids}")
+    if least > 1 or threshold <= 0:
+        return found
+    alone = vectors.join(parts, [block, "id"], "left_anti")
+    return found.union(alone.select(block, "id", "id"))
