@@ -446,3 +446,15 @@ def test_toxicity(spark, nothing):
     assert set(scored.columns) == set(df.columns) | {"predicted"}
     assert toxicity.toxicity(nothing, labels).count() == 0
     assert {r.predicted for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("repeat", ["rows", "ids"])
+def test_labelled_rows_are_bounded(spark, monkeypatch, repeat):
+    """Ids that stand on many rows, with equal texts or others, bring no more rows to the driver than the bound."""
+    rows = [(i, f"awful nasty words {k if repeat == 'ids' else ''}" if i else f"kind words {k if repeat == 'ids' else ''}") for i in (0, 2, 3, 5) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (2, 1), (3, 1), (5, 0)], "doc_id long, toxic int")
+    seen, model = [], toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, given, *a: (seen.append(len(votes)), model(votes, given, *a))[1])
+    got = toxicity.toxicity(docs, labels, max_labelled=40)
+    assert got.count() == len(rows) and all(n <= 40 for n in seen)

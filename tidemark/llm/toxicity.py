@@ -127,18 +127,29 @@ def linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, rounds: int = 25)
     return w
 
 
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """rows (_id, text, toxic), each that repeats once, at most most of them: those with the smallest hashes of id and text."""
+    keys = (F.xxhash64("_id").alias("_h"), F.col("_id"), F.xxhash64("text").alias("_t"))
+    once = staged(rows.groupBy(*keys, "toxic").agg(F.first("text").alias("text")), "once")
+    if once.count() <= most:
+        return once
+    small = once.select(F.struct("_h", "_id", "_t").alias("key")).orderBy("key").limit(most)
+    last = small.agg(F.max("key").alias("key")).first().key
+    return once.filter(F.struct("_h", "_id", "_t") <= F.struct(*(F.lit(last[c]).cast(once.schema[c].dataType).alias(c) for c in ("_h", "_id", "_t"))))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS, max_candidates: int = MAX_CANDIDATES) -> tuple[list[str], np.ndarray]:
     """The voters and the classifier's weights, the intercept last.
 
     The model's size is bounded whatever the corpus: at most max_labelled labelled rows, those with the smallest
-    id hashes, teach; of the voters that at least 3 toxic rows (a 200th of them, if more) cast, the max_candidates
+    id hashes, teach, of repeated ids and rows too no more; of the voters that at least 3 toxic rows (a 200th of them, if more) cast, the max_candidates
     most frequent are weighed, and the max_voters that tell most vote. Scores read every text whole.
     """
     teaching = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     teaching = teaching.groupBy(F.col("doc_id").alias("_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     teaching = teaching.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)  # the bound that allows the broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = staged(texts.join(F.broadcast(teaching), "_id").select("text", "toxic"), "labelled")
+    labelled = staged(_bounded(texts.join(F.broadcast(teaching), "_id"), max_labelled).select("text", "toxic"), "labelled")
     totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
