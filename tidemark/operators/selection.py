@@ -1,17 +1,19 @@
 """Choosing among few candidates, one after the other: diversity, disclosure, batches and clusters.
 
 What depends on earlier choices runs in applyInPandas, on groups that the stages before have cut to a
-hundred rows or so; blocks to be clustered are whole.
+hundred rows or so, or on the components that near pairs make; batches come from doubled jumps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import cumulative, numbered
 from tidemark.operators.vectorindex import close_pairs, components
+from tidemark.session import written
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -106,13 +108,46 @@ def batches_of(tokens: list[int], most: int) -> list[int]:
 
 
 def batched(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """rows: group, id, tokens. With batch, in the order of ids."""
+    """rows: group, id, tokens (null: none; not below zero). With batch, as batches_of() counts it for each group in the order of ids.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({group: pdf[group].iat[0], "id": pdf.id, "batch": batches_of(pdf.tokens.to_list(), most)})
-
-    return rows.groupBy(group).applyInPandas(choose, f"{group} {dict(rows.dtypes)[group]}, id {dict(rows.dtypes)['id']}, batch int")
+    No task sees a whole group: rows are numbered by ranges, running sums of tokens tell where a batch that starts
+    at a row would end, and jumps of that kind, doubled each round, mark the starts. The end is searched for in
+    stretches of a bounded number of rows with tokens: the first row whose running sum passes the start's by most.
+    """
+    tokens = F.coalesce(F.col("tokens").cast("long"), F.lit(0))
+    placed = written(numbered(rows.select(group, "id", tokens.alias("tokens")), [], [group, "id", "tokens"]), "numbered")
+    n = placed.count()
+    if not n:
+        return placed.select(group, "id", F.lit(0).alias("batch"))
+    groups = placed.groupBy(F.col(group).alias("_g")).agg(F.min("pos").alias("first"), (F.max("pos") + 1).alias("end"))
+    placed = placed.join(groups, placed[group].eqNullSafe(groups["_g"])).select(group, "id", "tokens", "pos", "first", "end")
+    placed = written(cumulative(placed, "pos", ["tokens"], n), "summed")
+    # the first row of all whose running sum is above a value, with the sum before it: if that is the start's, the row still belongs to its batch
+    stretch = 64 * max(1, most)
+    stops = placed.filter("tokens > 0").select((F.col("before_tokens") + F.col("tokens")).alias("value"), F.struct("pos", "before_tokens").alias("stop"))
+    none = F.lit(None).cast(stops.schema["stop"].dataType)
+    goals = placed.select((F.col("before_tokens") + most).alias("value")).distinct().withColumn("stop", none)
+    both = stops.union(goals).withColumn("part", F.floor(F.col("value") / stretch))
+    later = Window.partitionBy("part").orderBy("value").rangeBetween(1, Window.unboundedFollowing)
+    here = both.withColumn("found", F.min("stop").over(later)).filter("stop IS NULL").select("value", "part", "found")
+    heads = stops.groupBy(F.floor(F.col("value") / stretch).alias("part")).agg(F.min("stop").alias("stop"))
+    asked = here.filter("found IS NULL").select("part").distinct().withColumn("stop", none)
+    # of the stretches only, a 64th of the batches at most
+    follow = heads.union(asked).withColumn("next", F.min("stop").over(Window.orderBy("part").rangeBetween(1, Window.unboundedFollowing)))
+    follow = follow.filter("stop IS NULL").select("part", "next")
+    ends = written(here.join(follow, "part", "left").select((F.col("value") - most).alias("before_tokens"), F.coalesce("found", "next").alias("stop")), "ends")
+    over = F.when(F.col("stop.before_tokens") == F.col("before_tokens"), F.col("stop.pos") + 1).otherwise(F.col("stop.pos"))
+    jumps = placed.join(ends, "before_tokens").select("pos", "end", F.least("end", F.coalesce(over, "end")).alias("to"))
+    jumps = written(jumps.filter(F.col("to") < F.col("end")).select("pos", "to"), "jumps")
+    starts = written(placed.filter("pos = first").select("pos"), "starts")
+    while jumps.limit(1).count():
+        reached = starts.join(jumps, "pos").select(F.col("to").alias("pos"))
+        starts = written(starts.union(reached).distinct(), "starts")
+        jumps = written(jumps.join(jumps.select(F.col("pos").alias("to"), F.col("to").alias("on")), "to").select("pos", F.col("on").alias("to")), "jumps")
+    marked = placed.join(starts.withColumn("start", F.lit(1)), "pos", "left").withColumn("start", F.coalesce("start", F.lit(0)).cast("long"))
+    marked = written(cumulative(marked, "pos", ["start"], n), "marked")
+    base = marked.filter("pos = first").select("first", F.col("before_start").alias("base"))
+    return marked.join(base, "first").select(group, "id", (F.col("before_start") + F.col("start") - 1 - F.col("base")).cast("int").alias("batch"))
 
 
 def _parts(unit: np.ndarray, least: float) -> list[np.ndarray]:
