@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidemark.session import written
 BLOCK = 4096
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """df with pos, the row's place (from 0) in its group by order, nulls first, and n, the group's size.
 
     The group's columns must not be null; rows that agree in group and order stand in any order. Rows are
@@ -19,12 +21,12 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     rows in each task is summed up.
     """
     columns = [*group, *order]
-    rows = written(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = write(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
     parts = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     before = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = written(parts.select(*group, "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n")), "parts")
+    parts = write(parts.select(*group, "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n")), "parts")
     return rows.join(parts, [*group, "_part"]).withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first")).select(*df.columns, "pos", "n")
 
 
