@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.retrieval import asked, store
@@ -41,15 +42,17 @@ def _consolidated(v):
 
 
 def _reflected(v):
-    """The first question of benchmark, as the loop is one question's; the reasoner stands in for a model."""
+    """All questions of benchmark; the reasoner stands in for a model."""
 
-    def retrieve(text: str, k: int) -> list[tuple[str, float]]:
-        one = v.spark.createDataFrame([(0, text)], "query_id long, text string")
-        return [(r.id, r.score) for r in pl.fts(store(v), pl.Queries(one), k).orderBy(F.desc("score"), "id").collect()]
+    def retrieve(texts, limit):
+        found = pl.fts(store(v), pl.Queries(texts), limit)
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("nth", nth).join(v.memories.select("id", F.col("excerpt").alias("text")), "id").select("query_id", "text", "score", "nth")
 
-    first = asked(v).text.orderBy("query_id").first()
-    conclusion, queries = hooks.reflect(first.text, retrieve, lambda q, rows: (f"{len(rows)} rows", None) if len(q) < 40 else (None, q[:30]))
-    return v.spark.createDataFrame([(conclusion, q, i) for i, q in enumerate(queries)], "conclusion string, query string, round int")
+    def reason(question, rows):
+        return (f"{len(rows)} rows", None) if len(question) < 40 else (None, question[: len(question) // 2])
+
+    return hooks.reflected(asked(v).text, retrieve, reason).select("query_id", "conclusion", F.array_join("asked", "\n").alias("asked"), F.size("asked").alias("rounds"))
 
 
 def _cases(v):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 
 class Synonyms:
     """A dictionary read both ways."""
@@ -107,3 +109,43 @@ def reflect(question: str, retrieve: Callable[[str, int], list[tuple[str, float]
         if conclusion or not following or spent > budget:
             return conclusion, asked
     return None, asked
+
+
+def reflected(questions: DataFrame, retrieve: Callable[[DataFrame, int], DataFrame], reason: Callable[[str, list[str]], tuple[str | None, str | None]], rounds: int = 3, budget: int = 4096) -> DataFrame:
+    """reflect() for every question (query_id, text) at once: query_id, conclusion, asked.
+
+    A round is one retrieval for all questions that are open: retrieve takes (query_id, text) and a limit and gives
+    (query_id, text, score, nth). What a question has come to is a row; a question's evidence is at most 20 texts.
+    """
+    kind = questions.schema["query_id"].dataType.simpleString()
+    fields = f"query_id {kind}, asked array<string>, following string, spent long, best double, conclusion string, open boolean, k int"
+
+    def steps(at: int):
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    asked = [*row["asked"], row["following"]]
+                    rows = [(r["text"], r["score"]) for r in row["evidence"] or ()]
+                    best, spent = rows[0][1] if rows else 0.0, row["spent"] + sum((len(text) + 3) // 4 for text, _ in rows)
+                    conclusion, following = reason(row["following"], [text for text, _ in rows])
+                    ends = bool(conclusion or not following or spent > budget)
+                    out.append({"query_id": row["query_id"], "asked": asked, "following": following, "spent": spent, "best": best, "conclusion": conclusion if ends else None, "open": not ends and following not in asked, "k": next_k(at + 1, rounds, spent, budget, best)})
+                names = ["asked", "following", "spent", "best", "conclusion", "open", "k"]
+                types = [pa.list_(pa.string()), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), *(pa.array([o[n] for o in out], t) for n, t in zip(names, types))], ["query_id", *names])
+
+        return step
+
+    nothing = F.lit(None)
+    state = questions.select("query_id", F.array().cast("array<string>").alias("asked"), F.col("text").alias("following"), F.lit(0).cast("long").alias("spent"), nothing.cast("double").alias("best"), nothing.cast("string").alias("conclusion"), F.lit(True).alias("open"), F.lit(next_k(1, rounds)).alias("k"))
+    for at in range(1, rounds + 1):
+        state = written(state, "reflection")
+        still = state.filter("open")
+        if not still.limit(1).count():
+            break
+        found = retrieve(still.select("query_id", F.col("following").alias("text")), 20)
+        evidence = found.join(still.select("query_id", "k"), "query_id").filter(F.col("nth") <= F.col("k")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nth", "text", "score"))).alias("evidence"))
+        stepped = still.join(evidence, "query_id", "left").mapInArrow(steps(at), fields)
+        state = state.filter("NOT open").unionByName(stepped)
+    return state.select("query_id", "conclusion", "asked")
