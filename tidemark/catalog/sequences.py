@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.retrieval import asked, store
 from tidemark.functions import scalars as s
-from tidemark.operators import chunking, hooks, selection, snapshots
+from tidemark.operators import chunking, extraction, hooks, selection, snapshots
 from tidemark.operators.predicates import live
 from tidemark.plans import pipelines as pl
 from tidemark.registry import query
@@ -27,7 +27,8 @@ query("win_overlap")(lambda v: chunking.chunks(v.documents, "doc_id", "text", mo
 query("job_cluster")(lambda v: selection.clustered(v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding"), "label", threshold=0.3))
 query("job_consolidate")(lambda v: _consolidated(v))
 query("job_embed")(lambda v: hooks.embedded(v.conversations.select("conv_id", "turn", F.col("text").alias("content"))).select("conv_id", "turn", F.size("embedding").alias("dims")))
-query("job_extract", "conversation_memories", r"SELECT id, name FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))) AS name FROM conversation_memories WHERE regexp_full_match(content, '[\x00-\x7f]*')) WHERE length(name) >= 2")(lambda v: v.conversation_memories.filter(F.octet_length("content") == F.char_length("content")).select("id", F.explode(s.proper_nouns(F.col("content"))).alias("name")).filter(F.char_length("name") >= 2))
+query("job_extract", "conversation_memories", r"SELECT id, name FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)*'))) AS name FROM conversation_memories)")(lambda v: _extracted(v).select("id", "name"))
+query("job_extract_resolve")(lambda v: extraction.resolved(_extracted(v), v.entities))
 query("job_extract_batch")(lambda v: selection.batched(v.conversation_memories.select("context_id", "id", s.estimated_tokens(F.col("content")).alias("tokens")), "context_id", 1024))
 query("job_reflect")(lambda v: _reflected(v))
 query("fn_synonym")(lambda v: hooks.expanded(v.benchmark.select("item_id", F.split("text", r"\s+").alias("words")), hooks.Synonyms([("data", "records", "rows"), ("fast", "quick", "rapid")])).select("item_id", F.array_join("words", " ").alias("expanded")))
@@ -41,6 +42,25 @@ def _consolidated(v):
     return after.select("id", s.content_hash(F.col("content")).alias("content_hash"), "consolidated_into", F.col("deleted_at").isNotNull().alias("gone"), "retention_tier", "kind", "scope", F.round("strength", 6).alias("strength"))
 
 
+def _model(messages):
+    """Stands in for a model: capitalised words are concepts; the answer is whole, fenced or in a sentence, by its length, or comes at the second call."""
+    import json
+
+    import regex
+
+    names = list(dict.fromkeys(regex.findall(r"\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)*", messages[0])))
+    answer = json.dumps({"entities": [{"name": n, "entity_type": " Concept "} for n in names], "relations": []})
+    if len(messages) == 1 and len(messages[0]) % 4 == 3:
+        return "I can't say."
+    return (answer, f"```json\n{answer}\n```", f"Here it is: {answer} {{}}", answer)[len(messages[0]) % 4]
+
+
+def _extracted(v):
+    """What the model finds in every text of conversations, in any script."""
+    read = extraction.read_texts(v.conversation_memories.select("id", "content"), _model, most=0)
+    return read.select("id", F.lit("global").alias("scope"), F.explode("entities").alias("e")).select("id", "scope", "e.name", "e.entity_type")
+
+
 def _reflected(v):
     """All questions of benchmark; the reasoner stands in for a model."""
 
