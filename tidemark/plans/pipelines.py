@@ -89,7 +89,8 @@ def exhaustive(store: Store, queries: Queries, most: int = 200) -> DataFrame:
     owned = queries.seeds.join(store.links.select("entity_id", F.col("memory_id").alias("id")), "entity_id").select("query_id", "id").distinct().join(rows, "id")
     bare = queries.text.select("query_id").join(owned.select("query_id").distinct(), "query_id", "left_anti")
     newest = rows.orderBy(F.desc("_time"), "id").limit(most)
-    found = owned.unionByName(bare.join(newest.hint("broadcast"), F.lit(True)).select("id", "query_id", "_time").select("query_id", "id", "_time"))
+    few = newest.agg(F.collect_list(F.struct("id", "_time"))).scalar()  # most rows, one value for all
+    found = owned.unionByName(bare.select("query_id", F.explode(few).alias("_row")).select("query_id", "_row.id", "_row._time"))
     oldest = Window.partitionBy("query_id").orderBy("_time", "id")
     return _channel(found.withColumn("_nth", F.row_number().over(oldest)).filter(F.col("_nth") <= most).withColumn("score", F.lit(1.0)), "exhaustive")
 
@@ -153,7 +154,8 @@ def with_core(store: Store, queries: Queries, candidates: DataFrame, scopes: tup
     """Core rows of the scopes that aren't among the candidates yet, with score 2."""
     best = Window.partitionBy("scope").orderBy(F.desc("reinforced_count"), F.desc("created_at"), "id")
     core = store.rows.filter(store.readable() & (F.col("memory_class") == "core") & F.col("scope").isin(*scopes)).withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= per_scope)
-    asked = queries.text.select("query_id").join(core.select("id").hint("broadcast"), F.lit(True))  # a few rows of each scope
+    few = core.agg(F.collect_list("id")).scalar()  # a few rows of each scope, one value for all
+    asked = queries.text.select("query_id", F.explode(few).alias("id"))
     fresh = asked.join(candidates.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return fresh.select("query_id", "id", F.lit(2.0).alias("score"), F.lit("core").alias("source")).unionByName(candidates.select(*_COLUMNS))
 
