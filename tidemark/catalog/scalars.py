@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as s
+from tidemark.operators import vectorsearch
+from tidemark.operators.fulltext import STOP_WORDS
 from tidemark.registry import query
 from tidemark.sources.views import NOW
 
@@ -28,12 +30,15 @@ query("fn_hash_norm", "memories", f"SELECT id, {_NORM} AS normalized FROM memori
 query("fn_hash", "memories", f"SELECT id, sha256({_NORM}) AS content_hash FROM memories")(lambda v: v.memories.select("id", s.content_hash(F.col("content")).alias("content_hash")))
 query("fn_tokens", "memories", f"SELECT id, CAST(len(regexp_extract_all(content, '{_CJK}')) + (length(content) - len(regexp_extract_all(content, '{_CJK}')) + 3) // 4 AS BIGINT) AS tokens FROM memories")(lambda v: v.memories.select("id", s.estimated_tokens(F.col("content")).alias("tokens")))
 query("fn_tok_simple", "memories", r"SELECT id, array_to_string(regexp_extract_all(content, '[\p{L}\p{Nd}]+'), ' ') AS tokens FROM memories")(lambda v: v.memories.select("id", F.array_join(s.simple_tokens(F.col("content")), " ").alias("tokens")))
-query("fn_stop", "memories", r"SELECT id, array_to_string(list_filter(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), lambda x: x NOT IN ('the', 'of', 'and', 'de', 'la', 'le')), ' ') AS kept FROM memories")(lambda v: v.memories.select("id", F.array_join(F.filter(s.indexed_terms(F.col("content")), lambda x: ~x.isin("the", "of", "and", "de", "la", "le")), " ").alias("kept")))
-query("fn_coverage", "memories", "SELECT id, round((CASE WHEN contains(lower(content || ' ' || excerpt), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content || ' ' || excerpt), 'ment') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content || ' ' || excerpt), 'heit') THEN 1 ELSE 0 END) / 3.0, 6) AS coverage FROM memories")(lambda v: v.memories.select("id", F.round(s.coverage(F.array(F.lit("the"), F.lit("ment"), F.lit("heit")), F.concat_ws(" ", "content", "excerpt")), 6).alias("coverage")))
+_STOPPED = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+query("fn_stop", "memories", rf"SELECT id, array_to_string(list_filter(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPPED})), ' ') AS kept FROM memories")(lambda v: v.memories.select("id", F.array_join(F.filter(s.indexed_terms(F.col("content")), lambda x: ~x.isin(*sorted(STOP_WORDS))), " ").alias("kept")))
+# each document against the words of a question, the one whose number its own number gives
+_OWN = r"SELECT d.doc_id, lower(d.text) AS low, list_distinct(list_filter(string_split_regex(lower(b.text), '\s+'), lambda w: w <> '')) AS w FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
+query("fn_coverage", "", f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: contains(low, x))) / len(w) END, 6) AS coverage FROM ({_OWN})")(lambda v: _covered(v))
 query("fn_overlap_norm", "memories", f"SELECT id, {_OVERLAP} AS normalized FROM memories")(lambda v: v.memories.select("id", s.overlap_text(F.col("content")).alias("normalized")))
 query("fn_overlap_terms", "", r"SELECT item_id, array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '))), ' ') AS terms FROM benchmark")(lambda v: v.benchmark.select("item_id", F.array_join(F.array_sort(F.array_distinct(F.split(s.overlap_text(F.col("text")), " "))), " ").alias("terms")))
 query("fn_overlap", "memories", f"SELECT id, round(CASE WHEN doc = '' THEN 0 ELSE 0.35 * CAST(contains(doc, 'of the') AS INT) + 0.65 * (CAST(contains(doc, 'of') AS INT) + CAST(contains(doc, 'the') AS INT)) / 2 END, 6) AS score FROM (SELECT id, {_OVERLAP} AS doc FROM memories)")(lambda v: v.memories.select("id", F.round(s.overlap_score(F.lit("of the"), F.array(F.lit("of"), F.lit("the")), s.overlap_text(F.col("content"))), 6).alias("score")))
-query("fn_cosine", "memory_embeddings", "SELECT a.memory_id, b.memory_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM memory_embeddings a JOIN memory_embeddings b ON b.memory_id IN ('doc-00000001', 'doc-00000002', 'doc-00000003')")(lambda v: _cosines(v))
+query("fn_cosine", "memory_embeddings", "SELECT a.memory_id, b.memory_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM memory_embeddings a JOIN memory_embeddings b ON CAST(substr(b.memory_id, 5) AS BIGINT) % 50 = 0")(lambda v: _cosines(v))
 query("fn_blend_vec", "memory_embeddings", "SELECT memory_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: 0.7 * x + 0.3 * 0.5)), 6) AS total FROM memory_embeddings")(lambda v: v.memory_embeddings.select("memory_id", F.round(F.aggregate(s.blended(F.col("embedding"), F.transform("embedding", lambda x: F.lit(0.5)), 0.3), F.lit(0.0), lambda a, b: a + b), 6).alias("total")))
 query("fn_strength", "memories", f"SELECT id, round({STRENGTH}, 6) AS strength FROM memories")(lambda v: v.memories.select("id", F.round(s.effective_strength(NOW), 6).alias("strength")))
 query("fn_age_decay", "memories", f"SELECT id, round(exp(-0.01 * greatest(date_diff('microsecond', created_at, TIMESTAMP '{NOW}') / 86400000000.0, 0)), 6) AS decay FROM memories")(lambda v: v.memories.select("id", F.round(s.age_decay(F.col("created_at"), NOW, 0.01), 6).alias("decay")))
@@ -62,12 +67,17 @@ query("prj_builder", "memories", "SELECT id, kind FROM memories WHERE kind = 'ru
 
 
 def _cosines(v):
-    asked = v.memory_embeddings.filter(F.col("memory_id").isin("doc-00000001", "doc-00000002", "doc-00000003"))
-    out = None
-    for r in asked.select("memory_id", "embedding").limit(3).collect():  # three known queries
-        one = v.memory_embeddings.select("memory_id", F.lit(r.memory_id).alias("other_id"), F.round(s.cosine_with(F.col("embedding"), list(r.embedding)), 6).alias("cosine"))
-        out = one if out is None else out.union(one)
-    return out
+    """Every row against those whose number is divisible by 50."""
+    asked = v.memory_embeddings.filter(F.substring("memory_id", 5, 99).cast("long") % 50 == 0).select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = vectorsearch.search(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding"), asked, None)
+    return found.select(F.col("id").alias("memory_id"), F.col("query_id").alias("other_id"), F.round("score", 6).alias("cosine"))
+
+
+def _covered(v):
+    n = v.benchmark.agg(F.count("*")).scalar()
+    asked = v.benchmark.select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words"))
+    own = v.documents.select("doc_id", "text", (F.col("doc_id") % n).alias("item_id")).join(asked, "item_id")
+    return own.select("doc_id", F.round(s.coverage(F.col("words"), F.col("text")), 6).alias("coverage"))
 
 
 def _first_ranks(v):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.retrieval import asked, store
 from tidemark.functions import scalars as s
-from tidemark.operators import chunking, extraction, hooks, selection, snapshots
+from tidemark.operators import bulk, chunking, extraction, hooks, selection, snapshots
 from tidemark.operators.predicates import live
 from tidemark.plans import pipelines as pl
 from tidemark.registry import query
@@ -26,7 +26,8 @@ query("win_batches")(lambda v: selection.batched(v.documents.select(F.col("sourc
 query("win_overlap")(lambda v: chunking.chunks(v.documents, "doc_id", "text", most_tokens=128, overlap_tokens=16).select("doc_id", "at", "chunk"))
 query("job_cluster")(lambda v: selection.clustered(v.memory_embeddings.select("label", F.col("memory_id").alias("id"), "embedding"), "label", threshold=0.3))
 query("job_consolidate")(lambda v: _consolidated(v))
-query("job_embed")(lambda v: hooks.embedded(v.conversations.select("conv_id", "turn", F.col("text").alias("content"))).select("conv_id", "turn", F.size("embedding").alias("dims")))
+query("job_embed", "", "SELECT conv_id, turn, 64 AS dims, EXISTS (SELECT 1 FROM conversations o WHERE o.turn = 0 AND coalesce(o.text, '') = coalesce(c.text, '')) AS cached FROM conversations c")(lambda v: _embedded(v))
+query("job_backfill_embed", "memories", "SELECT id, 64 AS dims FROM memories WHERE deleted_at IS NULL")(lambda v: _backfilled(v))
 query("job_extract", "conversation_memories", r"SELECT id, name FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)*'))) AS name FROM conversation_memories)")(lambda v: _extracted(v).select("id", "name"))
 query("job_extract_resolve")(lambda v: extraction.resolved(_extracted(v), v.entities))
 query("job_extract_batch")(lambda v: selection.batched(v.conversation_memories.select("context_id", "id", s.estimated_tokens(F.col("content")).alias("tokens")), "context_id", 1024))
@@ -42,6 +43,21 @@ def _consolidated(v):
     return after.select("id", s.content_hash(F.col("content")).alias("content_hash"), "consolidated_into", F.col("deleted_at").isNotNull().alias("gone"), "retention_tier", "kind", "scope", F.round("strength", 6).alias("strength"))
 
 
+def _embedded(v):
+    """A run over the first turns, then one over all: what the first has made comes from the cache."""
+    cache, rows = f"{shared_dir(v.spark)}/embeddings-{uuid.uuid4().hex}", v.conversations.select("conv_id", "turn", F.col("text").alias("content"))
+    bulk.embedded_once(rows.filter("turn = 0"), cache, "hashed", hooks.hashed_vector)
+    return bulk.embedded_once(rows, cache, "hashed", hooks.hashed_vector).select("conv_id", "turn", F.size("embedding").alias("dims"), "cached")
+
+
+def _backfilled(v):
+    """Vectors of all live memories in two runs, the first of which ends after three batches."""
+    path = f"{shared_dir(v.spark)}/backfill-{uuid.uuid4().hex}"
+    rows, work = v.memories.filter(live()).select("id", "content"), lambda part: hooks.embedded(part).select("id", F.size("embedding").alias("dims"))
+    bulk.resumed(rows, path, work, most=3)
+    return bulk.resumed(rows, path, work).select("id", "dims")
+
+
 def _model(messages):
     """Stands in for a model: capitalised words are concepts; the answer is whole, fenced or in a sentence, by its length, or comes at the second call."""
     import json
