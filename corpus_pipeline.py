@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Its result is
 written as Parquet and read again as the next one's docs; all but the last return the columns of documents.
+
+Null and empty texts go as far as mixing, which takes words and so none of them; toxicity scores them from its
+intercept. Very long texts are worked on whole. Rows with null or repeated ids are documents of their own,
+repeated texts are one class of near_duplicates. Columns beside those of documents are carried along to mixing,
+whatever their names. An empty table passes all stages and gives no rows.
 """
 
 from __future__ import annotations
