@@ -7,7 +7,8 @@ from collections import defaultdict
 
 import pytest
 
-from tidemark.llm import order, trie
+from tidemark.llm import trie
+from tidemark.operators import order
 
 SCHEMA = "conv_id long, turn long, role string, text string, r int, d string, pos int, key int, len string, lo int, least double"
 

@@ -10,7 +10,8 @@ them.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Rows that repeat id and
 vector count once; a query never finds its own id. An id with several vectors is a query for each.
-Vectors of different length never meet. Other columns are not read.
+Vectors of different length never meet. Other columns are not read, whatever their names. An empty table, or one
+without queries, gives no rows.
 """
 
 from __future__ import annotations

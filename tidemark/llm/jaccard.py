@@ -19,7 +19,8 @@ components are the classes. So a link between two texts is counted once, whichev
 Words are the runs of characters other than space and \\t to \\r, unchanged; shingles are of five words.
 A text of one to four words is one shingle of them all. A null text, or one without words, links with
 nothing. Rows with a null or repeated id are documents of their own; a class is named after its smallest
-id that is not null. Other columns are not read.
+id that is not null. Other columns are not read, whatever their names. A very long text is compared by all its
+shingles. An empty table gives no rows.
 """
 
 from __future__ import annotations

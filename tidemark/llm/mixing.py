@@ -11,7 +11,8 @@ the buckets' sums; so a source with a third of all rows is never sorted in one t
 
 Sources are ordered by code point, null last. A null or empty text has size 0 and is never taken, and a
 source without words has target 0. Repeated rows count each. Other columns are not read by mix(); and
-mixed_documents() carries them along.
+mixed_documents() carries them along, whatever their names. A very long text is cut into blocks of words, which
+are taken like others. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Each task packs its own shards of bounded size, so no token is shuffled and no g
 is solved against its own histogram. Reruns agree as long as the input is split alike.
 
 A null text is empty, and an empty one has only the end id. Repeated rows are packed each; other columns
-are not read.
+are not read, whatever their names. A very long text is tokenized whole and cut into as many pieces as its sequences
+need. An empty table gives no sequences.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ bounded cache in each Python worker, filled by the tokenizer itself. No pre-toke
 only each task's summary of its frequent units is.
 
 Null and empty texts have no tokens. Rows are kept as they are, repeated ones too; other columns are
-not read. A text with a special token's string is cut there, as the library does by default.
+not read, whatever their names. A very long text is counted whole, unit by unit; an empty table gives no rows. A text with a special token's string is cut there, as the library does by default.
 """
 
 from __future__ import annotations

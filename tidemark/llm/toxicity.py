@@ -12,7 +12,8 @@ smallest hashes of their ids. Labels, language, source and id are never inputs o
 
 A null text is scored as an empty one, from the classifier's intercept. Without labelled rows of both
 kinds every score is the share of toxic ones (0 without any). Conflicting labels of an id are averaged.
-Repeated rows are scored each; other columns are not read.
+Repeated rows are scored each and teach once; other columns are not read, whatever their names. A very long text
+votes with all its words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,21 +95,23 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple
     """Posterior of toxic for each row; and of each voter, the given label last, its rates on toxic and on clean, and its scale."""
     v = np.column_stack([votes, given]).astype(float)
     p = np.where(given > 0.5, 0.95, 0.05)
-    scale = np.ones(v.shape[1])
+    scale, both = np.ones(v.shape[1]), v.T @ v
     for step in range(rounds):
         on, off = ((p @ v) + 0.5) / (p.sum() + 1), (((1 - p) @ v) + 0.5) / ((1 - p).sum() + 1)
         prior = p.mean()
         if step in (0, 5):  # what voters share beyond the classes, as correlations of what the classes leave
-            left = v - p[:, None] * on - (1 - p)[:, None] * off
-            sd = left.std(axis=0) + 1e-9
-            shared = (left.T @ left) / len(v) / np.outer(sd, sd)
+            classes, rates = np.column_stack([p, 1 - p]), np.vstack([on, off])
+            cross = (classes.T @ v).T @ rates
+            shared = (both - cross - cross.T + rates.T @ (classes.T @ classes) @ rates) / len(v)  # without a table of what is left
+            sd = np.sqrt(np.maximum(0, np.diag(shared) - (v.mean(axis=0) - classes.mean(axis=0) @ rates) ** 2)) + 1e-9
+            shared = shared / np.outer(sd, sd)
             a, b = np.nonzero(np.triu(shared[:-1, :-1] > 0.3, 1))
             group = np.append(roots_of(a, b, v.shape[1] - 1), v.shape[1] - 1)
             for g in np.unique(group):
                 own = np.flatnonzero(group == g)
                 mean = (shared[np.ix_(own, own)].sum() - len(own)) / max(1, len(own) * (len(own) - 1))
                 scale[own] = 1 / (1 + (len(own) - 1) * min(1, max(0, mean)))
-        logit = np.log(prior / (1 - prior)) + v @ (scale * np.log(on / off)) + (1 - v) @ (scale * np.log((1 - on) / (1 - off)))
+        logit = np.log(prior / (1 - prior)) + v @ (scale * np.log(on / off) - (against := scale * np.log((1 - on) / (1 - off)))) + against.sum()
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return p, on, off, scale
 
@@ -120,7 +123,9 @@ def linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, rounds: int = 25)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + ridge, x.T @ (p - q) - ridge @ w)
+        bend = q * (1 - q) + 1e-6
+        curve = sum((x[at : at + 1024] * bend[at : at + 1024, None]).T @ x[at : at + 1024] for at in range(0, len(x), 1024))
+        step = np.linalg.solve(curve + ridge, x.T @ (p - q) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -190,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes, given = np.zeros((len(rows), len(voters)), np.float32), rows.toxic.to_numpy()
     for i, got in enumerate(rows.votes):
         votes[i, np.asarray(got, int)] = 1
+    del rows
     posterior = label_model(votes, given)[0]
-    return voters, linear(votes.astype(float), posterior)
+    return voters, linear(votes, posterior)
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

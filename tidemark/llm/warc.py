@@ -10,7 +10,8 @@ frames the block by Content-Length and verifies block and payload digests.
 Which of the records with equal payloads is the response is settled before writing: the largest page
 id, found by salted aggregation, and joined back on (digest, salt) so that a page that a third of all
 rows repeat spreads over tasks. Rows that share that largest id are all responses; a null id is a
-response only where no row with that payload has an id. A null html is an empty payload.
+response only where no row with that payload has an id. A null html is an empty payload. Very long ones are
+written and read whole, in steps. Other columns are not read, whatever their names. An empty table gives no records.
 """
 
 from __future__ import annotations
