@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.retrieval import asked, register, store
+from tidemark.catalog.retrieval import asked, register, store, text_index
 from tidemark.operators import graphs, relations
 from tidemark.plans import pipelines as pl
 from tidemark.registry import query
@@ -20,7 +20,7 @@ def _seeds(v):
     named = words.join(v.entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name")), "name").select("query_id", "entity_id")
     from tidemark.operators import fulltext
 
-    hits = fulltext.search(v.memories, text, 5, store(v).readable(), index=store(v).index).select("query_id", F.col("id").alias("memory_id"))
+    hits = fulltext.search(v.memories, text, 5, store(v).readable(), index=text_index(v)).select("query_id", F.col("id").alias("memory_id"))
     return named.union(hits.join(v.memory_entities, "memory_id").select("query_id", "entity_id")).distinct()
 
 
