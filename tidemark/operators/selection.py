@@ -15,6 +15,9 @@ from tidemark.operators.order import cumulative, numbered
 from tidemark.operators.vectorindex import close_pairs, components
 from tidemark.session import written
 
+#: Distances of clusters in memory at once.
+CELLS = 1 << 21
+
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     n = float(np.linalg.norm(a) * np.linalg.norm(b))
@@ -166,38 +169,59 @@ def _parts(unit: np.ndarray, least: float) -> list[np.ndarray]:
     return out
 
 
+def _mean_distances(sums: np.ndarray, size: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Between clusters of unit vectors: one less the product of their sums over that of their sizes. Rounded, so that equal ones are ties."""
+    return np.round(1 - (sums[some] @ sums[others].T) / np.outer(size[some], size[others]), 12)
+
+
+def _closest(sums: np.ndarray, size: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some the least mean distance to another cluster, and the first cluster at it."""
+    best, partner, every = np.full(len(some), np.inf), np.zeros(len(some), int), np.arange(len(sums))
+    step = max(1, CELLS // len(sums))
+    for at in range(0, len(some), step):
+        part = some[at : at + step]
+        mean = _mean_distances(sums, size, part, every)
+        mean[np.arange(len(part)), part] = np.inf
+        partner[at : at + step] = mean.argmin(axis=1)
+        best[at : at + step] = mean.min(axis=1)
+    return best, partner
+
+
 def _merged(unit: np.ndarray, most: float) -> np.ndarray:
-    """The cluster of each row: the closest two merge while their mean distance is at most most. Sums are kept, not recomputed."""
+    """The cluster of each row: the closest two merge while their mean distance is at most most. Sums are kept, no distances.
+
+    Two that are each other's closest merge, wherever others stand: no cluster comes closer to a third by merging,
+    so this gives what merging the closest two of all, one pair after the other, gives. Memory goes with the rows.
+    """
     n = len(unit)
-    total = unit @ unit.T
-    np.subtract(1, total, out=total)
-    size, alive = np.ones(n), np.ones(n, bool)
-    best, partner, out = np.full(n, np.inf), np.zeros(n, int), np.arange(n)
-
-    def look(a: int) -> None:
-        mean = np.where(alive[a + 1 :], np.round(total[a, a + 1 :] / (size[a] * size[a + 1 :]), 12), np.inf)
-        if len(mean):
-            partner[a] = a + 1 + mean.argmin()
-            best[a] = mean.min()
-
-    for a in range(n):
-        look(a)
-    for _ in range(n - 1):
-        a = int(best.argmin())
-        b = int(partner[a])
-        if total[a, b] / (size[a] * size[b]) > most:
+    into, label, sums, size = np.arange(n), np.arange(n), unit.copy(), np.ones(n)
+    best, partner = _closest(sums, size, label)
+    while len(label) > 1:
+        one = np.flatnonzero((partner[partner] == np.arange(len(label))) & (np.arange(len(label)) < partner))
+        other = partner[one]
+        near = 1 - np.einsum("ij,ij->i", sums[one], sums[other]) / (size[one] * size[other]) <= most
+        one, other = one[near], other[near]
+        if not len(one):
             break
-        total[a] += total[b]
-        total[:, a] = total[a]
-        size[a] += size[b]
-        alive[b], best[b], out[out == b] = False, np.inf, a
-        stale = np.flatnonzero(alive[:b] & ((partner[:b] == a) | (partner[:b] == b)))
-        for r in {a, *stale.tolist()}:
-            look(r)
-        mean = np.where(alive[:a], np.round(total[:a, a] / (size[:a] * size[a]), 12), np.inf)
-        nearer = np.flatnonzero((mean < best[:a]) | ((mean == best[:a]) & np.isfinite(mean) & (a < partner[:a])))
-        best[nearer], partner[nearer] = mean[nearer], a
-    return out
+        into[label[other]] = label[one]
+        sums[one] += sums[other]
+        size[one] += size[other]
+        kept, moved = np.ones(len(label), bool), np.zeros(len(label), bool)
+        kept[other], moved[one], moved[other] = False, True, True
+        stale, place = (moved | moved[partner])[kept], np.cumsum(kept) - 1
+        label, sums, size, best, partner = label[kept], sums[kept], size[kept], best[kept], place[partner[kept]]
+        best[stale], partner[stale] = _closest(sums, size, np.flatnonzero(stale))
+        rest, fresh = np.flatnonzero(~stale), place[one]
+        step = max(1, CELLS // len(label))
+        for at in range(0, len(fresh) if len(rest) else 0, step):
+            part = fresh[at : at + step]
+            mean = _mean_distances(sums, size, rest, part)
+            who, value = part[mean.argmin(axis=1)], mean.min(axis=1)
+            nearer = (value < best[rest]) | ((value == best[rest]) & (who < partner[rest]))
+            best[rest[nearer]], partner[rest[nearer]] = value[nearer], who[nearer]
+    for i in range(n):  # what a row merged into is before it
+        into[i] = into[into[i]]
+    return into
 
 
 def average_linkage(vectors: list[np.ndarray | None], threshold: float) -> list[int]:
