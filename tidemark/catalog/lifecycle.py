@@ -12,6 +12,7 @@ from tidemark.functions import scalars as s
 from tidemark.operators import reads, relations, snapshots, vectorindex, vectorsearch
 from tidemark.operators.predicates import live, visible
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources.views import NOW
 
 _T = f"TIMESTAMP '{NOW}'"
@@ -150,7 +151,9 @@ def _by_centroid(v):
 
 
 def _by_neighbours(v):
-    few = v.memory_embeddings.filter("label IS NOT NULL").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"))
-    near = vectorindex.VectorIndex.build(v.memory_embeddings.select(F.col("memory_id").alias("id"), "embedding")).search(few, 11).filter("id <> query_id")
+    # written, as shares are counted and dealt out from it
+    fine = written(v.memory_embeddings.filter(vectorindex.usable(F.col("embedding"))), "usable")
+    few = fine.filter("label IS NOT NULL").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = vectorsearch.search(fine.select(F.col("memory_id").alias("id"), "embedding"), few, 11).filter("id <> query_id")
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("nth"))).filter("place <= 10")
     return relations.votes(near.select("query_id", F.col("id").alias("memory_id")), v.memory_entities.select("memory_id", "entity_id")).withColumnRenamed("query_id", "memory_id")
