@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import fulltext, packed
+from tidemark.operators.predicates import Identity
 from tidemark.operators.segments import SegmentedIndex
+from tidemark.plans import pipelines as pl
 from tidemark.session import shared_dir
 
 ROWS = "id string, content string, excerpt string, summary string"
@@ -42,3 +46,21 @@ def test_a_merge_takes_out_what_is_dead(spark):
     rows = held.packed.select("term", "at").collect()
     assert {r.term for r in rows} == {"la", "sol"} | {f"w{i[1:]}" for i in left} and sum(len(r.at) for r in rows if r.term == "la") == 20
     assert {(r.id, r.term, r.position) for r in held.postings.collect()} == {(i, t, p) for i in left for p, t in enumerate(["la", f"w{i[1:]}", "la", "sol"])}
+
+
+def test_candidates_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(n):
+        made.add(1)
+        return float(n)
+
+    rows = spark.createDataFrame([(f"r{i}", f"la sol {i}", "", "") for i in range(30)], ROWS)
+    store = pl.Store(rows, None, None, None, "2024-02-01 00:00:00", Identity("t", "u"))
+    found = spark.range(30).select(F.lit(1).alias("query_id"), F.concat(F.lit("r"), "id").alias("id"), scored(F.col("id")).alias("score"), F.lit("x").alias("source"))
+    queries = pl.Queries(spark.createDataFrame([(1, "la")], "query_id int, text string"))
+    got = pl.by_overlap(store, queries, found).collect()
+    # before, once for the first rows, once for their texts and once for the rest
+    assert len(got) == 30 and made.value == 30
+    assert pl.trimmed(store, found, 9).count() == 3 and made.value == 60
