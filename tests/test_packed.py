@@ -64,3 +64,20 @@ def test_candidates_are_made_once(spark):
     # before, once for the first rows, once for their texts and once for the rest
     assert len(got) == 30 and made.value == 30
     assert pl.trimmed(store, found, 9).count() == 3 and made.value == 60
+
+
+def test_few_rows_are_dealt_out_and_each_search_reads_them(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["la", "Sol", "ÉTÉ", "x_y", "漢字", *(f"rare{rng.randrange(900)}" for _ in range(5))]) for _ in range(rng.randrange(0, 12))) for _ in range(600)]
+    rows = spark.createDataFrame([(f"r{i}", t, rng.choice([None, "", "sol  la"]), " ") for i, t in enumerate(texts)], ROWS).repartition(2)
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/blocks")
+    index.add(rows)
+    held = index.index()
+    # before, a row for each of about a thousand words was shuffled and sorted
+    stored = spark.read.parquet(f"{index.path}/1/words").filter("column IS NOT NULL")
+    assert stored.count() <= 4 * (64 + 2) and held.packed.count() > 900  # four chunks; 64 parts of contents, two words of excerpts
+    plain = [(i, c, t, p) for i, c, t, p in fulltext.postings(rows, dict.fromkeys(("content", "excerpt", "summary"), 1.0)).select("id", "column", "term", "position").collect()]
+    assert sorted(map(tuple, held.postings.select("id", "column", "term", "position").collect())) == sorted(plain)
+    one = spark.createDataFrame([("été",)], "term string")
+    assert {r.term for r in packed.listed(held.blocks_of(one)).select("term").distinct().collect()} < {r[2] for r in plain}
+    assert held.of_terms(one).count() == sum(t == "été" for _, _, t, _ in plain) > 0
